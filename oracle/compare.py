@@ -21,11 +21,11 @@ def _cell(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return None
     if isinstance(value, float):
-        return round(value, 5) + 0.0
+        return round(value, 6) + 0.0
     if hasattr(value, "isoformat"):
         return value.isoformat()
     if type(value).__name__ == "Decimal":
-        return round(float(value), 5)
+        return round(float(value), 6)
     return value
 
 

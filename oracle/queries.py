@@ -53,15 +53,15 @@ def moments(place: str, alias: str, known: bool) -> str:
 
 
 def home_left(known: bool) -> str:
-    return f"""select user_id, avg(h) home_left from (
-        select user_id, "day", min((sec+before_sec)/2.0)/3600.0 h from ({moments('user_home', 'home', known)})
-        where before_cell = home and cell_id <> home and (sec+before_sec)/2.0 >= 14400
+    return f"""select user_id, sum(h) / cast(count(*) as double) / 7200 home_left from (
+        select user_id, "day", min(sec+before_sec) h from ({moments('user_home', 'home', known)})
+        where before_cell = home and cell_id <> home and sec+before_sec >= 28800
         group by user_id, "day") group by user_id"""
 
 
 def work_left(known: bool) -> str:
-    return f"""select user_id, avg(h) work_left from (
-        select user_id, "day", (86399 - (sec+coalesce(next_sec, sec))/2.0)/3600.0 h from (
+    return f"""select user_id, sum(h) / cast(count(*) as double) / 7200 work_left from (
+        select user_id, "day", 2*86399 - (sec+coalesce(next_sec, sec)) h from (
           select *, row_number() over (partition by user_id, "day" order by sec desc) rn
           from ({moments('user_work', 'work', known)}) where cell_id = work)
         where rn = 1) where h <> 0 group by user_id"""
@@ -74,8 +74,8 @@ def rank(metric: str, value: str, sign: str) -> str:
 
 
 def work_hours(days: str) -> str:
-    return f"""select user_id, avg(h) work_hours from (
-        select s.user_id, s."day", sum(dur_h) h from local_stop s
+    return f"""select user_id, sum(h) / cast(count(*) as double) / 1e6 work_hours from (
+        select s.user_id, s."day", sum(cast(round(dur_h*1e6) as bigint)) h from local_stop s
         join user_work w on w.user_id = s.user_id and w.cell_id = s.cell_id
         where isodow(s."day") {days} group by s.user_id, s."day") group by user_id"""
 
@@ -90,7 +90,7 @@ register(
             select user_id, cell_id, round(sum(dur_h), 6) h from month_stop where hour(ts) <= 6
             group by user_id, cell_id)) r join base_station b using(cell_id) where rn = 1) h using(user_id)""",
     person_day="""select distinct spot, "day", user_id, prov from spot_visit""",
-    stay_hours="""select spot, user_id, "day", round(sum(dur_h), 6) hours from spot_visit
+    stay_hours="""select spot, user_id, "day", cast(sum(cast(round(dur_h*1e6) as bigint)) as bigint) micro from spot_visit
         group by spot, user_id, "day" """,
     call_end="""select caller user_id, callee other, call_ts, dur_ms from cdr
         union all select callee, caller, call_ts, dur_ms from cdr""",
@@ -123,7 +123,7 @@ register(
           select user_id, lng, lat, row_number() over (partition by user_id order by count(*) desc, lng, lat) rn
           from month_stop group by user_id, lng, lat) t on t.user_id = v.user_id group by v.user_id, v.prov""".format(
         ", ".join(f"max(t.{c}) filter (where rn={i}) {c}{i}" for i in (1, 2, 3) for c in ("lng", "lat"))),
-    spot_count_t="""select v.user_id, coalesce(n, 0) spots, coalesce(h, 0.0) hours from visitor v left join (
+    spot_count_t="""select v.user_id, coalesce(n, 0) spots, coalesce(h, 0.0) as hours from visitor v left join (
           select user_id, count(distinct scenic_id) n, sum(dur_h) h from month_stop join scenic_spot using(cell_id)
           group by user_id) using(user_id)""",
     max_dist_t=f"""select v.user_id, coalesce(max({km('s.lng', 's.lat', 'h.lng', 'h.lat')}), -1.0) max_km
@@ -141,7 +141,7 @@ register(
           group by b.cell_id) c on c.cell_id = h.home_cell""",
     spot_flow_t=f"""select spot, count(*) total, {DAY_COLUMNS} from (
           select distinct spot, "day", user_id from spot_visit) group by spot""",
-    spot_avg_t="select spot, avg(hours) avg_hours from stay_hours group by spot",
+    spot_avg_t="select spot, sum(micro) / cast(count(*) as double) / 1e6 avg_hours from stay_hours group by spot",
     first_visit="select user_id, spot, min(ts) ts, max(stay_days) stay_days from spot_visit group by user_id, spot",
     migration_t="""select "day", s1, s2, count(*) n from (
           select distinct user_id, "day", s1, s2 from (
@@ -150,8 +150,8 @@ register(
     home_left_t=home_left(True),
     work_left_t=work_left(True),
     work_left_all=work_left(False),
-    work_arrival_t=f"""select user_id, avg(h) work_arrival from (
-        select user_id, "day", (sec+coalesce(before_sec, sec))/2.0/3600.0 h from (
+    work_arrival_t=f"""select user_id, sum(h) / cast(count(*) as double) / 7200 work_arrival from (
+        select user_id, "day", sec+coalesce(before_sec, sec) h from (
           select *, row_number() over (partition by user_id, "day" order by sec) rn
           from ({moments('user_work', 'work', False)}) where cell_id = work)
         where rn = 1) where h <> 0 group by user_id""",
@@ -268,8 +268,8 @@ SQL = {
     "prov_by_transport": "select prov, {} from transport_out_t join visitor using(user_id) group by prov".format(
         ", ".join(f"count(*) filter (where transport={m}) m{m}" for m in range(4))),
     "spot_avg_stay": "select * from spot_avg_t",
-    "spot_stay_hist": "select spot, {}, count(*) filter (where hours >= 5) b5plus from stay_hours group by spot".format(
-        ", ".join(f"count(*) filter (where floor(hours)={h}) b{h}" for h in range(1, 5))),
+    "spot_stay_hist": "select spot, {}, count(*) filter (where micro >= 5000000) b5plus from stay_hours group by spot".format(
+        ", ".join(f"count(*) filter (where micro // 1000000 = {h}) b{h}" for h in range(1, 5))),
     "stay_days_hist": """select cast(d as int) stay_days, count(distinct user_id) n from range(3, 16) r(d)
         left join visitor on stay_days = d group by d""",
     "daily_in_out": f"""select cast(d as date) as "day", count(distinct a.user_id) n_in, count(distinct b.user_id) n_out
@@ -279,7 +279,7 @@ SQL = {
         coalesce(f.total, 0) * coalesce(a.avg_hours, 0.0) / 1000 cum_hours
         from (select distinct scenic_id spot from scenic_spot) s left join spot_flow_t f on f.spot = s.spot
         left join spot_avg_t a on a.spot = s.spot""",
-    "spot_concentration": """select spot, 100 * sqrt(sum(n*n)) / sum(n) g from (
+    "spot_concentration": """select spot, sqrt(sum(n*n)) / sum(n) * 100 g from (
         select spot, case when prov in (309, 327) or prov > 331 then -1 else prov end p, cast(count(*) as double) n
         from person_day group by spot, p) group by spot""",
     "nearest_poi_dist": f"""select s.scenic_id spot, min({km('b.lng', 'b.lat', 'p.lng', 'p.lat')}) km
@@ -298,9 +298,9 @@ SQL = {
     "home_left_time_all": home_left(False),
     "work_left_time_all": "select * from work_left_all",
     "work_arrival_time": "select * from work_arrival_t",
-    "home_arrival_time": f"""select user_id, avg(h) home_arrival from (
-        select s.user_id, s."day", coalesce(max((86399 - {SEC})/3600.0) filter (
-            where s.cell_id = h.cell_id and round((86399 - {SEC})/3600.0, 9) < round(w.work_left, 9)), 0.0) h
+    "home_arrival_time": f"""select user_id, sum(h) / cast(count(*) as double) / 3600 home_arrival from (
+        select s.user_id, s."day", coalesce(max(86399 - {SEC}) filter (
+            where s.cell_id = h.cell_id and round((86399 - {SEC})/3600.0, 9) < round(w.work_left, 9)), 0) h
         from local_stop s join user_home h on h.user_id = s.user_id join work_left_all w on w.user_id = s.user_id
         where isodow(s."day") < 6 group by s.user_id, s."day") group by user_id""",
     "life_radius": "select * from radius_t",
@@ -321,7 +321,7 @@ SQL = {
     "rank_arrival": rank("work_arrival_t", "work_arrival", "<"),
     "rank_weekday_hours": rank("weekday_hours_t", "work_hours", ">"),
     "rank_weekend_hours": rank("weekend_hours_t", "work_hours", ">"),
-    "social_circle_calls": """select 0 as type, freq, dur_ms/60000.0 minutes from circle_pair where family
+    "social_circle_calls": """select 0 as type, freq, dur_ms/60000.0 as minutes from circle_pair where family
         union all select 1, freq, dur_ms/60000.0 from circle_pair where colleague
         union all select 2, freq, dur_ms/60000.0 from circle_pair where not family and not colleague""",
     "call_features": "select * from call_features_t",
@@ -358,5 +358,50 @@ SQL = {
 }
 
 
+# The columns of type double, which are rounded as in the registered queries.
+DOUBLES = {
+    "visitor_home": "lng lat",
+    "top3_locations": "lng1 lat1 lng2 lat2 lng3 lat3",
+    "spot_visit_count": "hours",
+    "max_dist_from_home": "max_km",
+    "visitor_profile": "hours max_km lng1 lat1 lng2 lat2 lng3 lat3 home_lng home_lat",
+    "home_place_count": "lng lat",
+    "spot_avg_stay": "avg_hours",
+    "spot_rank": "avg_hours cum_hours",
+    "spot_concentration": "g",
+    "nearest_poi_dist": "km",
+    "home_left_time": "home_left",
+    "work_left_time": "work_left",
+    "home_left_time_all": "home_left",
+    "work_left_time_all": "work_left",
+    "work_arrival_time": "work_arrival",
+    "home_arrival_time": "home_arrival",
+    "life_radius": "radius_km",
+    "trip_hours": "trip_hours",
+    "resident_spot_hours": "spot_hours",
+    "commute_dist": "commute_km",
+    "resident_profile": "home_left work_left radius_km trip_hours spot_hours commute_km "
+                        "home_lng home_lat work_lng work_lat",
+    "work_hours_weekday": "work_hours",
+    "work_hours_weekend": "work_hours",
+    "rank_arrival": "ratio",
+    "rank_weekday_hours": "ratio",
+    "rank_weekend_hours": "ratio",
+    "social_circle_calls": "minutes",
+    "call_features": "callin_hours callout_hours",
+    "callin_stats": "callin_hours",
+    "callout_stats": "callout_hours",
+    "social_features": "callin_hours callout_hours",
+    "stop_speed": "km kmh",
+    "poi_tfidf": "score",
+}
+
+
+def _rounded(name: str) -> str:
+    columns = [f'floor("{c}" * 1e6 + 0.5) / 1e6 as "{c}"' for c in DOUBLES.get(name, "").split()]
+    replaced = f" replace ({', '.join(columns)})" if columns else ""
+    return f"select *{replaced} from ({SQL[name]})"
+
+
 def statements() -> dict[str, str]:
-    return {name: with_tables(sql) for name, sql in SQL.items()}
+    return {name: with_tables(_rounded(name)) for name in SQL}

@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 
 DAY_SECONDS = 86400
 LAST_SECOND = DAY_SECONDS - 1
+MICRO = 1_000_000
+
+
+def micro_hours(hours: Column) -> Column:
+    """Hours as whole millionths, whose sums do not depend on the order of the rows."""
+    return F.round(hours * MICRO).cast("bigint")
 
 
 def month_bounds(month: str) -> tuple[dt.date, dt.date]:

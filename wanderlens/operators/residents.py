@@ -10,10 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql.window import WindowSpec
 
 from wanderlens.functions.geo import distance_km
-from wanderlens.functions.times import LAST_SECOND, is_weekday, second_of_day
+from wanderlens.functions.times import LAST_SECOND, MICRO, is_weekday, micro_hours, second_of_day
 from wanderlens.operators.social import circle_members
 
-HOUR = 3600.0
 EARLIEST_LEAVE = 4 * 3600
 TRIP_HOURS, TRIP_KM = 6, 10
 
@@ -64,7 +63,8 @@ def callout_contacts(cdr: DataFrame, users: DataFrame) -> DataFrame:
 # --- daily rhythm ------------------------------------------------------------------------------
 # Stops of a user at one cell in one second are one moment. Making them distinct first bounds a
 # user's day by its seconds, so the windows below never meet an unbounded group. The join on the
-# user then also serves the window over (user, day).
+# user then also serves the window over (user, day). Midpoints are kept as whole half seconds: means
+# over whole numbers do not depend on the order in which tasks finish.
 
 
 def _moments(stops: DataFrame, weekdays: bool = True) -> DataFrame:
@@ -76,8 +76,8 @@ def _by_time() -> WindowSpec:
     return W.partitionBy("user_id", "day").orderBy("sec", "cell_id")
 
 
-def _mean(per_day: DataFrame, name: str) -> DataFrame:
-    return per_day.groupBy("user_id").agg(F.avg("hours").alias(name))
+def _mean(per_day: DataFrame, name: str, units_per_hour: int) -> DataFrame:
+    return per_day.groupBy("user_id").agg((F.avg("units") / units_per_hour).alias(name))
 
 
 def home_left_time(stops: DataFrame, homes: DataFrame, known_only: bool = True) -> DataFrame:
@@ -88,51 +88,52 @@ def home_left_time(stops: DataFrame, homes: DataFrame, known_only: bool = True)
         F.lag("cell_id").over(_by_time()).alias("before_cell"),
         F.lag("sec").over(_by_time()).alias("before_sec"),
     )
-    left_at = (F.col("sec") + F.col("before_sec")) / 2
+    left_at = F.col("sec") + F.col("before_sec")
     per_day = (
-        pairs.filter("before_cell = home and cell_id <> home").filter(left_at >= EARLIEST_LEAVE)
-        .groupBy("user_id", "day").agg((F.min(left_at) / HOUR).alias("hours"))
+        pairs.filter("before_cell = home and cell_id <> home").filter(left_at >= 2 * EARLIEST_LEAVE)
+        .groupBy("user_id", "day").agg(F.min(left_at).alias("units"))
     )
-    return _mean(per_day, "home_left")
+    return _mean(per_day, "home_left", 7200)
 
 
 def work_left_time(stops: DataFrame, works: DataFrame, known_only: bool = True) -> DataFrame:
     """Mean weekday hours before 23:59:59 of leaving work: halfway to the stop after the last one there."""
     moments = _moments(stops).join(_cell_of(works, "work", known_only), "user_id")
-    half = (F.col("sec") + F.coalesce(F.lead("sec").over(_by_time()), F.col("sec"))) / 2
+    left_at = F.col("sec") + F.coalesce(F.lead("sec").over(_by_time()), F.col("sec"))
     # Of a user's moments at work on a day the last one also has the largest midpoint.
     per_day = (
-        moments.withColumn("left_at", half).filter("cell_id = work")
-        .groupBy("user_id", "day").agg(((LAST_SECOND - F.max("left_at")) / HOUR).alias("hours"))
-        .filter("hours <> 0")
+        moments.withColumn("left_at", left_at).filter("cell_id = work")
+        .groupBy("user_id", "day").agg((2 * LAST_SECOND - F.max("left_at")).alias("units"))
+        .filter("units <> 0")
     )
-    return _mean(per_day, "work_left")
+    return _mean(per_day, "work_left", 7200)
 
 
 def work_arrival_time(stops: DataFrame, works: DataFrame, known_only: bool = False) -> DataFrame:
     """Mean weekday hours after midnight of reaching work: halfway from the stop before the first one there."""
     moments = _moments(stops).join(_cell_of(works, "work", known_only), "user_id")
-    half = (F.col("sec") + F.coalesce(F.lag("sec").over(_by_time()), F.col("sec"))) / 2
+    reached_at = F.col("sec") + F.coalesce(F.lag("sec").over(_by_time()), F.col("sec"))
     per_day = (
-        moments.withColumn("reached_at", half).filter("cell_id = work")
-        .groupBy("user_id", "day").agg((F.min("reached_at") / HOUR).alias("hours"))
-        .filter("hours <> 0")
+        moments.withColumn("reached_at", reached_at).filter("cell_id = work")
+        .groupBy("user_id", "day").agg(F.min("reached_at").alias("units"))
+        .filter("units <> 0")
     )
-    return _mean(per_day, "work_arrival")
+    return _mean(per_day, "work_arrival", 7200)
 
 
 def home_arrival_time(stops: DataFrame, homes: DataFrame, work_left: DataFrame, known_only: bool = False) -> DataFrame:
     """Mean weekday hours before 23:59:59 of the first stop at home after the user's mean time of
     leaving work; a day without one counts 0."""
     home = _cell_of(homes, "home", known_only).join(work_left, "user_id")
-    to_midnight = (LAST_SECOND - F.col("sec")) / HOUR
-    at_home = (F.col("cell_id") == F.col("home")) & (F.round(to_midnight, 9) < F.round("work_left", 9))
+    to_midnight = LAST_SECOND - F.col("sec")
+    after_work = F.round(to_midnight / 3600, 9) < F.round("work_left", 9)
+    at_home = (F.col("cell_id") == F.col("home")) & after_work
     per_day = (
         _moments(stops).join(home, "user_id")
         .groupBy("user_id", "day")
-        .agg(F.coalesce(F.max(F.when(at_home, to_midnight)), F.lit(0.0)).alias("hours"))
+        .agg(F.coalesce(F.max(F.when(at_home, to_midnight)), F.lit(0)).alias("units"))
     )
-    return _mean(per_day, "home_arrival")
+    return _mean(per_day, "home_arrival", 3600)
 
 
 # --- places ------------------------------------------------------------------------------------
@@ -198,9 +199,10 @@ def commute_dist(homes: DataFrame, works: DataFrame, users: DataFrame) -> DataFr
 def work_hours(stops: DataFrame, works: DataFrame, weekend: bool = False) -> DataFrame:
     """Mean hours per day at the work cell, over the days with a stop there."""
     wanted = ~is_weekday(F.col("day")) if weekend else is_weekday(F.col("day"))
-    per_cell = stops.filter(wanted).groupBy("user_id", "cell_id", "day").agg(F.sum("dur_h").alias("hours"))
+    micro = F.sum(micro_hours(F.col("dur_h"))).alias("micro")
+    per_cell = stops.filter(wanted).groupBy("user_id", "cell_id", "day").agg(micro)
     at_work = per_cell.join(works.select("user_id", "cell_id"), ["user_id", "cell_id"])
-    return at_work.groupBy("user_id").agg(F.avg("hours").alias("work_hours"))
+    return at_work.groupBy("user_id").agg((F.avg("micro") / MICRO).alias("work_hours"))
 
 
 def circle_rank(circles: DataFrame, metric: DataFrame, value: str, more: bool) -> DataFrame:

@@ -13,7 +13,7 @@ from wanderlens.functions.counts import (
     spread_provinces,
 )
 from wanderlens.functions.scores import first_tag
-from wanderlens.functions.times import day_in_month, month_days, ts_in_month
+from wanderlens.functions.times import MICRO, day_in_month, micro_hours, month_days, ts_in_month
 from wanderlens.operators.spatial import nearest_distance
 
 OPEN_HOUR, CLOSE_HOUR = 7, 20
@@ -98,21 +98,21 @@ def prov_by_transport(transport: DataFrame, visitors: DataFrame) -> DataFrame:
 
 
 def _stay_hours(visits: DataFrame, visitors: DataFrame) -> DataFrame:
-    """Hours per (spot, user, day), counted once per visitor row of the user as a join would."""
-    hours = visits.groupBy("spot", "user_id", "day").agg(F.sum("dur_h").alias("hours"))
-    return hours.join(visitor_rows(visitors), "user_id").select(
-        "spot", F.round(F.col("hours") * F.col("n_rows"), 6).alias("hours")
+    """Millionths of hours per (spot, user, day), once per visitor row of the user as a join would."""
+    stays = visits.groupBy("spot", "user_id", "day").agg(F.sum(micro_hours(F.col("dur_h"))).alias("micro"))
+    return stays.join(visitor_rows(visitors), "user_id").select(
+        "spot", (F.col("micro") * F.col("n_rows")).alias("micro")
     )
 
 
 def spot_avg_stay(visits: DataFrame, visitors: DataFrame) -> DataFrame:
     """Mean hours of a visitor's day at the spot."""
-    return _stay_hours(visits, visitors).groupBy("spot").agg(F.avg("hours").alias("avg_hours"))
+    return _stay_hours(visits, visitors).groupBy("spot").agg((F.avg("micro") / MICRO).alias("avg_hours"))
 
 
 def spot_stay_hist(visits: DataFrame, visitors: DataFrame) -> DataFrame:
     """Visitor days per spot by whole hours: 1, 2, 3, 4, and 5 or more."""
-    whole = F.floor("hours")
+    whole = F.floor(F.col("micro") / MICRO)
     buckets = [F.count_if(whole == h).alias(f"b{h}") for h in range(1, 5)]
     return _stay_hours(visits, visitors).groupBy("spot").agg(*buckets, F.count_if(whole >= 5).alias("b5plus"))
 

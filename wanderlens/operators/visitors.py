@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from wanderlens.constants import DUTY_FREE_SPOT, HUB_KM, UNKNOWN_MODE
 from wanderlens.functions.geo import distance_km, transport_mode
-from wanderlens.functions.times import ts_in_month
+from wanderlens.functions.times import micro_hours, ts_in_month
 from wanderlens.operators.social import contact_pairs
 
 
@@ -65,9 +65,9 @@ def visitor_home(stops: DataFrame, visitors: DataFrame, stations: DataFrame, mon
     """Lodging: the cell with most night hours; unknown if that cell has no station row."""
     per_cell = (
         month_stops(stops, month).filter(F.hour("ts") <= 6)
-        .groupBy("user_id", "cell_id").agg(F.round(F.sum("dur_h"), 6).alias("hours"))
+        .groupBy("user_id", "cell_id").agg(F.sum(micro_hours(F.col("dur_h"))).alias("micro"))
     )
-    longest = F.max_by("cell_id", F.struct("hours", -F.col("cell_id")))
+    longest = F.max_by("cell_id", F.struct("micro", -F.col("cell_id")))
     homes = per_cell.groupBy("user_id").agg(longest.alias("home_cell"))
     located = homes.join(
         stations.select(F.col("cell_id").alias("home_cell"), "lng", "lat"), "home_cell"
