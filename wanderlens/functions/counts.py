@@ -11,24 +11,25 @@ ELSE = -1
 PROVINCE_COLUMNS = [f"p_{p}" for p in PROVINCES] + ["p_else"]
 
 
-def province_bucket(prov: Column) -> Column:
+def province_bucket(prov: str = "prov") -> Column:
     """The province code, or ELSE for codes outside the report list."""
-    return F.when(prov.isin(PROVINCES), prov).otherwise(ELSE)
+    return F.expr(f"if({prov} in ({', '.join(map(str, PROVINCES))}), {prov}, {ELSE})")
 
 
-def spread_counts(df: DataFrame, keys: list[str], bucket: str, columns: dict[int, str],
-                  weight: Column | None = None) -> DataFrame:
-    """Rows (or ``weight``) per ``keys`` in one column per bucket value, 0 where there are none.
+def spread_counts(df: DataFrame, keys: list[str], bucket: str, columns: dict[int, str]) -> DataFrame:
+    """Rows per ``keys`` in one column per bucket value, 0 where there are none.
 
     Counting per (keys, bucket) comes first, so a hot key is combined before any shuffle.
     """
-    total = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    wide = df.groupBy(*keys).pivot(bucket, list(columns)).agg(total)
-    return wide.select(
-        *keys, *[F.coalesce(F.col(str(v)), F.lit(0)).alias(name) for v, name in columns.items()]
-    )
+    wide = df.groupBy(*keys).pivot(bucket, list(columns)).count()
+    names = list(columns.values())
+    return wide.toDF(*keys, *names).fillna(0, names)
 
 
-def spread_provinces(df: DataFrame, keys: list[str], prov: str = "prov") -> DataFrame:
+def spread_provinces(df: DataFrame, keys: list[str]) -> DataFrame:
     columns = dict(zip([*PROVINCES, ELSE], PROVINCE_COLUMNS))
-    return spread_counts(df.withColumn("bucket", province_bucket(F.col(prov))), keys, "bucket", columns)
+    return spread_counts(df.withColumn("bucket", province_bucket()), keys, "bucket", columns)
+
+
+def total_of(columns: list[str]) -> Column:
+    return F.expr(" + ".join(columns))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wanderlens.sources.stored import stored
+
 
 def _answered(cdr: DataFrame) -> DataFrame:
     return cdr.filter("caller is not null and callee is not null")
@@ -97,25 +99,38 @@ def _zero_filled(users: DataFrame, feature: DataFrame) -> DataFrame:
     return users.join(feature, "user_id", "left").fillna(0)
 
 
-def call_features(cdr: DataFrame, users: DataFrame) -> DataFrame:
-    """Contacts, calls and duration per resident: both directions (ms), incoming and outgoing (hours)."""
+def all_call_features(cdr: DataFrame, users: DataFrame) -> DataFrame:
+    """Distinct contacts, calls and total ms of each resident, over both directions."""
     both = both_directions(undirected_pairs(cdr)).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("all_contacts"),
         F.sum("freq").alias("all_calls"),
         F.sum("dur_ms").alias("all_ms"),
     )
-    directed = _answered(cdr).groupBy("caller", "callee").agg(
-        F.count(F.lit(1)).alias("freq"), F.sum("dur_ms").alias("dur_ms")
-    )
-    features = users
-    for name, end in (("callin", "callee"), ("callout", "caller")):
-        one_way = directed.groupBy(F.col(end).alias("user_id")).agg(
+    return _zero_filled(users, both)
+
+
+def one_way_features(cdr: DataFrame, users: DataFrame, incoming: bool) -> DataFrame:
+    """Distinct contacts, calls and hours of each resident, for calls received or made."""
+    name, user = ("callin", "callee") if incoming else ("callout", "caller")
+    one_way = (
+        _answered(cdr).groupBy("caller", "callee")
+        .agg(F.count(F.lit(1)).alias("freq"), F.sum("dur_ms").alias("dur_ms"))
+        .groupBy(F.col(user).alias("user_id")).agg(
             F.count(F.lit(1)).alias(f"{name}_contacts"),
             F.sum("freq").alias(f"{name}_calls"),
             (F.sum("dur_ms") / 3600000).alias(f"{name}_hours"),
         )
-        features = features.join(one_way, "user_id", "left")
-    return _zero_filled(features, both)
+    )
+    return _zero_filled(users, one_way)
+
+
+def call_features(cdr: DataFrame, users: DataFrame) -> DataFrame:
+    """All call features of a resident side by side."""
+    return (
+        all_call_features(cdr, users)
+        .join(one_way_features(cdr, users, True), "user_id")
+        .join(one_way_features(cdr, users, False), "user_id")
+    )
 
 
 def circle_features(circles: DataFrame, users: DataFrame) -> DataFrame:
@@ -142,15 +157,20 @@ def triangle_count(cdr: DataFrame, users: DataFrame) -> DataFrame:
     ).distinct()
     for end in ("a", "b"):
         ordered = ordered.join(users.select(F.col("user_id").alias(end)), end, "left_semi")
+    ordered = stored(ordered, "call-edges")
     degree = both_directions(ordered).groupBy("user_id").agg(F.count(F.lit(1)).alias("degree"))
+    directed = ordered
     for end in ("a", "b"):
-        ordered = ordered.join(
+        directed = directed.join(
             degree.select(F.col("user_id").alias(end), F.col("degree").alias(f"{end}_degree")), end
         )
     forward = F.struct("a_degree", "a") < F.struct("b_degree", "b")
-    edges = ordered.select(
-        F.when(forward, F.col("a")).otherwise(F.col("b")).alias("src"),
-        F.when(forward, F.col("b")).otherwise(F.col("a")).alias("dst"),
+    edges = stored(
+        directed.select(
+            F.when(forward, F.col("a")).otherwise(F.col("b")).alias("src"),
+            F.when(forward, F.col("b")).otherwise(F.col("a")).alias("dst"),
+        ),
+        "call-arrows",
     )
     heads = edges.groupBy("src").agg(F.collect_list("dst").alias("out"))
     closing = (

@@ -11,6 +11,7 @@ from wanderlens.functions.counts import (
     province_bucket,
     spread_counts,
     spread_provinces,
+    total_of,
 )
 from wanderlens.functions.scores import first_tag
 from wanderlens.functions.times import MICRO, day_in_month, micro_hours, month_days, ts_in_month
@@ -47,8 +48,7 @@ def visitor_flow_by_prov(records: DataFrame, visitors: DataFrame, month: str) ->
     names = F.transform(seen_on, lambda d: F.concat(F.lit(month), F.lpad(d.cast("string"), 2, "0")))
     rows = presence.select("prov", F.explode(F.concat(F.array(F.lit(month)), names)).alias("period"))
     flow = spread_provinces(rows, ["period"])
-    total = sum((F.col(c) for c in PROVINCE_COLUMNS), F.lit(0))
-    return flow.select("period", total.alias("total"), *PROVINCE_COLUMNS)
+    return flow.select("period", total_of(PROVINCE_COLUMNS).alias("total"), *PROVINCE_COLUMNS)
 
 
 def _person_days(visits: DataFrame, visitors: DataFrame) -> DataFrame:
@@ -74,8 +74,7 @@ def spot_flow_month(visits: DataFrame, visitors: DataFrame) -> DataFrame:
     )
     columns = {d: f"d{d}" for d in range(1, 32)}
     flow = spread_counts(people.withColumn("dom", F.dayofmonth("day")), ["spot"], "dom", columns)
-    total = sum((F.col(c) for c in columns.values()), F.lit(0))
-    return flow.select("spot", total.alias("total"), *columns.values())
+    return flow.select("spot", total_of(list(columns.values())).alias("total"), *columns.values())
 
 
 def spot_flow_day_hour(visits: DataFrame, visitors: DataFrame) -> DataFrame:
@@ -150,7 +149,7 @@ def spot_rank(spots: DataFrame, flow: DataFrame, stays: DataFrame) -> DataFrame:
 def spot_concentration(visits: DataFrame, visitors: DataFrame) -> DataFrame:
     """Geographic concentration 100 * sqrt(sum of squared province shares) per spot, on person-days."""
     by_prov = (
-        _person_days(visits, visitors).withColumn("bucket", province_bucket(F.col("prov")))
+        _person_days(visits, visitors).withColumn("bucket", province_bucket())
         .groupBy("spot", "bucket").agg(F.count(F.lit(1)).cast("double").alias("n"))
     )
     index = F.sqrt(F.sum(F.col("n") * F.col("n"))) / F.sum("n") * 100

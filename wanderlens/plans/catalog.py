@@ -18,6 +18,7 @@ from wanderlens.functions.geo import distance_km, speed_kmh, transport_mode
 from wanderlens.functions.scores import poi_total, tf_idf
 from wanderlens.operators import lodging, movement, residents, routes, social, spots, visitors
 from wanderlens.operators.spatial import within_radius
+from wanderlens.sources.stored import stored
 
 
 class Catalog:
@@ -26,6 +27,13 @@ class Catalog:
     def __init__(self, inputs, month: str, whole=None):
         self.inputs, self.month, self.whole = inputs, month, whole or inputs
 
+    def _with_stored(self, *names: str) -> Catalog:
+        """The same queries, with the named shared tables computed once and read from files."""
+        other = Catalog(self.inputs, self.month, self.whole)
+        for name in names:
+            other.__dict__[name] = stored(getattr(other, name), name)
+        return other
+
     # --- shared tables ---
 
     @cached_property
@@ -103,10 +111,10 @@ class Catalog:
         return lodging.hotel_classify(self.inputs.poi, self.inputs.base_station, self.home)
 
     def visitor_profile(self):
+        c = self._with_stored("visitor", "home")
         return visitors.visitor_profile(
-            self.visitor, self.transport, self.home, self.visitor_type(), self.duty_free_visit(),
-            self.call_strength(), self.spot_visit_count(), self.max_dist_from_home(),
-            self.top3_locations(), self.hotel_classify(),
+            c.visitor, c.transport, c.home, c.visitor_type(), c.duty_free_visit(), c.call_strength(),
+            c.spot_visit_count(), c.max_dist_from_home(), c.top3_locations(), c.hotel_classify(),
         )
 
     def home_place_count(self):
@@ -262,16 +270,18 @@ class Catalog:
         return social.call_features(self.whole.cdr, self.users)
 
     def all_contacts(self):
-        return self.call_features().select("user_id", "all_contacts")
+        return social.all_call_features(self.whole.cdr, self.users).select("user_id", "all_contacts")
 
     def all_call_stats(self):
-        return self.call_features().select("user_id", "all_calls", "all_ms")
+        return social.all_call_features(self.whole.cdr, self.users).select("user_id", "all_calls", "all_ms")
 
     def callin_stats(self):
-        return self.call_features().select("user_id", "callin_calls", "callin_hours")
+        features = social.one_way_features(self.whole.cdr, self.users, incoming=True)
+        return features.select("user_id", "callin_calls", "callin_hours")
 
     def callout_stats(self):
-        return self.call_features().select("user_id", "callout_calls", "callout_hours")
+        features = social.one_way_features(self.whole.cdr, self.users, incoming=False)
+        return features.select("user_id", "callout_calls", "callout_hours")
 
     def circle_features(self):
         return social.circle_features(self.circles, self.users)

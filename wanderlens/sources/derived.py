@@ -31,9 +31,18 @@ class DerivedInputs:
 
     def __init__(self, spark: SparkSession, folder: str, month: str | None = None):
         self.spark, self.folder, self.month = spark, str(folder), month
+        self._tables: dict[str, DataFrame] = {}
+
+    def all_months(self) -> DerivedInputs:
+        """The same inputs without the month limit."""
+        whole = DerivedInputs(self.spark, self.folder)
+        whole._tables = self._tables
+        return whole
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     def _events(self, month: str | None) -> DataFrame:
         events = self._table("events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
