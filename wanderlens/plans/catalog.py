@@ -26,13 +26,14 @@ class Catalog:
 
     def __init__(self, inputs, month: str, whole=None):
         self.inputs, self.month, self.whole = inputs, month, whole or inputs
+        self._fixed: set[str] = set()
 
-    def _with_stored(self, *names: str) -> Catalog:
-        """The same queries, with the named shared tables computed once and read from files."""
-        other = Catalog(self.inputs, self.month, self.whole)
-        for name in names:
-            other.__dict__[name] = stored(getattr(other, name), name)
-        return other
+    def fix(self, table: str) -> DataFrame:
+        """Compute a shared table once; the queries asked for from now on read it from files."""
+        if table not in self._fixed:
+            self._fixed.add(table)
+            self.__dict__[table] = stored(getattr(self, table), table)
+        return self.__dict__[table]
 
     # --- shared tables ---
 
@@ -111,10 +112,12 @@ class Catalog:
         return lodging.hotel_classify(self.inputs.poi, self.inputs.base_station, self.home)
 
     def visitor_profile(self):
-        c = self._with_stored("visitor", "home")
+        self.fix("visitor")
+        self.fix("home")
         return visitors.visitor_profile(
-            c.visitor, c.transport, c.home, c.visitor_type(), c.duty_free_visit(), c.call_strength(),
-            c.spot_visit_count(), c.max_dist_from_home(), c.top3_locations(), c.hotel_classify(),
+            self.visitor, self.transport, self.home, self.visitor_type(), self.duty_free_visit(),
+            self.call_strength(), self.spot_visit_count(), self.max_dist_from_home(),
+            self.top3_locations(), self.hotel_classify(),
         )
 
     def home_place_count(self):
@@ -390,5 +393,5 @@ class Catalog:
 
 QUERIES = [
     name for name, member in vars(Catalog).items()
-    if callable(member) and not name.startswith("_")
+    if callable(member) and not name.startswith("_") and name != "fix"
 ]

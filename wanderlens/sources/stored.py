@@ -19,10 +19,11 @@ _local_folder: str | None = None
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; one local folder per process where none is set, as in tests."""
     global _local_folder
-    named = spark.sparkContext.getConf().get(_FOLDER) or spark.conf.get(_FOLDER, None)
+    context = spark.sparkContext
+    named = context.getConf().get(_FOLDER) or spark.conf.get(_FOLDER, None) or context.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError(f"{_FOLDER} must name a folder that all executors share")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="wanderlens-")
