@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from wanderlens.sources.schemas import TABLES, VISITOR
@@ -33,19 +33,24 @@ UNKNOWN = "None"
 STAMP, DAY = "yyyyMMddHHmmss", "yyyyMMdd"
 
 
+def _strict(spark: SparkSession) -> DataFrameReader:
+    """A reader that checks every field of a line, also those that the query does not use."""
+    return spark.read.options(
+        mode="FAILFAST", columnPruning=False, timestampNTZFormat=STAMP, dateFormat=DAY,
+        ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
+    )
+
+
 def read_csv(spark: SparkSession, layout: str, path: str) -> DataFrame:
     """One of the strict comma-separated layouts; unknown coordinates and cells become NULL."""
-    return spark.read.csv(
-        path, schema=RAW_LAYOUTS[layout], mode="FAILFAST", nullValue=UNKNOWN, timestampNTZFormat=STAMP,
-        dateFormat=DAY, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=True,
-    ) if layout != "spot" else _read_spots(spark, path)
+    return _strict(spark).option("nullValue", UNKNOWN).schema(RAW_LAYOUTS[layout]).csv(path)
 
 
-def _read_spots(spark: SparkSession, path: str) -> DataFrame:
+def read_spots(spark: SparkSession, path: str) -> DataFrame:
     """Spot and cell ids; lines whose spot id is not a number are headers."""
-    rows = spark.read.csv(path, schema=RAW_LAYOUTS["spot"], mode="FAILFAST")
-    return rows.filter(F.trim("sid").rlike("^[0-9]+$")).select(
-        F.trim("sid").cast("int").alias("scenic_id"), F.trim("cid").cast("bigint").alias("cell_id")
+    lines = _strict(spark).schema(RAW_LAYOUTS["spot"]).csv(path)
+    return lines.filter(F.col("sid").rlike("^[0-9]+$")).select(
+        F.col("sid").cast("int").alias("scenic_id"), F.col("cid").cast("bigint").alias("cell_id")
     )
 
 
@@ -143,7 +148,7 @@ class RawInputs:
 
     @cached_property
     def scenic_spot(self) -> DataFrame:
-        return self._csv("scenic_spot", "spot")
+        return read_spots(self.spark, self._paths["scenic_spot"])
 
     @cached_property
     def cdr(self) -> DataFrame:
