@@ -17,9 +17,9 @@ def place(user, cell, lng=110.0, lat=20.0):
 def test_calls(table, spark):
     users = spark.createDataFrame([(1,), (2,), (3,)], "user_id long")
     cdr = table("cdr", [(at("01 08:00:00"), a, b, 1) for a, b in ((1, 2), (1, 2), (2, 1), (1, None), (None, 1), (1, 1), (8, 9))])
-    assert rows(residents.call_records_per_user(cdr, users)) == [(1, 7), (2, 3), (3, 0)]
-    assert rows(residents.callin_contacts(cdr, users)) == [(1, 2), (2, 1), (3, 0)]
-    assert rows(residents.callout_contacts(cdr, users)) == [(1, 2), (2, 1), (3, 0)]
+    assert rows(residents.call_records_per_user(users, cdr)) == [(1, 7), (2, 3), (3, 0)]
+    assert rows(residents.callin_contacts(users, cdr)) == [(1, 2), (2, 1), (3, 0)]
+    assert rows(residents.callout_contacts(users, cdr)) == [(1, 2), (2, 1), (3, 0)]
 
 
 def test_leaving_home_before_four_does_not_count(table):
@@ -158,8 +158,8 @@ def test_radius_trips_and_commute(table, spark):
     degree = 111.1950802
     assert dict(rows(residents.life_radius(stops, homes, works)))[1] == pytest.approx(0.4 * degree, rel=1e-6)
     # 0.1 degrees are 11.1 km; 0.0899 are 9.996 km. Unknown places never make a trip.
-    assert rows(residents.weekend_trips(stops, homes, works, users)) == [(1, 2, 13.0), (2, 0, 0.0), (3, 0, 0.0)]
-    commute = dict(rows(residents.commute_dist(homes, works, users)))
+    assert rows(residents.weekend_trips(users, stops, homes, works)) == [(1, 2, 13.0), (2, 0, 0.0), (3, 0, 0.0)]
+    commute = dict(rows(residents.commute_dist(users, homes, works)))
     assert commute[1] == pytest.approx(0.1 * degree, rel=1e-6) and commute[2] == commute[3] == 0.0
 
 
@@ -167,7 +167,7 @@ def test_resident_spots(table, spark):
     users = spark.createDataFrame([(1,), (2,)], "user_id long")
     spots = table("scenic_spot", [(1, 10), (1, 11), (2, 20)])
     stops = table("local_stop", [stop(1, "01 01:00:00", c, 0.5) for c in (10, 11, 20, 99)])
-    assert rows(residents.resident_spot_visits(stops, spots, users)) == [(1, 2, 1.5), (2, 0, 0.0)]
+    assert rows(residents.resident_spot_visits(users, stops, spots)) == [(1, 2, 1.5), (2, 0, 0.0)]
 
 
 def test_work_hours_and_rank(table, spark):

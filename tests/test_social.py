@@ -45,12 +45,12 @@ def test_one_user_with_several_homes_keeps_pairs_single(table):
 def test_features(table, spark):
     users = spark.createDataFrame([(1,), (2,), (9,)], "user_id long")
     calls = [(1, 2, 3600000), (2, 1, 1800000), (1, 3, 1000), (1, None, 5)]
-    features = social.call_features(cdr(table, *calls), users)
+    features = social.call_features(users, cdr(table, *calls))
     assert rows(features, "user_id", "all_contacts", "all_calls", "all_ms") == [(1, 2, 3, 5401000), (2, 1, 2, 5400000), (9, 0, 0, 0)]
     assert rows(features, "user_id", "callin_contacts", "callin_calls", "callin_hours") == [(1, 1, 1, 0.5), (2, 1, 1, 1.0), (9, 0, 0, 0.0)]
     assert rows(features, "user_id", "callout_contacts", "callout_calls") == [(1, 2, 2), (2, 1, 1), (9, 0, 0)]
     found = circles(table, calls, [(1, 10), (2, 10)], [(1, 5), (3, 5)])
-    assert rows(social.circle_features(found, users), "user_id", "family_count", "family_calls", "colleague_ms", "friend_count") == [
+    assert rows(social.circle_features(users, found), "user_id", "family_count", "family_calls", "colleague_ms", "friend_count") == [
         (1, 1, 2, 1000, 0), (2, 1, 2, 0, 0), (9, 0, 0, 0, 0)
     ]
 
@@ -68,5 +68,5 @@ def test_triangles_against_all_triples(table, spark):
         if all(pair in kept for pair in itertools.combinations(triple, 2)):
             for u in triple:
                 counts[u] += 1
-    found = social.triangle_count(cdr(table, *calls), spark.createDataFrame([(u,) for u in residents], "user_id long"))
+    found = social.triangle_count(spark.createDataFrame([(u,) for u in residents], "user_id long"), cdr(table, *calls))
     assert dict(rows(found)) == counts and counts[0] > 100

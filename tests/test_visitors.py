@@ -41,9 +41,9 @@ def test_transport_uses_first_and_last_day(table):
         stop(1, "04 09:00:00", 1), stop(1, "04 10:00:00", 2), stop(1, "04 10:00:00", 3),
         stop(1, "04 23:00:00", 99),  # a cell without a station is left out
     ])
-    assert rows(visitors.transport_in(stops, v, stations)) == [(1, 0), (2, 3)]
+    assert rows(visitors.transport_in(v, stops, stations)) == [(1, 0), (2, 3)]
     # Equal times: the lower cell id decides.
-    assert rows(visitors.transport_out(stops, v, stations)) == [(1, 1), (2, 3)]
+    assert rows(visitors.transport_out(v, stops, stations)) == [(1, 1), (2, 3)]
 
 
 def test_home_is_the_cell_with_most_night_hours(table):
@@ -55,7 +55,7 @@ def test_home_is_the_cell_with_most_night_hours(table):
         stop(2, "01 03:00:00", 77, 5), stop(2, "02 03:00:00", 1, 1),  # chosen before the station lookup
         stop(3, "01 03:00:00", 2, 1), stop(3, "02 03:00:00", 1, 1),
     ])
-    home = visitors.visitor_home(stops, v, stations, MONTH)
+    home = visitors.visitor_home(v, stops, stations, MONTH)
     assert rows(home, "user_id", "home_cell") == [(1, 2), (2, None), (3, 1), (4, None)]
     assert rows(lodging.home_place_count(home)) == [(None, None, 2), (110.0, 20.0, 1), (111.0, 21.0, 1)]
 
@@ -84,11 +84,11 @@ def test_visitor_type(table):
     entries = [(f"01 0{i}:00:00", u, 50 + i) for u in (2, 3, 5) for i in range(3)]
     entries += [("01 08:00:00", 5, c) for c in (2, 3, 4)]
     cdr = calls(table, *entries)
-    found = visitors.visitor_type(residents, v, cdr)
+    found = visitors.visitor_type(v, residents, cdr)
     # 2 is busy; 3 stays too long for business; 4 has half of its contacts, none, among the counted;
     # 5 is busy but half of its contacts are visitors.
     assert rows(found) == [(2, "business"), (3, "bird"), (4, "bird"), (5, "bird")]
-    assert rows(visitors.visitor_type(residents, v, cdr, default_type="other")) == [
+    assert rows(visitors.visitor_type(v, residents, cdr, default_type="other")) == [
         (2, "business"), (3, "other"), (4, "other"), (5, "bird")
     ]
 

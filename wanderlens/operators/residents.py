@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,6 +10,7 @@ from pyspark.sql.window import WindowSpec
 from wanderlens.functions.geo import distance_km
 from wanderlens.functions.times import LAST_SECOND, MICRO, is_weekday, micro_hours, second_of_day
 from wanderlens.operators.social import circle_members
+from wanderlens.operators.spine import on_spine
 
 EARLIEST_LEAVE = 4 * 3600
 TRIP_HOURS, TRIP_KM = 6, 10
@@ -21,10 +20,6 @@ def resident_users(records: DataFrame) -> DataFrame:
     return records.select("user_id").distinct()
 
 
-def _for_each(users: DataFrame, feature: DataFrame, **defaults) -> DataFrame:
-    return users.join(feature, "user_id", "left").fillna(defaults)
-
-
 def _known(places: DataFrame) -> DataFrame:
     return places.filter("lng is not null and lat is not null")
 
@@ -37,27 +32,30 @@ def _cell_of(places: DataFrame, name: str, known_only: bool) -> DataFrame:
 # --- calls -------------------------------------------------------------------------------------
 
 
-def call_records_per_user(cdr: DataFrame, users: DataFrame) -> DataFrame:
+@on_spine(n=0)
+def call_records_per_user(users: DataFrame, cdr: DataFrame) -> DataFrame:
     """Call records at either end; the other end may be unknown."""
     ends = cdr.select(F.explode(F.array("caller", "callee")).alias("user_id")).filter("user_id is not null")
-    return _for_each(users, ends.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), n=0)
+    return ends.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _distinct_partners(cdr: DataFrame, users: DataFrame, user: str, partner: str) -> DataFrame:
+def _distinct_partners(cdr: DataFrame, user: str, partner: str) -> DataFrame:
     pairs = cdr.filter("caller is not null and callee is not null").select(
         F.col(user).alias("user_id"), F.col(partner).alias("partner")
     ).distinct()
-    return _for_each(users, pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), n=0)
+    return pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def callin_contacts(cdr: DataFrame, users: DataFrame) -> DataFrame:
+@on_spine(n=0)
+def callin_contacts(users: DataFrame, cdr: DataFrame) -> DataFrame:
     """Distinct callers of each resident."""
-    return _distinct_partners(cdr, users, "callee", "caller")
+    return _distinct_partners(cdr, "callee", "caller")
 
 
-def callout_contacts(cdr: DataFrame, users: DataFrame) -> DataFrame:
+@on_spine(n=0)
+def callout_contacts(users: DataFrame, cdr: DataFrame) -> DataFrame:
     """Distinct callees of each resident."""
-    return _distinct_partners(cdr, users, "caller", "callee")
+    return _distinct_partners(cdr, "caller", "callee")
 
 
 # --- daily rhythm ------------------------------------------------------------------------------
@@ -161,36 +159,36 @@ def life_radius(stops: DataFrame, homes: DataFrame, works: DataFrame) -> DataFra
     return per_day.groupBy("user_id").agg(F.avg("km").alias("radius_km"))
 
 
-def weekend_trips(stops: DataFrame, homes: DataFrame, works: DataFrame, users: DataFrame) -> DataFrame:
+@on_spine(trips=0, trip_hours=0.0)
+def weekend_trips(users: DataFrame, stops: DataFrame, homes: DataFrame, works: DataFrame) -> DataFrame:
     """Weekend stops of 6 hours, away from work and 10 km from home: number and total hours."""
     places = (
         stops.filter(~is_weekday(F.col("day")) & (F.col("dur_h") >= TRIP_HOURS))
         .groupBy("user_id", "cell_id", "lng", "lat")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("dur_h").alias("h"))
     )
-    trips = (
+    return (
         places.join(_from_home(homes, works), "user_id").filter("cell_id <> work")
         .filter(_km_from_home() >= TRIP_KM)
         .groupBy("user_id").agg(F.sum("n").alias("trips"), F.sum("h").alias("trip_hours"))
     )
-    return _for_each(users, trips, trips=0, trip_hours=0.0)
 
 
-def resident_spot_visits(stops: DataFrame, spots: DataFrame, users: DataFrame) -> DataFrame:
+@on_spine(spots=0, spot_hours=0.0)
+def resident_spot_visits(users: DataFrame, stops: DataFrame, spots: DataFrame) -> DataFrame:
     """Distinct scenic spots of a resident and hours there."""
     per_spot = (
         stops.join(spots.select("cell_id", "scenic_id"), "cell_id")
         .groupBy("user_id", "scenic_id").agg(F.sum("dur_h").alias("h"))
     )
-    visited = per_spot.groupBy("user_id").agg(F.count(F.lit(1)).alias("spots"), F.sum("h").alias("spot_hours"))
-    return _for_each(users, visited, spots=0, spot_hours=0.0)
+    return per_spot.groupBy("user_id").agg(F.count(F.lit(1)).alias("spots"), F.sum("h").alias("spot_hours"))
 
 
-def commute_dist(homes: DataFrame, works: DataFrame, users: DataFrame) -> DataFrame:
+@on_spine(commute_km=0.0)
+def commute_dist(users: DataFrame, homes: DataFrame, works: DataFrame) -> DataFrame:
     """Distance from home to work, 0 if unknown."""
     home = _known(homes).select("user_id", F.col("lng").alias("home_lng"), F.col("lat").alias("home_lat"))
-    km = _known(works).join(home, "user_id").select("user_id", _km_from_home().alias("commute_km"))
-    return _for_each(users, km, commute_km=0.0)
+    return _known(works).join(home, "user_id").select("user_id", _km_from_home().alias("commute_km"))
 
 
 # --- work hours and the work circle ------------------------------------------------------------
@@ -221,17 +219,24 @@ def resident_profile(cdr: DataFrame, spots: DataFrame, records: DataFrame, stops
                      homes: DataFrame, works: DataFrame) -> DataFrame:
     """All resident features side by side; users without one of the rhythm features drop out."""
     users = resident_users(records)
-    features = [
-        call_records_per_user(cdr, users).withColumnRenamed("n", "call_records"),
-        callin_contacts(cdr, users).withColumnRenamed("n", "callin_contacts"),
-        callout_contacts(cdr, users).withColumnRenamed("n", "callout_contacts"),
+    required = [
+        _known(homes).select("user_id", F.col("lng").alias("home_lng"), F.col("lat").alias("home_lat")),
+        _known(works).select("user_id", F.col("lng").alias("work_lng"), F.col("lat").alias("work_lat")),
         home_left_time(stops, homes),
         work_left_time(stops, works),
         life_radius(stops, homes, works),
-        weekend_trips(stops, homes, works, users),
-        resident_spot_visits(stops, spots, users),
-        commute_dist(homes, works, users),
-        _known(homes).select("user_id", F.col("lng").alias("home_lng"), F.col("lat").alias("home_lat")),
-        _known(works).select("user_id", F.col("lng").alias("work_lng"), F.col("lat").alias("work_lat")),
     ]
-    return reduce(lambda a, b: a.join(b, "user_id"), features)
+    optional = [
+        call_records_per_user.feature(users, cdr).withColumnRenamed("n", "call_records"),
+        callin_contacts.feature(users, cdr).withColumnRenamed("n", "callin_contacts"),
+        callout_contacts.feature(users, cdr).withColumnRenamed("n", "callout_contacts"),
+        weekend_trips.feature(users, stops, homes, works),
+        resident_spot_visits.feature(users, stops, spots),
+    ]
+    profile = users
+    for feature in required:
+        profile = profile.join(feature, "user_id")
+    for feature in optional:
+        profile = profile.join(feature, "user_id", "left")
+    commute = distance_km(F.col("home_lng"), F.col("home_lat"), F.col("work_lng"), F.col("work_lat"))
+    return profile.withColumn("commute_km", commute).fillna(0)

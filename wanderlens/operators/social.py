@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wanderlens.operators.spine import on_spine
 from wanderlens.sources.stored import stored
 
 
@@ -95,24 +96,18 @@ def social_circle_calls(circles: DataFrame) -> DataFrame:
     )
 
 
-def _zero_filled(users: DataFrame, feature: DataFrame) -> DataFrame:
-    return users.join(feature, "user_id", "left").fillna(0)
-
-
-def all_call_features(cdr: DataFrame, users: DataFrame) -> DataFrame:
+@on_spine(all_contacts=0, all_calls=0, all_ms=0)
+def all_call_features(users: DataFrame, cdr: DataFrame) -> DataFrame:
     """Distinct contacts, calls and total ms of each resident, over both directions."""
-    both = both_directions(undirected_pairs(cdr)).groupBy("user_id").agg(
+    return both_directions(undirected_pairs(cdr)).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("all_contacts"),
         F.sum("freq").alias("all_calls"),
         F.sum("dur_ms").alias("all_ms"),
     )
-    return _zero_filled(users, both)
 
 
-def one_way_features(cdr: DataFrame, users: DataFrame, incoming: bool) -> DataFrame:
-    """Distinct contacts, calls and hours of each resident, for calls received or made."""
-    name, user = ("callin", "callee") if incoming else ("callout", "caller")
-    one_way = (
+def _one_way(cdr: DataFrame, user: str, name: str) -> DataFrame:
+    return (
         _answered(cdr).groupBy("caller", "callee")
         .agg(F.count(F.lit(1)).alias("freq"), F.sum("dur_ms").alias("dur_ms"))
         .groupBy(F.col(user).alias("user_id")).agg(
@@ -121,19 +116,39 @@ def one_way_features(cdr: DataFrame, users: DataFrame, incoming: bool) -> DataFr
             (F.sum("dur_ms") / 3600000).alias(f"{name}_hours"),
         )
     )
-    return _zero_filled(users, one_way)
 
 
-def call_features(cdr: DataFrame, users: DataFrame) -> DataFrame:
+@on_spine(callin_contacts=0, callin_calls=0, callin_hours=0.0)
+def callin_features(users: DataFrame, cdr: DataFrame) -> DataFrame:
+    """Distinct callers, calls and hours of the calls each resident received."""
+    return _one_way(cdr, "callee", "callin")
+
+
+@on_spine(callout_contacts=0, callout_calls=0, callout_hours=0.0)
+def callout_features(users: DataFrame, cdr: DataFrame) -> DataFrame:
+    """Distinct callees, calls and hours of the calls each resident made."""
+    return _one_way(cdr, "caller", "callout")
+
+
+def _side_by_side(users: DataFrame, features: list[DataFrame]) -> DataFrame:
+    """Bare features joined on one spine; every feature is a count or a sum, so gaps are 0."""
+    joined = users.select("user_id")
+    for feature in features:
+        joined = joined.join(feature, "user_id", "left")
+    return joined.fillna(0)
+
+
+def call_features(users: DataFrame, cdr: DataFrame) -> DataFrame:
     """All call features of a resident side by side."""
-    return (
-        all_call_features(cdr, users)
-        .join(one_way_features(cdr, users, True), "user_id")
-        .join(one_way_features(cdr, users, False), "user_id")
-    )
+    parts = (all_call_features, callin_features, callout_features)
+    return _side_by_side(users, [part.feature(users, cdr) for part in parts])
+
+
+_CIRCLE_COLUMNS = {f"{name}_{part}": 0 for name in CIRCLES for part in ("count", "calls", "ms")}
 
 
-def circle_features(circles: DataFrame, users: DataFrame) -> DataFrame:
+@on_spine(**_CIRCLE_COLUMNS)
+def circle_features(users: DataFrame, circles: DataFrame) -> DataFrame:
     """Members, calls and ms per resident for colleagues, family and friends."""
     columns = []
     for name, condition in CIRCLES.items():
@@ -143,10 +158,11 @@ def circle_features(circles: DataFrame, users: DataFrame) -> DataFrame:
             F.sum(F.when(member, F.col("freq"))).alias(f"{name}_calls"),
             F.sum(F.when(member, F.col("dur_ms"))).alias(f"{name}_ms"),
         ]
-    return _zero_filled(users, both_directions(circles).groupBy("user_id").agg(*columns))
+    return both_directions(circles).groupBy("user_id").agg(*columns)
 
 
-def triangle_count(cdr: DataFrame, users: DataFrame) -> DataFrame:
+@on_spine(triangles=0)
+def triangle_count(users: DataFrame, cdr: DataFrame) -> DataFrame:
     """Triangles through each resident in the call graph among residents.
 
     Edges point from the end with fewer neighbours to the other, which bounds every out-list by
@@ -187,10 +203,11 @@ def triangle_count(cdr: DataFrame, users: DataFrame) -> DataFrame:
             F.struct(F.col("dst").alias("user_id"), F.size("third").alias("n")),
         ),
     )
-    counts = closing.select(F.inline(corner)).groupBy("user_id").agg(F.sum("n").alias("triangles"))
-    return _zero_filled(users, counts)
+    return closing.select(F.inline(corner)).groupBy("user_id").agg(F.sum("n").alias("triangles"))
 
 
-def social_features(calls: DataFrame, circles: DataFrame, triangles: DataFrame) -> DataFrame:
+def social_features(users: DataFrame, cdr: DataFrame, circles: DataFrame) -> DataFrame:
     """All call-graph features of a resident side by side."""
-    return calls.join(circles, "user_id").join(triangles, "user_id")
+    parts = [part.feature(users, cdr) for part in (all_call_features, callin_features, callout_features)]
+    parts += [circle_features.feature(users, circles), triangle_count.feature(users, cdr)]
+    return _side_by_side(users, parts)

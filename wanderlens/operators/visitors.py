@@ -9,7 +9,11 @@ from pyspark.sql import Window as W
 from wanderlens.constants import DUTY_FREE_SPOT, HUB_KM, UNKNOWN_MODE
 from wanderlens.functions.geo import distance_km, transport_mode
 from wanderlens.functions.times import micro_hours, ts_in_month
+from wanderlens.operators.lodging import UNMATCHED, hotel_classify
 from wanderlens.operators.social import contact_pairs
+from wanderlens.operators.spine import fill_spine, on_spine
+
+DEFAULT_TYPE = "bird"
 
 
 def detect_visitors(records: DataFrame, month: str, min_days: int = 3, max_days: int = 15) -> DataFrame:
@@ -23,13 +27,7 @@ def detect_visitors(records: DataFrame, month: str, min_days: int = 3, max_days:
     return stays.withColumn("stay_days", days).filter(F.col("stay_days").between(min_days, max_days))
 
 
-def for_each_visitor(visitors: DataFrame, feature: DataFrame, **defaults) -> DataFrame:
-    """One row per visitor row, with the user's feature or its default."""
-    joined = visitors.select("user_id").join(feature, "user_id", "left")
-    return joined.fillna(defaults) if defaults else joined
-
-
-def _transport(stops: DataFrame, visitors: DataFrame, stations: DataFrame, leaving: bool, max_km: float) -> DataFrame:
+def _transport(visitors: DataFrame, stops: DataFrame, stations: DataFrame, leaving: bool, max_km: float) -> DataFrame:
     # The edge stop of every (user, day) is found first: it combines on the map side, and the join
     # with the visitors then meets at most one row per user and day.
     pick, cell_order, edge_day = (
@@ -40,20 +38,21 @@ def _transport(stops: DataFrame, visitors: DataFrame, stations: DataFrame, leavi
     per_day = located.groupBy("user_id", F.to_date("ts").alias("edge_day")).agg(pick(edge).alias("edge"))
     days = visitors.select("user_id", F.col(edge_day).alias("edge_day"))
     per_user = per_day.join(days, ["user_id", "edge_day"]).groupBy("user_id").agg(pick("edge").alias("edge"))
-    modes = per_user.select(
+    return per_user.select(
         "user_id", transport_mode(F.col("edge.lng"), F.col("edge.lat"), max_km).alias("transport")
     )
-    return for_each_visitor(visitors, modes, transport=UNKNOWN_MODE)
 
 
-def transport_in(stops: DataFrame, visitors: DataFrame, stations: DataFrame, max_km: float = HUB_KM) -> DataFrame:
+@on_spine(transport=UNKNOWN_MODE)
+def transport_in(visitors: DataFrame, stops: DataFrame, stations: DataFrame, max_km: float = HUB_KM) -> DataFrame:
     """Transport mode at the earliest stop of the first day."""
-    return _transport(stops, visitors, stations, False, max_km)
+    return _transport(visitors, stops, stations, False, max_km)
 
 
-def transport_out(stops: DataFrame, visitors: DataFrame, stations: DataFrame, max_km: float = HUB_KM) -> DataFrame:
+@on_spine(transport=UNKNOWN_MODE)
+def transport_out(visitors: DataFrame, stops: DataFrame, stations: DataFrame, max_km: float = HUB_KM) -> DataFrame:
     """Transport mode at the latest stop of the last day."""
-    return _transport(stops, visitors, stations, True, max_km)
+    return _transport(visitors, stops, stations, True, max_km)
 
 
 def month_stops(stops: DataFrame, month: str) -> DataFrame:
@@ -61,7 +60,8 @@ def month_stops(stops: DataFrame, month: str) -> DataFrame:
     return stops.filter(ts_in_month(F.col("ts"), month) & (F.col("dur_h") >= 1))
 
 
-def visitor_home(stops: DataFrame, visitors: DataFrame, stations: DataFrame, month: str) -> DataFrame:
+@on_spine()
+def visitor_home(visitors: DataFrame, stops: DataFrame, stations: DataFrame, month: str) -> DataFrame:
     """Lodging: the cell with most night hours; unknown if that cell has no station row."""
     per_cell = (
         month_stops(stops, month).filter(F.hour("ts") <= 6)
@@ -69,10 +69,9 @@ def visitor_home(stops: DataFrame, visitors: DataFrame, stations: DataFrame, mon
     )
     longest = F.max_by("cell_id", F.struct("micro", -F.col("cell_id")))
     homes = per_cell.groupBy("user_id").agg(longest.alias("home_cell"))
-    located = homes.join(
+    return homes.join(
         stations.select(F.col("cell_id").alias("home_cell"), "lng", "lat"), "home_cell"
     ).select("user_id", "home_cell", "lng", "lat")
-    return for_each_visitor(visitors, located)
 
 
 def _calls_per_day(visitors: DataFrame, cdr: DataFrame) -> DataFrame:
@@ -90,19 +89,20 @@ def _calls_per_day(visitors: DataFrame, cdr: DataFrame) -> DataFrame:
     )
 
 
+@on_spine(call_level=1)
 def call_strength(visitors: DataFrame, cdr: DataFrame) -> DataFrame:
     """Level 1, 2 or 3 for fewer than 3, 3 to 6, more than 6 calls per active day."""
     mean = F.col("mean_calls")
     level = F.when(mean < 3, 1).when(mean <= 6, 2).otherwise(3)
-    levels = _calls_per_day(visitors, cdr).select("user_id", level.alias("call_level"))
-    return for_each_visitor(visitors, levels, call_level=1)
+    return _calls_per_day(visitors, cdr).select("user_id", level.alias("call_level"))
 
 
-def visitor_type(residents: DataFrame, visitors: DataFrame, cdr: DataFrame, default_type: str = "bird") -> DataFrame:
-    """``business`` for busy short stays that are not "bird", ``bird`` otherwise.
+def visitor_kinds(visitors: DataFrame, residents: DataFrame, cdr: DataFrame) -> DataFrame:
+    """Users that are "bird" or "business"; visitors that are neither are left out.
 
     Bird: 25 days or more, or at least half of the user's distinct contacts are visitors; that
-    second count exists for residents only. Who is neither gets ``default_type``.
+    second count exists for residents only. Business: 3 calls per active day on a stay of up to
+    7 days, and not bird.
     """
     pairs = contact_pairs(cdr)
     contacts = pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("contacts"))
@@ -112,31 +112,32 @@ def visitor_type(residents: DataFrame, visitors: DataFrame, cdr: DataFrame, defa
         .join(visiting, "contact")
         .groupBy("user_id").agg(F.count(F.lit(1)).alias("visitor_contacts"))
     )
-    birds = contacts.join(visitor_contacts, "user_id", "left").filter(
-        F.coalesce("visitor_contacts", F.lit(0)) >= F.col("contacts") / 2
-    ).select("user_id", F.lit(True).alias("bird"))
-    busy = _calls_per_day(visitors.filter("stay_days <= 7"), cdr).filter("mean_calls >= 3").select(
-        "user_id", F.lit(True).alias("busy")
-    )
-    long_stays = visitors.filter("stay_days >= 25").select("user_id", F.lit(True).alias("long_stay")).distinct()
-    bird = F.col("bird").isNotNull() | F.col("long_stay").isNotNull()
-    kind = (
-        F.when(bird, "bird").when(F.col("busy").isNotNull(), "business").otherwise(default_type)
-    )
-    return (
-        visitors.select("user_id").join(birds, "user_id", "left").join(long_stays, "user_id", "left")
-        .join(busy, "user_id", "left").select("user_id", kind.alias("visitor_type"))
+    half = F.coalesce("visitor_contacts", F.lit(0)) >= F.col("contacts") / 2
+    social = contacts.join(visitor_contacts, "user_id", "left").filter(half).select("user_id")
+    long_stays = visitors.filter("stay_days >= 25").select("user_id")
+    birds = social.unionByName(long_stays).distinct().withColumn("bird", F.lit("bird"))
+    busy = _calls_per_day(visitors.filter("stay_days <= 7"), cdr).filter("mean_calls >= 3").select("user_id")
+    return birds.join(busy, "user_id", "full").select(
+        "user_id", F.coalesce("bird", F.lit("business")).alias("visitor_type")
     )
 
 
+def visitor_type(visitors: DataFrame, residents: DataFrame, cdr: DataFrame,
+                 default_type: str = DEFAULT_TYPE) -> DataFrame:
+    """The kind of each visitor; who is neither bird nor business gets ``default_type``."""
+    return fill_spine(visitors, visitor_kinds(visitors, residents, cdr), visitor_type=default_type)
+
+
+@on_spine(duty_free="0")
 def duty_free_visit(visitors: DataFrame, stops: DataFrame, spots: DataFrame, month: str,
                     spot: int = DUTY_FREE_SPOT) -> DataFrame:
     """"1" if any stop was at a cell of the duty-free spot, else "0"."""
     cells = spots.filter(F.col("scenic_id") == spot).select("cell_id")
     seen = month_stops(stops, month).join(cells, "cell_id", "left_semi").select("user_id").distinct()
-    return for_each_visitor(visitors, seen.withColumn("duty_free", F.lit("1")), duty_free="0")
+    return seen.withColumn("duty_free", F.lit("1"))
 
 
+@on_spine()
 def top3_locations(visitors: DataFrame, stops: DataFrame, month: str) -> DataFrame:
     """The three positions with most stops; NULL where there are fewer."""
     counts = month_stops(stops, month).groupBy("user_id", "lng", "lat").agg(F.count(F.lit(1)).alias("n"))
@@ -145,36 +146,56 @@ def top3_locations(visitors: DataFrame, stops: DataFrame, month: str) -> DataFra
     columns = [
         F.max(F.when(F.col("rank") == i, F.col(c))).alias(f"{c}{i}") for i in (1, 2, 3) for c in ("lng", "lat")
     ]
-    return for_each_visitor(visitors, ranked.groupBy("user_id").agg(*columns))
+    return ranked.groupBy("user_id").agg(*columns)
 
 
+@on_spine(spots=0, hours=0.0)
 def spot_visit_count(visitors: DataFrame, stops: DataFrame, spots: DataFrame, month: str) -> DataFrame:
     """Distinct spots and total hours at spots, at any time of day."""
     per_spot = (
         month_stops(stops, month).join(spots.select("cell_id", "scenic_id"), "cell_id")
         .groupBy("user_id", "scenic_id").agg(F.sum("dur_h").alias("h"))
     )
-    per_user = per_spot.groupBy("user_id").agg(F.count(F.lit(1)).alias("spots"), F.sum("h").alias("hours"))
-    return for_each_visitor(visitors, per_user, spots=0, hours=0.0)
+    return per_spot.groupBy("user_id").agg(F.count(F.lit(1)).alias("spots"), F.sum("h").alias("hours"))
 
 
+@on_spine(max_km=-1.0)
 def max_dist_from_home(visitors: DataFrame, stops: DataFrame, homes: DataFrame, month: str) -> DataFrame:
     """Largest distance of a stop from the lodging, -1 if unknown."""
     places = month_stops(stops, month).select("user_id", "lng", "lat").distinct()
     lodging = homes.select("user_id", F.col("lng").alias("home_lng"), F.col("lat").alias("home_lat"))
     away = distance_km(F.col("lng"), F.col("lat"), F.col("home_lng"), F.col("home_lat"))
-    farthest = places.join(lodging, "user_id").groupBy("user_id").agg(F.max(away).alias("max_km"))
-    return for_each_visitor(visitors, farthest, max_km=-1.0)
+    return places.join(lodging, "user_id").groupBy("user_id").agg(F.max(away).alias("max_km"))
 
 
-def visitor_profile(visitors: DataFrame, transport: DataFrame, homes: DataFrame, kinds: DataFrame,
-                    duty_free: DataFrame, calls: DataFrame, spot_counts: DataFrame, distances: DataFrame,
-                    places: DataFrame, hotels: DataFrame) -> DataFrame:
-    """All visitor features side by side, joined on the user."""
+PROFILE_DEFAULTS = {
+    **transport_out.defaults, **duty_free_visit.defaults, **call_strength.defaults,
+    **spot_visit_count.defaults, **max_dist_from_home.defaults,
+    "visitor_type": DEFAULT_TYPE, "hotel_type": UNMATCHED,
+}
+
+
+def visitor_profile(visitors: DataFrame, transport: DataFrame, homes: DataFrame, stops: DataFrame,
+                    residents: DataFrame, cdr: DataFrame, spots: DataFrame, poi: DataFrame,
+                    stations: DataFrame, month: str) -> DataFrame:
+    """All features of each visitor row side by side.
+
+    The features come bare, one row per user, and meet the visitors once. A user with two
+    provinces has two rows that differ in the province.
+    """
+    homes = homes.dropDuplicates(["user_id"])
+    features = [
+        transport.dropDuplicates(["user_id"]),
+        visitor_kinds(visitors, residents, cdr),
+        duty_free_visit.feature(visitors, stops, spots, month),
+        call_strength.feature(visitors, cdr),
+        spot_visit_count.feature(visitors, stops, spots, month),
+        max_dist_from_home.feature(visitors, stops, homes, month),
+        top3_locations.feature(visitors, stops, month),
+        homes.select("user_id", "home_cell", F.col("lng").alias("home_lng"), F.col("lat").alias("home_lat")),
+        hotel_classify(poi, stations, homes),
+    ]
     profile = visitors.select("user_id", "prov")
-    lodging = homes.select(
-        "user_id", "home_cell", F.col("lng").alias("home_lng"), F.col("lat").alias("home_lat")
-    )
-    for feature in (transport, kinds, duty_free, calls, spot_counts, distances, places, lodging, hotels):
-        profile = profile.join(feature, "user_id")
-    return profile
+    for feature in features:
+        profile = profile.join(feature, "user_id", "left")
+    return profile.fillna(PROFILE_DEFAULTS)

@@ -43,11 +43,11 @@ class Catalog:
 
     @cached_property
     def transport(self) -> DataFrame:
-        return visitors.transport_out(self.inputs.visitor_stop, self.visitor, self.inputs.base_station)
+        return visitors.transport_out(self.visitor, self.inputs.visitor_stop, self.inputs.base_station)
 
     @cached_property
     def home(self) -> DataFrame:
-        return visitors.visitor_home(self.inputs.visitor_stop, self.visitor, self.inputs.base_station, self.month)
+        return visitors.visitor_home(self.visitor, self.inputs.visitor_stop, self.inputs.base_station, self.month)
 
     @cached_property
     def visits(self) -> DataFrame:
@@ -80,7 +80,7 @@ class Catalog:
         return self.inputs.visitor_stop.select("user_id", "ts", "cell_id", mode.alias("mode"))
 
     def transport_in(self):
-        return visitors.transport_in(self.inputs.visitor_stop, self.visitor, self.inputs.base_station)
+        return visitors.transport_in(self.visitor, self.inputs.visitor_stop, self.inputs.base_station)
 
     def transport_out(self):
         return self.transport
@@ -89,7 +89,7 @@ class Catalog:
         return self.home
 
     def visitor_type(self):
-        return visitors.visitor_type(self.whole.local_record, self.visitor, self.whole.cdr)
+        return visitors.visitor_type(self.visitor, self.whole.local_record, self.whole.cdr)
 
     def duty_free_visit(self):
         i = self.inputs
@@ -114,10 +114,10 @@ class Catalog:
     def visitor_profile(self):
         self.fix("visitor")
         self.fix("home")
+        i, w = self.inputs, self.whole
         return visitors.visitor_profile(
-            self.visitor, self.transport, self.home, self.visitor_type(), self.duty_free_visit(),
-            self.call_strength(), self.spot_visit_count(), self.max_dist_from_home(),
-            self.top3_locations(), self.hotel_classify(),
+            self.visitor, self.transport, self.home, i.visitor_stop, w.local_record, w.cdr,
+            i.scenic_spot, i.poi, i.base_station, self.month,
         )
 
     def home_place_count(self):
@@ -190,13 +190,13 @@ class Catalog:
     # --- residents ---
 
     def call_records_per_user(self):
-        return residents.call_records_per_user(self.whole.cdr, self.users)
+        return residents.call_records_per_user(self.users, self.whole.cdr)
 
     def callin_contacts(self):
-        return residents.callin_contacts(self.whole.cdr, self.users)
+        return residents.callin_contacts(self.users, self.whole.cdr)
 
     def callout_contacts(self):
-        return residents.callout_contacts(self.whole.cdr, self.users)
+        return residents.callout_contacts(self.users, self.whole.cdr)
 
     def home_left_time(self):
         return residents.home_left_time(self.whole.local_stop, self.inputs.user_home)
@@ -223,7 +223,7 @@ class Catalog:
 
     def _weekend_trips(self):
         i = self.inputs
-        return residents.weekend_trips(self.whole.local_stop, i.user_home, i.user_work, self.users)
+        return residents.weekend_trips(self.users, self.whole.local_stop, i.user_home, i.user_work)
 
     def trip_count(self):
         return self._weekend_trips().select("user_id", "trips")
@@ -232,7 +232,7 @@ class Catalog:
         return self._weekend_trips().select("user_id", "trip_hours")
 
     def _resident_spot_visits(self):
-        return residents.resident_spot_visits(self.whole.local_stop, self.inputs.scenic_spot, self.users)
+        return residents.resident_spot_visits(self.users, self.whole.local_stop, self.inputs.scenic_spot)
 
     def resident_spots(self):
         return self._resident_spot_visits().select("user_id", "spots")
@@ -241,7 +241,7 @@ class Catalog:
         return self._resident_spot_visits().select("user_id", "spot_hours")
 
     def commute_dist(self):
-        return residents.commute_dist(self.inputs.user_home, self.inputs.user_work, self.users)
+        return residents.commute_dist(self.users, self.inputs.user_home, self.inputs.user_work)
 
     def resident_profile(self):
         i, w = self.inputs, self.whole
@@ -270,24 +270,24 @@ class Catalog:
         return social.social_circle_calls(self.circles)
 
     def call_features(self):
-        return social.call_features(self.whole.cdr, self.users)
+        return social.call_features(self.users, self.whole.cdr)
 
     def all_contacts(self):
-        return social.all_call_features(self.whole.cdr, self.users).select("user_id", "all_contacts")
+        return social.all_call_features(self.users, self.whole.cdr).select("user_id", "all_contacts")
 
     def all_call_stats(self):
-        return social.all_call_features(self.whole.cdr, self.users).select("user_id", "all_calls", "all_ms")
+        return social.all_call_features(self.users, self.whole.cdr).select("user_id", "all_calls", "all_ms")
 
     def callin_stats(self):
-        features = social.one_way_features(self.whole.cdr, self.users, incoming=True)
+        features = social.callin_features(self.users, self.whole.cdr)
         return features.select("user_id", "callin_calls", "callin_hours")
 
     def callout_stats(self):
-        features = social.one_way_features(self.whole.cdr, self.users, incoming=False)
+        features = social.callout_features(self.users, self.whole.cdr)
         return features.select("user_id", "callout_calls", "callout_hours")
 
     def circle_features(self):
-        return social.circle_features(self.circles, self.users)
+        return social.circle_features(self.users, self.circles)
 
     def _pairs(self, circle: str):
         return social.circle_members(self.circles, circle)
@@ -326,10 +326,10 @@ class Catalog:
         return self._stats("friend")
 
     def triangle_count(self):
-        return social.triangle_count(self.whole.cdr, self.users)
+        return social.triangle_count(self.users, self.whole.cdr)
 
     def social_features(self):
-        return social.social_features(self.call_features(), self.circle_features(), self.triangle_count())
+        return social.social_features(self.users, self.whole.cdr, self.circles)
 
     # --- routes ---
 
