@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,6 +17,9 @@ MIN_ROUTE_CELLS = 3
 _EDGES = "array<struct<src:bigint,dst:bigint,n:bigint>>"
 _ROUTE = "weight double, path array<bigint>"
 
+# The search travels to the executors with the job: they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def commuters(homes: DataFrame, works: DataFrame) -> DataFrame:
     """Users whose home and work cells differ."""

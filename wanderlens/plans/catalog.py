@@ -75,20 +75,26 @@ class Catalog:
     def visitor_detect(self):
         return self.visitor
 
+    # The queries below that use the visitors more than once fix them first, so that the records
+    # are scanned once.
+
     def transport_mode(self):
         mode = transport_mode(F.col("lng"), F.col("lat"))
         return self.inputs.visitor_stop.select("user_id", "ts", "cell_id", mode.alias("mode"))
 
     def transport_in(self):
+        self.fix("visitor")
         return visitors.transport_in(self.visitor, self.inputs.visitor_stop, self.inputs.base_station)
 
     def transport_out(self):
+        self.fix("visitor")
         return self.transport
 
     def visitor_home(self):
         return self.home
 
     def visitor_type(self):
+        self.fix("visitor")
         return visitors.visitor_type(self.visitor, self.whole.local_record, self.whole.cdr)
 
     def duty_free_visit(self):
@@ -96,6 +102,7 @@ class Catalog:
         return visitors.duty_free_visit(self.visitor, i.visitor_stop, i.scenic_spot, self.month)
 
     def call_strength(self):
+        self.fix("visitor")
         return visitors.call_strength(self.visitor, self.whole.cdr)
 
     def top3_locations(self):
@@ -106,6 +113,7 @@ class Catalog:
         return visitors.spot_visit_count(self.visitor, i.visitor_stop, i.scenic_spot, self.month)
 
     def max_dist_from_home(self):
+        self.fix("visitor")
         return visitors.max_dist_from_home(self.visitor, self.inputs.visitor_stop, self.home, self.month)
 
     def hotel_classify(self):
@@ -141,9 +149,11 @@ class Catalog:
         return spots.spot_flow_day_hour(self.visits, self.visitor)
 
     def transport_by_prov(self):
+        self.fix("visitor")
         return spots.transport_by_prov(self.transport, self.visitor)
 
     def prov_by_transport(self):
+        self.fix("visitor")
         return spots.prov_by_transport(self.transport, self.visitor)
 
     def spot_avg_stay(self):
@@ -159,6 +169,8 @@ class Catalog:
         return spots.daily_in_out(self.visitor, self.month)
 
     def spot_rank(self):
+        self.fix("visitor")
+        self.fix("visits")
         return spots.spot_rank(self.inputs.scenic_spot, self.spot_flow_month(), self.spot_avg_stay())
 
     def spot_concentration(self):
@@ -326,9 +338,11 @@ class Catalog:
         return self._stats("friend")
 
     def triangle_count(self):
+        self.fix("users")
         return social.triangle_count(self.users, self.whole.cdr)
 
     def social_features(self):
+        self.fix("users")
         return social.social_features(self.users, self.whole.cdr, self.circles)
 
     # --- routes ---

@@ -48,12 +48,14 @@ class DerivedInputs:
         events = self._table("events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
         if month:
             events = events.filter(ts_in_month(F.col("ts"), month))
+        # As a generated column the parsed JSON is not copied into every expression and filter that
+        # uses ``k``: each row is parsed once, after the filters on the stored columns.
         return events.select(
             "user_id",
             F.expr("cast(date_trunc('second', ts) as timestamp_ntz)").alias("ts"),
             "event_type",
             "value",
-            F.get_json_object("props", "$.k").cast("int").alias("k"),
+            F.explode(F.array(F.get_json_object("props", "$.k").cast("int"))).alias("k"),
         )
 
     @cached_property
