@@ -16,7 +16,7 @@ from wanderlens.constants import ROUTE_BANDS
 from wanderlens.functions import times
 from wanderlens.functions.geo import distance_km, speed_kmh, transport_mode
 from wanderlens.functions.scores import poi_total, tf_idf
-from wanderlens.operators import lodging, movement, residents, routes, social, spots, visitors
+from wanderlens.operators import community, lodging, movement, residents, routes, social, spots, visitors
 from wanderlens.operators.spatial import within_radius
 from wanderlens.sources.stored import stored
 
@@ -345,6 +345,9 @@ class Catalog:
         self.fix("users")
         return social.social_features(self.users, self.whole.cdr, self.circles)
 
+    def community_detection(self):
+        return community.communities(social.undirected_pairs(self.whole.cdr))
+
     # --- routes ---
 
     def daily_trajectory(self):
