@@ -21,10 +21,11 @@ def test_no_cross_join_no_python(spark, name):
     assert ("ArrowEvalPython" in plan) == (name in PYTHON)
 
 
-@pytest.mark.parametrize("name", ["visitor_detect", "spot_flow_prov_month", "visitor_flow_by_prov"])
-def test_month_reaches_the_scan(spark, name):
-    plan = plan_of(entry.queries()[name](spark, FOLDER))
+@pytest.mark.parametrize("name", ["visitor_detect", "spot_flow_prov_month", "visitor_flow_by_prov", "top3_locations"])
+def test_month_and_columns_reach_the_scan(spark, name):
+    execution = entry.queries()[name](spark, FOLDER)._jdf.queryExecution()
+    plan = spark._jvm.PythonSQLUtils.explainString(execution, "formatted")
     pushed = re.findall(r"PushedFilters: \[([^\]]*)", plan)
-    assert any("GreaterThanOrEqual(ts" in p or "ts" in p for p in pushed)
+    assert any("GreaterThanOrEqual(ts,2024-01-01" in p and "LessThan(ts,2024-02-01" in p for p in pushed)
     schemas = re.findall(r"ReadSchema: struct<([^>]*)", plan)
-    assert not any("event_id" in s for s in schemas)
+    assert schemas and not any("event_id" in s for s in schemas)

@@ -94,7 +94,7 @@ def read_poi(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-# Where each raw input lies below the root, by province and month.
+# Where each raw input lies below the root, by province and month.
 RAW_PATHS = {
     "visitor_record": "DataClean/tmp/{province}/{month}/{month}TotalOther.csv",
     "local_record": "DataClean/tmp/{province}/{month}/{month}TrueLocal.csv",
