@@ -13,8 +13,8 @@ SCHEMAS = {**TABLES, "visitor": VISITOR}
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, "tests")
+def spark(tmp_path_factory):
+    session = local_session(8, "tests", str(tmp_path_factory.mktemp("stored")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -7,32 +7,40 @@ that the cluster names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER = "spark.checkpoint.dir"
-_local_folder: str | None = None
+_made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one local folder per process where none is set, as in tests."""
-    global _local_folder
+    """The session's checkpoint folder. A local session without one gets a folder in its warehouse."""
     context = spark.sparkContext
-    named = context.getConf().get(_FOLDER) or spark.conf.get(_FOLDER, None) or context.getCheckpointDir()
-    if named:
-        return named
-    if not context.master.startswith("local"):
+    named = context.getConf().get(_FOLDER) or context.getCheckpointDir()
+    if not named and context.master.startswith("local["):
+        context.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+        named = context.getCheckpointDir()
+    if not named:
         raise ValueError(f"{_FOLDER} must name a folder that all executors share")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="wanderlens-")
-    return _local_folder
+    return named.rstrip("/")
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet under a fresh name, and read back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables that this process has stored, by their exact paths; for jobs whose results are written."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        dropped += path.getFileSystem(hadoop).delete(path, True)
+    return dropped
