@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wanderlens.llm import mixture
+from wanderlens.llm import line_dedup, mixture, secret_scan
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,5 +17,21 @@ def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources,)}
-ORACLE: dict[str, str] = {}
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(docs))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"),
+        count(2).alias("n_hex"), F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"))
+
+
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.line_dedup(docs).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "text")
+
+
+QUERIES = {f.__name__: f for f in (op5_mix_sources, op7_secret_scan, op10_line_dedup)}
+ORACLE: dict[str, str] = {"op10_line_dedup": line_dedup.ORACLE}
