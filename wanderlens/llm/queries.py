@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wanderlens.llm import line_dedup, mixture, secret_scan
+from wanderlens.llm import line_dedup, mixture, secret_scan, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages").select("page_id", "url")
+    judged = url_filter.judge(pages, url_filter.labelled(pages))
+    return judged.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixture.mix(_table(spark, folder, "documents"))
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -33,5 +39,5 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_dedup(docs).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op5_mix_sources, op7_secret_scan, op10_line_dedup)}
-ORACLE: dict[str, str] = {"op10_line_dedup": line_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op5_mix_sources, op7_secret_scan, op10_line_dedup)}
+ORACLE: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
