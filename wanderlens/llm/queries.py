@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wanderlens.llm import line_dedup, mixture, secret_scan, url_filter
+from wanderlens.llm import line_dedup, mixture, packing, secret_scan, url_filter, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +19,11 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    placed = packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return placed.withColumnRenamed("key", "doc_id")
+
+
 def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixture.mix(_table(spark, folder, "documents"))
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -34,10 +40,17 @@ def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         secret_scan.listed(F.col("spans")).alias("spans"))
 
 
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.read(warc.write(_table(spark, folder, "pages")))
+    return records.select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.line_dedup(docs).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op5_mix_sources, op7_secret_scan, op10_line_dedup)}
-ORACLE: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (
+    op2_url_filter, op4_best_fit_packing, op5_mix_sources, op7_secret_scan, op9_warc, op10_line_dedup)}
+ORACLE: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op9_warc": warc.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
