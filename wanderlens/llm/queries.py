@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wanderlens.llm import line_dedup, mixture, packing, secret_scan, url_filter, warc
+from wanderlens.llm import line_dedup, mixture, packing, secret_scan, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -40,6 +40,12 @@ def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         secret_scan.listed(F.col("spans")).alias("spans"))
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = toxicity.train(docs, _table(spark, folder, "labels"))
+    return toxicity.score(docs, model).withColumnRenamed("key", "doc_id")
+
+
 def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     records = warc.read(warc.write(_table(spark, folder, "pages")))
     return records.select(
@@ -52,5 +58,5 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_url_filter, op4_best_fit_packing, op5_mix_sources, op7_secret_scan, op9_warc, op10_line_dedup)}
+    op2_url_filter, op4_best_fit_packing, op5_mix_sources, op7_secret_scan, op8_toxicity, op9_warc, op10_line_dedup)}
 ORACLE: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op9_warc": warc.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
