@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wanderlens.llm import line_dedup, mixture, packing, secret_scan, toxicity, url_filter, warc
+from wanderlens.llm import line_dedup, mixture, packing, perplexity, secret_scan, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    judged = perplexity.judge(_table(spark, folder, "documents"))
+    return judged.drop("print").withColumnRenamed("key", "doc_id")
+
+
 def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages").select("page_id", "url")
     judged = url_filter.judge(pages, url_filter.labelled(pages))
@@ -58,5 +63,5 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_url_filter, op4_best_fit_packing, op5_mix_sources, op7_secret_scan, op8_toxicity, op9_warc, op10_line_dedup)}
+    op1_perplexity, op2_url_filter, op4_best_fit_packing, op5_mix_sources, op7_secret_scan, op8_toxicity, op9_warc, op10_line_dedup)}
 ORACLE: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op9_warc": warc.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
