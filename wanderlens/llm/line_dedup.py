@@ -17,31 +17,20 @@ an empty result; other columns are carried along.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALT = 8
 
 
-def _windows(lines: Column) -> Column:
-    """(line number, hash, hash) of each window; hashes over hashes of lines."""
-    both = F.transform(lines, lambda line: F.struct(
-        F.xxhash64(line).alias("a"), F.xxhash64(F.lit("#"), line).alias("b")))
-
-    def window(first: Column, i: Column) -> Column:
-        three = [F.element_at(both, i + k) for k in (1, 2, 3)]
-        return F.struct(i.alias("line"), F.xxhash64(*[x["a"] for x in three]).alias("a"),
-                        F.xxhash64(*[x["b"] for x in three]).alias("b"))
-
-    count = F.greatest(F.size(lines) - 2, F.lit(0))
-    return F.transform(F.slice(lines, 1, count), window)
-
-
 def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, lines``: the numbers of the lines that go, for each document that loses any."""
-    windows = docs.select(
-        docs[key].alias("key"), F.explode(_windows(F.split(docs[text], "\n", -1))).alias("w")
-    ).select("key", "w.line", "w.a", "w.b")
+    lines = docs.select(docs[key].alias("key"), F.split(docs[text], "\n", -1).alias("lines"))
+    count = F.greatest(F.size("lines") - 2, F.lit(0))
+    three = F.arrays_zip(*[F.slice("lines", k, count).alias(f"l{k}") for k in (1, 2, 3)])
+    words = [F.col(f"w.l{k}") for k in (1, 2, 3)]
+    windows = lines.select("key", F.posexplode(three).alias("line", "w")).select(
+        "key", "line", F.xxhash64(*words).alias("a"), F.xxhash64(F.lit("#"), *words).alias("b"))
     repeated = windows.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "line")).alias("first")
     ).where("n > 1").select(
@@ -59,11 +48,12 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     gone = repeated_lines(docs, text, key)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     joined = rows.join(gone, F.col(f"row.{key}").eqNullSafe(F.col("key")), "left")
-    lines = F.split(F.col(f"row.{text}"), "\n", -1)
-    n_lines = F.coalesce(F.size(lines), F.lit(0))
+    # The array of lines is a column of its own, so that it is made once and not for every line.
+    joined = joined.select("row", "lines", F.split(F.col(f"row.{text}"), "\n", -1).alias("all"))
+    n_lines = F.coalesce(F.size("all"), F.lit(0))
     n_removed = F.coalesce(F.size("lines"), F.lit(0))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lines"))
-    kept = F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("lines"))
+    kept = F.array_join(F.transform(stay, lambda i: F.element_at("all", i + 1)), "\n")
     return joined.select(
         "row", n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"),
         F.when(F.col("lines").isNull(), F.col(f"row.{text}")).otherwise(kept).alias("text"))
