@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wanderlens.llm import line_dedup, mixture, packing, perplexity, secret_scan, toxicity, url_filter, warc
+from wanderlens.llm import jaccard, line_dedup, mixture, packing, perplexity, secret_scan, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.join(_table(spark, folder, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     found = secret_scan.scan(docs, secret_scan.train(docs))
@@ -63,5 +67,5 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_perplexity, op2_url_filter, op4_best_fit_packing, op5_mix_sources, op7_secret_scan, op8_toxicity, op9_warc, op10_line_dedup)}
+    op1_perplexity, op2_url_filter, op4_best_fit_packing, op5_mix_sources, op6_jaccard_join, op7_secret_scan, op8_toxicity, op9_warc, op10_line_dedup)}
 ORACLE: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op9_warc": warc.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
