@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wanderlens.llm import jaccard, line_dedup, mixture, packing, perplexity, secret_scan, toxicity, url_filter, warc
+from wanderlens.llm import jaccard, line_dedup, mixture, packing, perplexity, secret_scan, topk, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op3_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     placed = packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return placed.withColumnRenamed("key", "doc_id")
@@ -67,5 +71,5 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_perplexity, op2_url_filter, op4_best_fit_packing, op5_mix_sources, op6_jaccard_join, op7_secret_scan, op8_toxicity, op9_warc, op10_line_dedup)}
-ORACLE: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op9_warc": warc.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+    op1_perplexity, op2_url_filter, op3_exact_top_k, op4_best_fit_packing, op5_mix_sources, op6_jaccard_join, op7_secret_scan, op8_toxicity, op9_warc, op10_line_dedup)}
+ORACLE: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op3_exact_top_k": topk.ORACLE, "op9_warc": warc.ORACLE, "op10_line_dedup": line_dedup.ORACLE}

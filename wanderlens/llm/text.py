@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than blank and the five ASCII line and tab characters.
@@ -22,3 +22,9 @@ def seeded_order(key: Column, seed: int) -> Column:
 def unit_of(order: Column) -> Column:
     """The first seven hex digits of an MD5 as a number in [0, 1)."""
     return F.conv(F.substring(order, 1, 7), 16, 10).cast("double") / float(16**7)
+
+
+def first_rows(rows: DataFrame, order: str, text: str, n: int) -> DataFrame:
+    """At most ``n`` rows, those first in ``order``. Only orders are ranked; texts are read for the chosen ones."""
+    chosen = F.broadcast(rows.select(order).orderBy(order).limit(n).distinct())
+    return rows.join(chosen, order, "left_semi").orderBy(order, text).limit(n)

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wanderlens.llm.text import seeded_order
+from wanderlens.llm.text import first_rows, seeded_order
 
 BITS = 18
 DIMENSIONS = 1 << BITS
@@ -68,15 +68,15 @@ def places(text: str | None, known: dict[str, tuple[int, ...]]) -> list[int]:
     return list(found)
 
 
-def _hashed(rows: DataFrame) -> list[np.ndarray]:
-    """The places of a bounded sample of texts, on the driver."""
+def _hashed(rows: DataFrame, most: int) -> list[np.ndarray]:
+    """The places of the first ``most`` texts in the order of ``o``, on the driver."""
 
     def hash_all(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             yield pd.DataFrame({"places": [places(t, known) for t in batch["text"]]})
 
-    return [np.array(r[0], np.int64) for r in rows.select("text").mapInPandas(hash_all, "places array<int>").collect()]
+    return [np.array(r[0], np.int64) for r in first_rows(rows, "o", "text", most).select("text").mapInPandas(hash_all, "places array<int>").collect()]
 
 
 class Sparse:
@@ -134,10 +134,10 @@ def train(
     texts = docs.where(~held_out(docs[key]) & docs[key].isNotNull()).select(
         docs[key].alias("key"), docs[text].alias("text"), seeded_order(docs[key], SEED).alias("o"))
     confirmed = use.where("toxic = 1").select("key").distinct()
-    positive = _hashed(texts.join(confirmed, "key", "left_semi").orderBy("o", "text").limit(POSITIVES))
+    positive = _hashed(texts.join(confirmed, "key", "left_semi"), POSITIVES)
     if not positive or not 0 < prior < 1:
         return np.zeros(DIMENSIONS, np.float32), 30.0 if prior >= 1 and positive else -30.0
-    unlabelled = _hashed(texts.orderBy("o", "text").limit(UNLABELLED))
+    unlabelled = _hashed(texts, UNLABELLED)
     return fit(positive, unlabelled, prior)
 
 
