@@ -22,6 +22,8 @@ def _cell(value):
         return None
     if isinstance(value, float):
         return round(value, 6) + 0.0
+    if isinstance(value, (list, tuple)):
+        return tuple(map(_cell, value))
     if hasattr(value, "isoformat"):
         return value.isoformat()
     if type(value).__name__ == "Decimal":

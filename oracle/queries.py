@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from oracle.tables import MONTH_HI, MONTH_LO, km, register, spread_provinces, with_tables
 
+# The hubs of each transport mode.
 MODES = {
     0: [(110.293096, 20.026518), (110.165718, 20.04586)],
     1: [(110.466232, 19.945878), (109.414883, 18.313457)],
@@ -26,6 +27,7 @@ def transport(day: str, direction: str) -> str:
             where cast(s.ts as date) = v.{day}) where rn = 1) t using(user_id)"""
 
 
+# The words of a hotel's name and their labels.
 HOTEL_NAMES = [
     ("1", ["快捷"]), ("2", ["公寓"]), ("3", ["家庭旅馆"]), ("4", ["客栈", "民宿"]), ("5", ["青年"]), ("6", ["商务"]),
     ("7", ["招待所"]), ("8", ["温泉"]), ("9", ["海景", "海滨"]), ("10", ["情侣"]), ("11", ["出租", "住宿", "短租"]),
@@ -48,21 +50,21 @@ def moments(place: str, alias: str, known: bool) -> str:
     return f"""select s.user_id, s."day", {SEC} sec, s.cell_id, p.cell_id {alias},
         lag(s.cell_id) over w before_cell, lag({SEC}) over w before_sec, lead({SEC}) over w next_sec
       from (select distinct user_id, "day", ts, cell_id from local_stop where isodow("day") < 6) s
-      join {place} p on p.user_id = s.user_id {only}
-      window w as (partition by s.user_id, s."day" order by ts, s.cell_id)"""
+      join (select distinct user_id, cell_id, lng, lat from {place}) p on p.user_id = s.user_id {only}
+      window w as (partition by s.user_id, s."day", p.cell_id order by ts, s.cell_id)"""
 
 
 def home_left(known: bool) -> str:
     return f"""select user_id, sum(h) / cast(count(*) as double) / 7200 home_left from (
         select user_id, "day", min(sec+before_sec) h from ({moments('user_home', 'home', known)})
         where before_cell = home and cell_id <> home and sec+before_sec >= 28800
-        group by user_id, "day") group by user_id"""
+        group by user_id, "day", home) group by user_id"""
 
 
 def work_left(known: bool) -> str:
     return f"""select user_id, sum(h) / cast(count(*) as double) / 7200 work_left from (
         select user_id, "day", 2*86399 - (sec+coalesce(next_sec, sec)) h from (
-          select *, row_number() over (partition by user_id, "day" order by sec desc) rn
+          select *, row_number() over (partition by user_id, "day", work order by sec desc) rn
           from ({moments('user_work', 'work', known)}) where cell_id = work)
         where rn = 1) where h <> 0 group by user_id"""
 
@@ -77,7 +79,7 @@ def work_hours(days: str) -> str:
     return f"""select user_id, sum(h) / cast(count(*) as double) / 1e6 work_hours from (
         select s.user_id, s."day", sum(cast(round(dur_h*1e6) as bigint)) h from local_stop s
         join user_work w on w.user_id = s.user_id and w.cell_id = s.cell_id
-        where isodow(s."day") {days} group by s.user_id, s."day") group by user_id"""
+        where isodow(s."day") {days} group by s.user_id, s."day", s.cell_id) group by user_id"""
 
 
 CIRCLE = {"colleague": "colleague", "family": "family", "friend": "not colleague and not family"}
@@ -152,7 +154,7 @@ register(
     work_left_all=work_left(False),
     work_arrival_t=f"""select user_id, sum(h) / cast(count(*) as double) / 7200 work_arrival from (
         select user_id, "day", sec+coalesce(before_sec, sec) h from (
-          select *, row_number() over (partition by user_id, "day" order by sec) rn
+          select *, row_number() over (partition by user_id, "day", work order by sec) rn
           from ({moments('user_work', 'work', False)}) where cell_id = work)
         where rn = 1) where h <> 0 group by user_id""",
     known_home="select * from user_home where lng is not null and lat is not null",
@@ -201,17 +203,37 @@ register(
           join local_edge z on z.a = x.a and z.b = y.b) t on t.v = u.user_id group by u.user_id""",
     weekday_hours_t=work_hours("< 6"),
     weekend_hours_t=work_hours(">= 6"),
-    commuter="""select h.user_id, h.cell_id home, w.cell_id work from user_home h join user_work w
+    commuter="""select distinct h.user_id, h.cell_id home, w.cell_id work from user_home h join user_work w
         on w.user_id = h.user_id where h.cell_id <> w.cell_id""",
-    numbered="""select s.*, c.home, c.work, row_number() over (partition by s.user_id, s."day" order by ts, s.cell_id) pos
+    numbered="""select s.*, c.home, c.work, row_number() over (partition by s.user_id, s."day", home, work order by ts, s.cell_id) pos
         from (select distinct user_id, "day", ts, cell_id from local_stop) s join commuter c on c.user_id = s.user_id""",
-    day_start="""select user_id, "day", min(pos) p from numbered where cell_id = home group by user_id, "day" """,
-    day_end="""select n.user_id, n."day", min(pos) p from numbered n join day_start s
-        on s.user_id = n.user_id and s."day" = n."day" where cell_id = work and pos > s.p group by n.user_id, n."day" """,
-    step="""select n.user_id, n.home, n.work, n."day", n.cell_id, min(pos) pos from numbered n
-        join day_start s on s.user_id = n.user_id and s."day" = n."day"
-        join day_end e on e.user_id = n.user_id and e."day" = n."day"
+    day_start="""select user_id, home, work, "day", min(pos) p from numbered where cell_id = home
+        group by user_id, home, work, "day" """,
+    day_end="""select n.user_id, home, work, n."day", min(pos) p from numbered n
+        join day_start s using (user_id, home, work, "day")
+        where cell_id = work and pos > s.p group by n.user_id, home, work, n."day" """,
+    step="""select n.user_id, home, work, n."day", n.cell_id, min(pos) pos from numbered n
+        join day_start s using (user_id, home, work, "day") join day_end e using (user_id, home, work, "day")
         where pos between s.p and e.p group by all""",
+    edge="""select user_id, home, work, cell_id src, dst, count(*) n from (
+        select *, lead(cell_id) over d dst, count(*) over (partition by user_id, home, work, "day") cells from step
+        window d as (partition by user_id, home, work, "day" order by pos)) where cells >= 3 and dst is not null
+        group by user_id, home, work, cell_id, dst""",
+    edge_list="""select user_id, home, work, list(struct_pack(src := src, dst := dst, n := n) order by src, dst) edges
+        from edge group by user_id, home, work""",
+    # One row for each step of each search: open paths, best first, and the cells that were extended.
+    search="""select user_id, home, work, edges,
+          [struct_pack(w := 0.0::double, t := 0, i := 0::bigint, path := [home])] paths, []::bigint[] extended, 0 turn
+        from edge_list
+        union all
+        select user_id, home, work, edges, list_sort(paths[2:] || list_transform(
+            list_filter(edges, lambda e: e.src = here and not list_contains(extended, e.dst)),
+            lambda e, i: struct_pack(w := best.w - e.n, t := -(turn + 1), i := i::bigint, path := list_append(best.path, e.dst)))),
+          list_append(extended, here), turn + 1
+        from (select *, paths[1] best, paths[1].path[-1] here from search where len(paths) > 0) where here <> work""",
+    route_t="""select user_id, home, work, case when len(paths) = 0 then 0.0 else -paths[1].w end weight,
+          case when len(paths) = 0 then []::bigint[] else paths[1].path end path
+        from search where len(paths) = 0 or paths[1].path[-1] = work""",
 )
 
 
@@ -239,8 +261,7 @@ BY_SPOT = f'select spot, {spread_provinces()} from person_day group by spot'
 
 SQL = {
     "visitor_detect": "select user_id, prov, first_date, last_date, stay_days from visitor",
-    "transport_mode": f"select user_id, ts, cell_id, {mode('lng', 'lat')} as mode from visitor_stop "
-                      f"where ts >= {MONTH_LO} and ts < {MONTH_HI}",
+    "transport_mode": f"select user_id, ts, cell_id, {mode('lng', 'lat')} as mode from visitor_stop",
     "transport_in": transport("first_date", "asc"),
     "transport_out": "select * from transport_out_t",
     "visitor_home": "select * from home_t",
@@ -302,20 +323,21 @@ SQL = {
         select s.user_id, s."day", coalesce(max(86399 - {SEC}) filter (
             where s.cell_id = h.cell_id and round((86399 - {SEC})/3600.0, 9) < round(w.work_left, 9)), 0) h
         from local_stop s join user_home h on h.user_id = s.user_id join work_left_all w on w.user_id = s.user_id
-        where isodow(s."day") < 6 group by s.user_id, s."day") group by user_id""",
+        where isodow(s."day") < 6 group by s.user_id, s."day", h.cell_id) group by user_id""",
     "life_radius": "select * from radius_t",
     "trip_count": "select user_id, trips from trips_t",
     "trip_hours": "select user_id, trip_hours from trips_t",
     "resident_spots": "select user_id, spots from resident_spots_t",
     "resident_spot_hours": "select user_id, spot_hours from resident_spots_t",
     "commute_dist": "select * from commute_t",
-    "resident_profile": """select u.user_id, r.n call_records, i.n callin_contacts, o.n callout_contacts, home_left,
-        work_left, radius_km, trips, trip_hours, spots, spot_hours, commute_km, h.lng home_lng, h.lat home_lat,
+    "resident_profile": f"""select u.user_id, r.n call_records, i.n callin_contacts, o.n callout_contacts, home_left,
+        work_left, radius_km, trips, trip_hours, spots, spot_hours,
+        {km('h.lng', 'h.lat', 'w.lng', 'w.lat')} commute_km, h.lng home_lng, h.lat home_lat,
         w.lng work_lng, w.lat work_lat
         from local_user u join call_records_t r using(user_id) join callin_t i using(user_id)
         join callout_t o using(user_id) join home_left_t using(user_id) join work_left_t using(user_id)
         join radius_t using(user_id) join trips_t using(user_id) join resident_spots_t using(user_id)
-        join commute_t using(user_id) join known_home h using(user_id) join known_work w using(user_id)""",
+        join known_home h using(user_id) join known_work w using(user_id)""",
     "work_hours_weekday": "select * from weekday_hours_t",
     "work_hours_weekend": "select * from weekend_hours_t",
     "rank_arrival": rank("work_arrival_t", "work_arrival", "<"),
@@ -336,12 +358,15 @@ SQL = {
     "triangle_count": "select * from triangle_t",
     "social_features": """select * from call_features_t join circle_features_t using(user_id)
         join triangle_t using(user_id)""",
-    "daily_trajectory": """select user_id, "day", string_agg(cell_id, '#' order by pos) route, count(*) cells
-        from step group by user_id, "day" """,
-    "transition_weights": """select user_id, home, work, cell_id src, dst, count(*) n from (
-        select *, lead(cell_id) over d dst, count(*) over (partition by user_id, "day") cells from step
-        window d as (partition by user_id, "day" order by pos)) where cells >= 3 and dst is not null
-        group by user_id, home, work, cell_id, dst""",
+    "daily_trajectory": """select user_id, home, work, "day", string_agg(cell_id, '#' order by pos) route, count(*) cells
+        from step group by user_id, home, work, "day" """,
+    "transition_weights": "select * from edge",
+    "best_route": "select user_id, home, work, weight, array_to_string(path, '#') path from route_t",
+    "representative_route": """select user_id, home, work, {}, string_agg(coalesce(lng::varchar, 'None') || ','
+          || coalesce(lat::varchar, 'None'), ',' order by pos) route
+        from (select user_id, home, work, unnest(path) cell_id, generate_subscripts(path, 1) pos from route_t)
+        left join base_station using (cell_id) group by user_id, home, work""".format(
+        ", ".join(f"max({c}) filter (where cell_id = {p}) {p}_{c}" for p in ("home", "work") for c in ("lng", "lat"))),
     "stop_speed": f"""select user_id, ts, cell_id, km, coalesce(km * 3600.0 / nullif(s, 0), 0.0) kmh from (
         select *, {km('f_lng', 'f_lat', 'lng', 'lat')} km, date_diff('second', f_ts, ts) s from (
           select *, lag(ts) over w f_ts, lag(lng) over w f_lng, lag(lat) over w f_lat from (
@@ -392,6 +417,8 @@ DOUBLES = {
     "callin_stats": "callin_hours",
     "callout_stats": "callout_hours",
     "social_features": "callin_hours callout_hours",
+    "best_route": "weight",
+    "representative_route": "home_lng home_lat work_lng work_lat",
     "stop_speed": "km kmh",
     "poi_tfidf": "score",
 }

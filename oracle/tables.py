@@ -6,6 +6,7 @@ import re
 
 MONTH_LO, MONTH_HI = "date '2024-01-01'", "date '2024-02-01'"
 IN_STAY = "m.user_id%2=0 and day(m.ts) between 1+(m.user_id*7)%15 and 2+(m.user_id*7)%15+(m.user_id*5)%17"
+# The order of the province columns.
 PROVINCES = [301, 303, 331, 311, 308, 325, 305, 318, 310, 328, 313, 322, 319, 323, 304,
              315, 329, 306, 302, 324, 312, 321, 320, 307, 316, 314, 326, 317, 330, 300]
 
@@ -18,15 +19,21 @@ def km(lng1: str, lat1: str, lng2: str, lat2: str) -> str:
             f"*cos(radians({lat2}))*pow(sin(radians({lng1}-({lng2}))/2),2))))")
 
 
-def place(cell: str, unknown: str) -> str:
-    return f"""select u.user_id, cast({cell} as bigint) cell_id,
+def place(cell: str, unknown: str, second: str, has_second: str) -> str:
+    return f"""select u.user_id, u.cell_id,
                  case when not ({unknown}) then b.lng end lng, case when not ({unknown}) then b.lat end lat
-               from fx_user u join base_station b on b.cell_id={cell} where u.user_id%2=1"""
+               from (select user_id, cast({cell} as bigint) cell_id from fx_user u
+                     union all select user_id, cast({second} as bigint) from fx_user u where {has_second}) u
+               join base_station b on b.cell_id=u.cell_id where u.user_id%2=1"""
 
 
 CTES = {
     "fx_event": """select user_id, date_trunc('second', ts) ts, event_type, value,
-                     cast(json_extract_string(props,'$.k') as int) k from events""",
+                     cast(json_extract_string(props,'$.k') as int) k from (
+          select * from events
+          union all select * replace (ts - interval 31 day as ts) from events where event_id%23=0
+          union all select * replace (ts + interval 31 day as ts) from events where event_id%23<>0 and event_id%29=0
+          union all select * from events where event_id%23<>0 and event_id%29<>0 and event_id%31=0)""",
     "fx_user": "select distinct user_id from fx_event",
     "fx_move": """select user_id, ts, event_type, value, k,
                     cast(case k%5 when 0 then (user_id%6)*5 when 1 then (user_id%4)*5+51
@@ -46,8 +53,8 @@ CTES = {
     "local_record": """select m.user_id, m.ts, m.cell_id, b.lng, b.lat, 327 prov
         from fx_move m join base_station b using(cell_id) where m.user_id%2=1""",
     "local_stop": STOP + "m.user_id%2=1",
-    "user_home": place("(u.user_id%6)*5", "u.user_id%11=0"),
-    "user_work": place("(u.user_id%4)*5+51", "u.user_id%13=0"),
+    "user_home": place("(u.user_id%6)*5", "u.user_id%11=0", "(u.user_id*13+14)%100", "u.user_id%7=3"),
+    "user_work": place("(u.user_id%4)*5+51", "u.user_id%13=0", "(u.user_id*13+21)%100", "u.user_id%9=4"),
     "cdr": """select ts call_ts, user_id caller,
           case when k=99 then null else
             (case when k%2=0 then user_id+1+k%7 else user_id//8*8+k%3 end)::bigint
@@ -93,7 +100,7 @@ def with_tables(sql: str) -> str:
 
     visit(sql)
     parts = [f"{name} as ({body})" for name, body in CTES.items() if name in needed]
-    return f"with {', '.join(parts)} {sql}" if parts else sql
+    return f"with recursive {', '.join(parts)} {sql}" if parts else sql
 
 
 def spread_provinces(count: str = "count(*)") -> str:

@@ -25,8 +25,9 @@ def _known(places: DataFrame) -> DataFrame:
 
 
 def _cell_of(places: DataFrame, name: str, known_only: bool) -> DataFrame:
+    """Each (user, place) once. Days are looked at for each place by itself: a user may have several."""
     kept = _known(places) if known_only else places
-    return kept.select("user_id", F.col("cell_id").alias(name))
+    return kept.select("user_id", F.col("cell_id").alias(name)).distinct()
 
 
 # --- calls -------------------------------------------------------------------------------------
@@ -61,7 +62,7 @@ def callout_contacts(users: DataFrame, cdr: DataFrame) -> DataFrame:
 # --- daily rhythm ------------------------------------------------------------------------------
 # Stops of a user at one cell in one second are one moment. Making them distinct first bounds a
 # user's day by its seconds, so the windows below never meet an unbounded group. The join on the
-# user then also serves the window over (user, day). Midpoints are kept as whole half seconds: means
+# user then also serves the window over (user, day, place). Midpoints are kept as whole half seconds: means
 # over whole numbers do not depend on the order in which tasks finish.
 
 
@@ -70,8 +71,8 @@ def _moments(stops: DataFrame, weekdays: bool = True) -> DataFrame:
     return kept.select("user_id", "day", second_of_day(F.col("ts")).alias("sec"), "cell_id").distinct()
 
 
-def _by_time() -> WindowSpec:
-    return W.partitionBy("user_id", "day").orderBy("sec", "cell_id")
+def _by_time(place: str) -> WindowSpec:
+    return W.partitionBy("user_id", "day", place).orderBy("sec", "cell_id")
 
 
 def _mean(per_day: DataFrame, name: str, units_per_hour: int) -> DataFrame:
@@ -83,13 +84,13 @@ def home_left_time(stops: DataFrame, homes: DataFrame, known_only: bool = True)
     moments = _moments(stops).join(_cell_of(homes, "home", known_only), "user_id")
     pairs = moments.select(
         "user_id", "day", "home", "cell_id", "sec",
-        F.lag("cell_id").over(_by_time()).alias("before_cell"),
-        F.lag("sec").over(_by_time()).alias("before_sec"),
+        F.lag("cell_id").over(_by_time("home")).alias("before_cell"),
+        F.lag("sec").over(_by_time("home")).alias("before_sec"),
     )
     left_at = F.col("sec") + F.col("before_sec")
     per_day = (
         pairs.filter("before_cell = home and cell_id <> home").filter(left_at >= 2 * EARLIEST_LEAVE)
-        .groupBy("user_id", "day").agg(F.min(left_at).alias("units"))
+        .groupBy("user_id", "day", "home").agg(F.min(left_at).alias("units"))
     )
     return _mean(per_day, "home_left", 7200)
 
@@ -97,11 +98,11 @@ def home_left_time(stops: DataFrame, homes: DataFrame, known_only: bool = True)
 def work_left_time(stops: DataFrame, works: DataFrame, known_only: bool = True) -> DataFrame:
     """Mean weekday hours before 23:59:59 of leaving work: halfway to the stop after the last one there."""
     moments = _moments(stops).join(_cell_of(works, "work", known_only), "user_id")
-    left_at = F.col("sec") + F.coalesce(F.lead("sec").over(_by_time()), F.col("sec"))
+    left_at = F.col("sec") + F.coalesce(F.lead("sec").over(_by_time("work")), F.col("sec"))
     # Of a user's moments at work on a day the last one also has the largest midpoint.
     per_day = (
         moments.withColumn("left_at", left_at).filter("cell_id = work")
-        .groupBy("user_id", "day").agg((2 * LAST_SECOND - F.max("left_at")).alias("units"))
+        .groupBy("user_id", "day", "work").agg((2 * LAST_SECOND - F.max("left_at")).alias("units"))
         .filter("units <> 0")
     )
     return _mean(per_day, "work_left", 7200)
@@ -110,10 +111,10 @@ def work_left_time(stops: DataFrame, works: DataFrame, known_only: bool = True)
 def work_arrival_time(stops: DataFrame, works: DataFrame, known_only: bool = False) -> DataFrame:
     """Mean weekday hours after midnight of reaching work: halfway from the stop before the first one there."""
     moments = _moments(stops).join(_cell_of(works, "work", known_only), "user_id")
-    reached_at = F.col("sec") + F.coalesce(F.lag("sec").over(_by_time()), F.col("sec"))
+    reached_at = F.col("sec") + F.coalesce(F.lag("sec").over(_by_time("work")), F.col("sec"))
     per_day = (
         moments.withColumn("reached_at", reached_at).filter("cell_id = work")
-        .groupBy("user_id", "day").agg(F.min("reached_at").alias("units"))
+        .groupBy("user_id", "day", "work").agg(F.min("reached_at").alias("units"))
         .filter("units <> 0")
     )
     return _mean(per_day, "work_arrival", 7200)
@@ -128,7 +129,7 @@ def home_arrival_time(stops: DataFrame, homes: DataFrame, work_left: DataFrame,
     at_home = (F.col("cell_id") == F.col("home")) & after_work
     per_day = (
         _moments(stops).join(home, "user_id")
-        .groupBy("user_id", "day")
+        .groupBy("user_id", "day", "home")
         .agg(F.coalesce(F.max(F.when(at_home, to_midnight)), F.lit(0)).alias("units"))
     )
     return _mean(per_day, "home_arrival", 3600)
@@ -165,7 +166,7 @@ def weekend_trips(users: DataFrame, stops: DataFrame, homes: DataFrame, works: D
     places = (
         stops.filter(~is_weekday(F.col("day")) & (F.col("dur_h") >= TRIP_HOURS))
         .groupBy("user_id", "cell_id", "lng", "lat")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("dur_h").alias("h"))
+        .agg(F.count(F.lit(1)).alias("n"), (F.sum(micro_hours(F.col("dur_h"))) / MICRO).alias("h"))
     )
     return (
         places.join(_from_home(homes, works), "user_id").filter("cell_id <> work")
@@ -179,7 +180,7 @@ def resident_spot_visits(users: DataFrame, stops: DataFrame, spots: DataFrame) -
     """Distinct scenic spots of a resident and hours there."""
     per_spot = (
         stops.join(spots.select("cell_id", "scenic_id"), "cell_id")
-        .groupBy("user_id", "scenic_id").agg(F.sum("dur_h").alias("h"))
+        .groupBy("user_id", "scenic_id").agg((F.sum(micro_hours(F.col("dur_h"))) / MICRO).alias("h"))
     )
     return per_spot.groupBy("user_id").agg(F.count(F.lit(1)).alias("spots"), F.sum("h").alias("spot_hours"))
 

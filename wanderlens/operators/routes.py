@@ -25,11 +25,11 @@ def commuters(homes: DataFrame, works: DataFrame) -> DataFrame:
     """Users whose home and work cells differ."""
     home = homes.select("user_id", F.col("cell_id").alias("home"))
     work = works.select("user_id", F.col("cell_id").alias("work"))
-    return home.join(work, "user_id").filter("home <> work")
+    return home.join(work, "user_id").filter("home <> work").distinct()
 
 
 def trajectory_steps(stops: DataFrame, homes: DataFrame, works: DataFrame) -> DataFrame:
-    """Cells of each (user, day) from the first home stop to the first work stop after it.
+    """Cells of each (user, home, work, day) from the first home stop to the first work stop after it.
 
     Later home stops are skipped and a cell counts at its first position. Days that do not reach
     work give nothing. Moments are distinct first, which bounds a user's day by its seconds.
@@ -47,10 +47,10 @@ def trajectory_steps(stops: DataFrame, homes: DataFrame, works: DataFrame) -> Da
 
 
 def daily_trajectory(stops: DataFrame, homes: DataFrame, works: DataFrame) -> DataFrame:
-    """Route of each (user, day) as ``#``-joined cells."""
+    """Route of each (user, home, work, day) as ``#``-joined cells."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "cell_id")))
     cells = F.transform(ordered, lambda x: x["cell_id"].cast("string"))
-    return trajectory_steps(stops, homes, works).groupBy("user_id", "day").agg(
+    return trajectory_steps(stops, homes, works).groupBy("user_id", "home", "work", "day").agg(
         F.array_join(cells, "#").alias("route"), F.count(F.lit(1)).alias("cells")
     )
 
@@ -101,7 +101,7 @@ def _search(start: pd.Series, goal: pd.Series, edges: pd.Series) -> pd.DataFrame
 
 
 def best_route(transitions: DataFrame) -> DataFrame:
-    """Best route of each user over the transition weights: weight and array of cells.
+    """Best route of each (user, home, work) over the transition weights: weight and array of cells.
 
     The edges of a user are already counted, at most one per cell pair of a month's routes.
     """
@@ -126,7 +126,7 @@ def representative_route(routes: DataFrame, stations: DataFrame) -> DataFrame:
     )
     ordered = F.array_sort(F.collect_list(F.struct("pos", point.alias("point"))))
     home, work = F.col("cell_id") == F.col("home"), F.col("cell_id") == F.col("work")
-    return stations_of.groupBy("user_id").agg(
+    return stations_of.groupBy("user_id", "home", "work").agg(
         *[
             F.max(F.when(place, F.col(c))).alias(f"{name}_{c}")
             for name, place in (("home", home), ("work", work)) for c in ("lng", "lat")

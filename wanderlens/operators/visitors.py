@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from wanderlens.constants import DUTY_FREE_SPOT, HUB_KM, UNKNOWN_MODE
 from wanderlens.functions.geo import distance_km, transport_mode
-from wanderlens.functions.times import micro_hours, ts_in_month
+from wanderlens.functions.times import MICRO, micro_hours, ts_in_month
 from wanderlens.operators.lodging import UNMATCHED, hotel_classify
 from wanderlens.operators.social import contact_pairs
 from wanderlens.operators.spine import fill_spine, on_spine
@@ -154,7 +154,7 @@ def spot_visit_count(visitors: DataFrame, stops: DataFrame, spots: DataFrame, mo
     """Distinct spots and total hours at spots, at any time of day."""
     per_spot = (
         month_stops(stops, month).join(spots.select("cell_id", "scenic_id"), "cell_id")
-        .groupBy("user_id", "scenic_id").agg(F.sum("dur_h").alias("h"))
+        .groupBy("user_id", "scenic_id").agg((F.sum(micro_hours(F.col("dur_h"))) / MICRO).alias("h"))
     )
     return per_spot.groupBy("user_id").agg(F.count(F.lit(1)).alias("spots"), F.sum("h").alias("hours"))
 

@@ -80,7 +80,7 @@ class Catalog:
 
     def transport_mode(self):
         mode = transport_mode(F.col("lng"), F.col("lat"))
-        return self.inputs.visitor_stop.select("user_id", "ts", "cell_id", mode.alias("mode"))
+        return self.whole.visitor_stop.select("user_id", "ts", "cell_id", mode.alias("mode"))
 
     def transport_in(self):
         self.fix("visitor")

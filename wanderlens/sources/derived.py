@@ -1,17 +1,20 @@
 """The ten input tables, derived from the generated ``events``, ``customer`` and ``part`` tables.
 
 Even users are visitors with a stay of 2 to 18 days, odd users are residents; cells, homes, work
-places and call partners follow by integer arithmetic from the stored columns.
+places and call partners follow by integer arithmetic from the stored columns. The stored events
+lie in one month; some are repeated a month earlier or later, or at the same moment, and some
+residents have a second home or work place.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wanderlens.functions.times import ts_in_month
+from wanderlens.functions.times import month_bounds, ts_in_month
 
 # Base stations by (application, folder). They are one small table that most inputs join, so they
 # are kept for the session: Spark then knows their measured size when it chooses a join.
@@ -23,6 +26,18 @@ _CELL = """cast(case k % 5 when 0 then (user_id % 6)*5
                 when 1 then (user_id % 4)*5 + 51
                 else (user_id*13 + (k % 8)*7) % 100 end as bigint)"""
 
+
+
+def _around(month: str) -> tuple[dt.date, dt.date]:
+    """Bounds that hold the month and whatever is repeated into it."""
+    first, end = month_bounds(month)
+    return first - dt.timedelta(days=31), end + dt.timedelta(days=31)
+
+
+_COPIES = """case when event_id % 23 = 0 then array(ts, ts - interval 31 days)
+    when event_id % 29 = 0 then array(ts, ts + interval 31 days)
+    when event_id % 31 = 0 then array(ts, ts) else array(ts) end"""
+
 _POI_WORDS = ["快捷", "公寓", "家庭旅馆", "客栈", "青年", "商务", "招待所", "温泉", "海景", "情侣", "短租", "别墅", ""]
 
 
@@ -46,6 +61,10 @@ class DerivedInputs:
 
     def _events(self, month: str | None) -> DataFrame:
         events = self._table("events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        if month:  # the wider range is what reaches the files
+            first, end = (F.lit(f"{d} 00:00:00").cast("timestamp_ntz") for d in _around(month))
+            events = events.filter((F.col("ts") >= first) & (F.col("ts") < end))
+        events = events.withColumn("ts", F.explode(F.expr(_COPIES)))
         if month:
             events = events.filter(ts_in_month(F.col("ts"), month))
         # As a generated column the parsed JSON is not copied into every expression and filter that
@@ -114,9 +133,10 @@ class DerivedInputs:
     def local_stop(self) -> DataFrame:
         return self._stops("user_id % 2 = 1")
 
-    def _place(self, cell: str, unknown: str) -> DataFrame:
+    def _place(self, cell: str, unknown: str, second: str, has_second: str) -> DataFrame:
         users = self._table("events").select("user_id").filter("user_id % 2 = 1").distinct()
-        at = users.withColumn("cell_id", F.expr(f"cast({cell} as bigint)"))
+        cells = f"case when {has_second} then array({cell}, {second}) else array({cell}) end"
+        at = users.withColumn("cell_id", F.explode(F.expr(f"cast({cells} as array<bigint>)")))
         known = ~F.expr(unknown)
         return at.join(self.base_station, "cell_id").select(
             "user_id", "cell_id", F.when(known, F.col("lng")).alias("lng"), F.when(known, F.col("lat")).alias("lat")
@@ -124,11 +144,11 @@ class DerivedInputs:
 
     @cached_property
     def user_home(self) -> DataFrame:
-        return self._place("(user_id % 6)*5", "user_id % 11 = 0")
+        return self._place("(user_id % 6)*5", "user_id % 11 = 0", "(user_id*13 + 14) % 100", "user_id % 7 = 3")
 
     @cached_property
     def user_work(self) -> DataFrame:
-        return self._place("(user_id % 4)*5 + 51", "user_id % 13 = 0")
+        return self._place("(user_id % 4)*5 + 51", "user_id % 13 = 0", "(user_id*13 + 21) % 100", "user_id % 9 = 4")
 
     @cached_property
     def cdr(self) -> DataFrame:
