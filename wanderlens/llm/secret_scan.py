@@ -2,7 +2,7 @@
 
 The models are first-order character chains over ``ALPHABET``: one trained on labelled random
 strings, the values that the patterns find, the other on ordinary identifiers, the long words of
-texts outside those finds. A candidate, a run of at least ``SHORTEST`` characters that holds a
+texts outside those finds that are no candidates themselves. A candidate, a run of at least ``SHORTEST`` characters that holds a
 letter and a digit, is a secret if its log-likelihood ratio per transition is above ``MARGIN``.
 
 The training sample is bounded: the ``SAMPLE`` documents with a find and the ``SAMPLE`` documents
@@ -35,6 +35,7 @@ SHORTEST = 16
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_-]{7,}"
 SAMPLE = 2000
+PRIOR = 5.0
 MARGIN = 0.5
 SEED = 7
 
@@ -74,14 +75,21 @@ def _pair_counts(strings: DataFrame) -> dict[tuple[str, str], int]:
 
 
 def _log_chain(counts: dict[tuple[str, str], int]) -> list[list[float]]:
-    """log P(next | character), each next seen half a time more."""
+    """log P(next | character), mixed with the share of the next among all as ``PRIOR`` more transitions."""
+    ends = {b: sum(counts.get((a, b), 0) for a in ALPHABET) + 0.5 for b in ALPHABET}
+    all_ends = sum(ends.values())
     table = []
     for a in ALPHABET:
-        row = [counts.get((a, b), 0) + 0.5 for b in ALPHABET]
-        table.append([math.log(n / sum(row)) for n in row])
+        total = sum(counts.get((a, b), 0) for b in ALPHABET) + PRIOR
+        table.append([math.log((counts.get((a, b), 0) + PRIOR * ends[b] / all_ends) / total) for b in ALPHABET])
     return table
 
 
+def _looks_random(word: Column) -> Column:
+    """What a scan would take for a candidate."""
+    return (F.length(word) >= SHORTEST) & word.rlike("[0-9]") & word.rlike("[A-Za-z]")
+
+
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> list[float] | None:
     """Log ratio of the two chains for each pair of characters; None without labelled secrets."""
     plain = docs.select(F.coalesce(docs[text], F.lit("")).alias("t"), seeded_order(docs[key], SEED).alias("o"))
@@ -94,7 +102,7 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int
     ordinary = first_rows(plain, "o", "t", sample)
     outside = F.regexp_replace("t", any_base, " ")
     words = ordinary.select(F.explode(F.regexp_extract_all(outside, F.lit(IDENTIFIER), F.lit(0))).alias("s"))
-    names = _pair_counts(words)
+    names = _pair_counts(words.where(~_looks_random(F.col("s"))))
     pairs = zip(_log_chain(random), _log_chain(names), strict=True)
     return [r - n for rs, ns in pairs for r, n in zip(rs, ns, strict=True)]
 
@@ -119,7 +127,7 @@ def scan(docs: DataFrame, ratios: list[float] | None, text: str = "text", margin
         return rows.withColumnRenamed("base", "spans")
     free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     added = F.filter(_matches(body, CANDIDATE, 3), lambda c: (
-        c["match"].rlike("[0-9]") & c["match"].rlike("[A-Za-z]") & free(c)
+        _looks_random(c["match"]) & free(c)
         & (likelihood_ratio(c["match"], ratios) > margin)))
     return rows.select("row", F.array_sort(F.concat("base", added)).alias("spans"))
 
