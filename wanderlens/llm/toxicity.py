@@ -74,9 +74,10 @@ def _hashed(rows: DataFrame, most: int) -> list[np.ndarray]:
     def hash_all(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            yield pd.DataFrame({"places": [places(t, known) for t in batch["text"]]})
+            yield pd.DataFrame({"places": [np.array(places(t, known), "<i4").tobytes() for t in batch["text"]]})
 
-    return [np.array(r[0], np.int64) for r in first_rows(rows, "o", "text", most).select("text").mapInPandas(hash_all, "places array<int>").collect()]
+    chosen = first_rows(rows, "o", "text", most).select("text").mapInPandas(hash_all, "places binary")
+    return [np.frombuffer(r[0], "<i4") for r in chosen.collect()]
 
 
 class Sparse:
@@ -85,8 +86,8 @@ class Sparse:
     def __init__(self, rows: list[np.ndarray], useful: np.ndarray):
         kept = [r[useful[r]] for r in rows]
         self.lengths = np.array([len(r) for r in kept])
-        self.flat = np.concatenate(kept) if kept else np.empty(0, np.int64)
-        self.row = np.repeat(np.arange(len(kept)), self.lengths)
+        self.flat = np.concatenate([*kept, np.empty(0, np.int32)])
+        self.row = np.repeat(np.arange(len(kept), dtype=np.int32), self.lengths)
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.flat], minlength=len(self.lengths))
@@ -95,9 +96,17 @@ class Sparse:
         return np.bincount(self.flat, np.repeat(by_row, self.lengths), minlength=DIMENSIONS)
 
 
+def _counts(rows: list[np.ndarray]) -> np.ndarray:
+    """In how many rows each place occurs."""
+    found = np.zeros(DIMENSIONS, np.int64)
+    for row in rows:
+        found[row] += 1
+    return found
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk."""
-    in_p, in_u = (np.bincount(np.concatenate(r), minlength=DIMENSIONS) for r in (positive, unlabelled))
+    in_p, in_u = _counts(positive), _counts(unlabelled)
     n, k = len(positive), len(unlabelled)
     both = (in_p + in_u) / (n + k)
     error = np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n + 1 / k))
