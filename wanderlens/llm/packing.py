@@ -89,7 +89,16 @@ class WordIds:
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sequence of each piece and its place there."""
+    """The sequence of each piece and its place there.
+
+    Where no piece is short, trading one for two can use up the pieces that later sequences need;
+    the greedy filling alone is kept if it takes fewer sequences.
+    """
+    traded, plain = _fill(lengths, capacity, True), _fill(lengths, capacity, False)
+    return plain if plain[0].max(initial=0) < traded[0].max(initial=0) else traded
+
+
+def _fill(lengths: np.ndarray, capacity: int, trade: bool) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(lengths, kind="stable")
     sizes, starts = np.unique(lengths[order], return_index=True)
     left = {int(n): list(part) for n, part in zip(sizes, np.split(order, starts[1:]), strict=True)}
@@ -132,7 +141,7 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
             gap -= n
             if not open_sizes:
                 break
-        if gap and open_sizes and len(chosen) > 1 and (pair := tighter_pair(gap + chosen[-1][0], chosen[-1][0])):
+        if trade and gap and open_sizes and len(chosen) > 1 and (pair := tighter_pair(gap + chosen[-1][0], chosen[-1][0])):
             n, item = chosen.pop()
             chosen += [(m, pop(m)) for m in pair]
             if n not in left:

@@ -141,7 +141,7 @@ def labelled(pages: DataFrame, url: str = "url", labels: tuple = LISTED_LABELS)
     return pages.where(marked).select(pages[url].alias("url"))
 
 
-ORACLE = f"""
+ORACLE = rf"""
 with split as (select page_id, url, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end rest from pages),
 parts as (select page_id, rest,
     coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') host,
