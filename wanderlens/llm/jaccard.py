@@ -10,10 +10,11 @@
 3. Classes with identical prefix and size are one group. Only groups are posted to the shingles
    of their prefix; what a shingle brings together is filtered by size and place there, then
    groups are expanded to their classes, and every pair is verified on the full sets.
-4. In the list of a shingle first all groups are paired with its smallest one only. The components
-   of the verified links then tell which lists still hold different components; there the groups
-   outside the largest component are paired with all others. So thousands of near copies cost one
-   pair each, and no link between different components is missed.
+4. In the list of a shingle first all groups are paired with one only, that with the fewest
+   shingles of its own. The components of the verified links then tell which lists still hold
+   different components. Classes that such lists connect are compared in blocks, those outside the
+   largest component with all others, by products of 0/1 matrices: blocks return links, not pairs.
+   So thousands of near copies cost one pair each, and no link between components is missed.
 
 Hashes have 64 bits. Nothing that grows with the documents is broadcast or collected but the keys of
 documents that pass the filter, if there are at most ``SENT`` of them; else they are joined.
@@ -43,6 +44,9 @@ PACKED = 2000
 PER_BUCKET = 2000
 SENT = 200_000
 SALT = 8
+#: Classes in a block of comparisons, and columns of its matrices.
+BLOCK = 512
+COLUMNS = 8192
 
 
 def _press(numbers: np.ndarray) -> bytes:
@@ -184,38 +188,91 @@ def _labels(ids: DataFrame, links: DataFrame) -> DataFrame:
         "id", F.coalesce("label", "id").alias("label"))
 
 
+def _linked(minor: list, others: list) -> list[tuple[int, int]]:
+    """Links between classes of different labels, one for each of ``minor`` and label of the others.
+
+    Both hold (id, n, label, shingles). Overlaps are products of 0/1 matrices over shared shingles.
+    """
+    vocabulary = np.intersect1d(np.concatenate([x[3] for x in minor]), np.concatenate([x[3] for x in others]))
+    both = np.zeros((len(minor), len(others)), np.float32)
+    for at in range(0, len(vocabulary), COLUMNS):
+        part = vocabulary[at : at + COLUMNS]
+
+        def matrix(rows: list) -> np.ndarray:
+            found = np.zeros((len(rows), len(part)), np.float32)
+            for i, row in enumerate(rows):
+                place = np.minimum(np.searchsorted(part, row[3]), len(part) - 1)
+                found[i, place[part[place] == row[3]]] = 1
+            return found
+
+        both += matrix(minor) @ matrix(others).T
+    overlap = both.astype(np.int64)
+    union = np.array([x[1] for x in minor])[:, None] + np.array([x[1] for x in others])[None, :] - overlap
+    apart = np.array([x[2] for x in minor])[:, None] != np.array([x[2] for x in others])[None, :]
+    links = {}
+    for i, j in zip(*np.nonzero((100 * overlap >= 75 * union) & apart), strict=True):
+        links.setdefault((minor[i][0], others[j][2]), (minor[i][0], others[j][0]))
+    return list(links.values())
+
+
+def _compare(block: pd.DataFrame) -> pd.DataFrame:
+    links = []
+    for _, rows in block.groupby("family"):
+        minor, others = ([(r.id, r.n, r.label, np.array(r.shingles)) for r in rows[rows["minor"] == side].itertuples()]
+                         for side in (True, False))
+        if minor and others:
+            links += _linked(minor, others)
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def _rest(open_rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components that a list of ``open_rows`` (id, label, token) still holds apart."""
+    heads = open_rows.groupBy("token").agg(F.min("id").alias("b"))
+    families = components(open_rows.join(heads, "token").select(F.col("id").alias("a"), "b").distinct())
+    members = open_rows.select("id", "label").distinct().join(
+        families.select(F.col("node").alias("id"), F.col("label").alias("family")), "id")
+    members = stored(members, "members")
+    sizes = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("family").agg(
+        F.sum("m").alias("all"), F.max("m").alias("most"), F.max_by("label", F.struct("m", "label")).alias("top"))
+    placed = members.join(sizes, "family").join(sets, "id").withColumns({
+        "blocks": F.ceil(F.col("all") / BLOCK).cast("int"),
+        "minors": F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("most")) / BLOCK)).cast("int")})
+    # Small families share a task; a large one is spread over its pairs of blocks.
+    tasks = F.lit(max(1, members.count() // (2 * BLOCK)))
+    placed = placed.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), tasks)).otherwise(F.col("family")))
+    spin = F.xxhash64("id")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("minors") - 1)
+    columns = ["task", "blocks", "family", "id", "n", "label", "shingles"]
+    others = placed.select(*columns, F.lit(False).alias("minor"), F.pmod(spin, "blocks").cast("int").alias("x"), F.explode(every[1]).alias("y"))
+    minor = placed.where("label <> top").select(
+        *columns, F.lit(True).alias("minor"), F.explode(every[0]).alias("x"), F.pmod(spin, "minors").cast("int").alias("y"))
+    return others.unionByName(minor).groupBy("task", "blocks", "x", "y").applyInPandas(_compare, "a long, b long")
+
+
 def link_classes(sets: DataFrame) -> DataFrame:
     """``id, label`` of classes from their ``id, n, shingles``: the smallest id that links reach."""
     prefixes = stored(_prefixes(sets).withColumn("group", F.xxhash64("n", "alone", "tokens")), "prefixes")
     members = prefixes.select("group", "id")
     groups = prefixes.groupBy("group", "n", "alone", "tokens").agg(F.min("id").alias("id"))
-    posted = stored(groups.select("group", "id", "n", F.col("alone"), F.posexplode("tokens").alias("at", "token")).select(
-        "group", "id", "n", "token", (F.col("at") + F.col("alone")).alias("at")), "posted")
+    posted = stored(groups.select("group", "id", "n", "alone", F.posexplode("tokens").alias("at", "token")).select(
+        "group", "id", "n", "alone", "token", (F.col("at") + F.col("alone")).alias("at")), "posted")
 
     pivots = posted.groupBy("token").agg(
-        F.count(F.lit(1)).alias("m"), F.min(F.struct("id", "n", "at")).alias("p")).where("m > 1").select(
+        F.count(F.lit(1)).alias("m"), F.min(F.struct("alone", "id", "n", "at")).alias("p")).where("m > 1").select(
         "token", F.col("p.id").alias("b"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat"))
     across = posted.join(pivots, "token").where((F.col("id") != F.col("b")) & _may_link("n", "at", "pn", "pat")).select(
         F.col("id").alias("a"), "b")
     heads = groups.select(F.col("group").alias("of"), F.col("id").alias("b"))
     within = members.join(heads, F.col("group") == F.col("of")).where("id <> b").select(F.col("id").alias("a"), "b")
-    tried = stored(across.unionByName(within).distinct(), "tried")
-    links = stored(_verified(tried, sets), "links")
+    links = stored(_verified(across.unionByName(within).distinct(), sets), "links")
 
     ids = members.select("id")
     labels = stored(_labels(ids, links), "labels")
-    expanded = posted.select("group", "n", "token", "at").join(members, "group").join(labels, "id")
-    expanded = stored(expanded.select("id", "n", "token", "at", "label"), "expanded")
-    largest = expanded.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("labels"), F.max_by("label", "m").alias("top")).where("labels > 1").select("token", "top")
-    open_rows = expanded.join(largest, "token")
-    few = open_rows.where("label <> top").select(
-        "token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ata"), F.col("label").alias("la"))
-    rest = few.join(open_rows, "token").where(
-        (F.col("la") != F.col("label")) & ((F.col("label") == F.col("top")) | (F.col("a") > F.col("id")))
-        & _may_link("na", "ata", "n", "at")).select(F.greatest("a", "id").alias("a"), F.least("a", "id").alias("b")).distinct()
-    rest = rest.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = stored(_verified(rest, sets), "links")
+    expanded = stored(posted.select("group", "token").join(members, "group").join(labels, "id").select(
+        "id", "token", "label"), "expanded")
+    held_apart = expanded.groupBy("token").agg(
+        F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+    more = stored(_rest(expanded.join(held_apart, "token", "left_semi"), sets), "links")
     if more.isEmpty():
         return labels
     return _labels(ids, links.unionByName(more))
