@@ -181,7 +181,7 @@ def _with_discounts(table: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame) -> DataFrame:
-    """``lang, ord, hash, logp, backoff`` of every n-gram, from ``lang, text``: a stored table.
+    """The model of each language and order, from ``lang, text``: a stored table of ``MODEL_SCHEMA``.
 
     The counts of a lower order are the numbers of distinct characters before its n-grams. The
     interpolated probability of an n-gram is its discounted share plus the back-off of its context
@@ -214,7 +214,20 @@ def train(docs: DataFrame) -> DataFrame:
         entries = lower.select("lang", F.lit(order).alias("ord"), "code", F.log("p").alias("logp"),
                                F.lit(None).cast("double").alias("backoff"))
         done = entries.unionByName(free) if done is None else done.unionByName(entries).unionByName(free)
-    return stored(done.groupBy("lang", "ord", "code").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff")), "model")
+    entries = done.groupBy("lang", "ord", "code").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
+    return stored(entries.groupBy("lang", "ord").applyInPandas(_sorted_arrays, MODEL_SCHEMA), "model")
+
+
+MODEL_SCHEMA = "lang string, ord int, n long, hashes binary, logp binary, backoff binary"
+
+
+def _sorted_arrays(entries: pd.DataFrame) -> pd.DataFrame:
+    """One order of one language as arrays in the order of the hashes."""
+    keys = hashed(entries["code"].to_numpy(np.uint64))
+    by = np.argsort(keys)
+    values = [entries[c].fillna(fill).to_numpy("<f4")[by].tobytes() for c, fill in (("logp", np.nan), ("backoff", 0.0))]
+    first = entries.iloc[0]
+    return pd.DataFrame([(first["lang"], first["ord"], len(by), keys[by].tobytes(), *values)], columns=[c.split()[0] for c in MODEL_SCHEMA.split(", ")])
 
 
 class Model:
@@ -225,12 +238,8 @@ class Model:
 
     @classmethod
     def of(cls, rows: pd.DataFrame) -> Model:
-        orders = {}
-        for order, part in rows.groupby("ord"):
-            keys = hashed(part["code"].to_numpy(np.uint64))
-            by = np.argsort(keys)
-            orders[int(order)] = (keys[by], part["logp"].to_numpy(np.float32)[by], part["backoff"].fillna(0).to_numpy(np.float32)[by])
-        return cls(orders)
+        return cls({int(r.ord): (np.frombuffer(r.hashes, "<u8"), np.frombuffer(r.logp, "<f4"), np.frombuffer(r.backoff, "<f4"))
+                    for r in rows.itertuples()})
 
     def _find(self, order: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = self.orders[order][0]
@@ -267,12 +276,12 @@ SCORED = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 def _turns(model: DataFrame) -> list[list[str | None]]:
     """Languages in turns whose models together stay within ``MODEL_ROWS`` n-grams, or one language."""
     turns, room = [], 0
-    for r in model.groupBy("lang").count().collect():
-        if not turns or r["count"] > room:
+    for r in model.groupBy("lang").agg(F.sum("n").alias("n")).collect():
+        if not turns or r["n"] > room:
             turns.append([])
             room = MODEL_ROWS
         turns[-1].append(r["lang"])
-        room -= r["count"]
+        room -= r["n"]
     return turns
 
 
