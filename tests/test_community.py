@@ -16,3 +16,25 @@ def test_cliques_on_a_ring(spark):
 
 def test_no_calls(spark):
     assert communities(spark.createDataFrame([], "a long, b long, freq long")).count() == 0
+
+
+def test_a_long_chain_of_cliques_is_not_cut_short(spark):
+    """Cliques of equal ties merge over several levels, and the rows' order does not matter."""
+    size, count = 3, 40
+    edges = [(g * 10 + a, g * 10 + b, 1) for g in range(count) for a, b in itertools.combinations(range(size), 2)]
+    edges += [(g * 10, (g + 1) * 10 + 1, 1) for g in range(count - 1)]
+    pairs = spark.createDataFrame(edges, "a long, b long, freq long")
+    found = {r["user_id"]: r["community"] for r in communities(pairs).collect()}
+    again = {r["user_id"]: r["community"] for r in communities(pairs.repartition(5)).collect()}
+    assert found == again
+    assert modularity(edges, found) > 0.65
+    assert len(set(found.values())) < size * count / 2
+
+
+def modularity(edges, label):
+    total, inside, degree = 2 * sum(w for *_, w in edges), 0, {}
+    for a, b, w in edges:
+        inside += 2 * w * (label[a] == label[b])
+        degree[label[a]] = degree.get(label[a], 0) + w
+        degree[label[b]] = degree.get(label[b], 0) + w
+    return inside / total - sum((k / total) ** 2 for k in degree.values())

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import at, day, rows
 from wanderlens.plans.catalog import Catalog
 from wanderlens.plans.reports import RESULTS, TOURIST_BASE, run_report
+from wanderlens.operators import lodging
 from wanderlens.sources import readers
 from wanderlens.sources.derived import DerivedInputs
 from wanderlens.sources.readers import RAW_PATHS, ParquetInputs, RawInputs
@@ -66,6 +67,26 @@ def test_calls_with_blank_ends(spark, tmp_path):
     assert rows(readers.read_calls(spark, path), "caller", "callee", "dur_ms") == [(None, 2, 5), (1, None, 5), (1, 2, 60000)]
 
 
+@pytest.mark.parametrize("line", ["0,20240101000000,x,1", "", "a,b,c,d,e"])
+def test_short_call_lines_fail(spark, tmp_path, line):
+    with pytest.raises(Exception, match="fewer than 6 fields"):
+        readers.read_calls(spark, lines(tmp_path, "x,20240101080000,y,1,2,60000", line)).collect()
+
+
+@pytest.mark.parametrize("line", ["A|x|20.5|110.5|a|b|c", "A"])
+def test_short_poi_lines_fail(spark, tmp_path, line):
+    with pytest.raises(Exception, match="fewer than 8 fields"):
+        readers.read_poi(spark, lines(tmp_path, line)).collect()
+
+
+def test_equal_hotels_with_other_unused_fields_are_one(spark, tmp_path):
+    tail = "|20.5|110.5|a|b|c|酒店;星级酒店|99.5|d|1|2|3|4|5|6|7|"
+    path = lines(tmp_path, "A|x" + tail + "8", "A|y" + tail + "8", "A|x" + tail + "9")
+    poi = readers.read_poi(spark, path)
+    stations = spark.createDataFrame([(1, 110.5, 20.5, 500.0)], TABLES["base_station"])
+    assert rows(lodging.cell_hotel_labels(poi, stations)) == [(1, "0|0")]  # another score is another hotel
+
+
 def test_poi(spark, tmp_path):
     priced = "A|x|20.5|110.5|a|b|c|酒店;其他|99.5|d|1|2|3|4|5|6|7|8"
     path = lines(tmp_path, priced, priced, "B|x|20.5|110.5|a|b|c|购物|99.5", "C|x|20.5|110.5|a|b|c|酒店||d|1|2|3|4|5|6|7|8")

@@ -9,77 +9,85 @@ from wanderlens.operators.social import both_directions
 from wanderlens.sources.stored import stored
 
 
+# Weights, degrees and gains are whole numbers of up to 18 digits, their products decimals: results do
+# not depend on the order of a sum.
+_WHOLE = "decimal(18,0)"
+
+
 def _arrows(pairs: DataFrame) -> DataFrame:
     """Weighted edges from both ends; calls to oneself say nothing about groups."""
-    kept = pairs.filter("a <> b").select("a", "b", F.col("freq").cast("double").alias("w"))
+    kept = pairs.filter("a <> b").select("a", "b", F.col("freq").cast("bigint").alias("w"))
     return both_directions(kept).select(F.col("user_id").alias("u"), F.col("contact").alias("v"), "w")
 
 
-def _modularity(arrows: DataFrame, labels: DataFrame, total: float) -> float:
-    """Share of weight inside groups minus the share expected from the groups' total weights."""
-    ends = _with_groups(arrows, labels)
-    per_group = ends.groupBy("cu").agg(
-        F.sum("w").alias("degree"), F.sum(F.when(F.col("cu") == F.col("cv"), F.col("w")).otherwise(0.0)).alias("inside")
-    )
-    value = F.sum(F.col("inside") / total - F.pow(F.col("degree") / total, 2))
-    return per_group.agg(value.alias("q")).first()["q"] or 0.0
-
-
 def _with_groups(arrows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges with the groups of their ends; a group is split over as many tasks as its edges need."""
     return arrows.join(labels.select(F.col("node").alias("u"), F.col("label").alias("cu")), "u").join(
         labels.select(F.col("node").alias("v"), F.col("label").alias("cv")), "v"
     )
 
 
-def _move(arrows: DataFrame, labels: DataFrame, total: float, turn: int) -> DataFrame:
+def _quality(ends: DataFrame, total: int) -> int:
+    """Modularity times the square of the total weight."""
+    per_group = ends.groupBy("cu").agg(
+        F.sum("w").cast(_WHOLE).alias("degree"),
+        F.sum(F.when(F.col("cu") == F.col("cv"), F.col("w")).otherwise(0)).cast(_WHOLE).alias("inside"),
+    )
+    value = F.sum(F.col("inside") * F.lit(total).cast(_WHOLE) - F.col("degree") * F.col("degree"))
+    return int(per_group.agg(value.alias("q")).first()["q"] or 0)
+
+
+def _move(ends: DataFrame, total: int, turn: int) -> DataFrame:
     """Half of the nodes move to the neighbouring group with the largest gain, the rest stay.
 
     Weight to each group is summed before a node's groups are compared. Moving by halves keeps
-    two neighbours from swapping places for ever.
+    two neighbours from swapping places for ever. Equal gains go to the own, then the smallest group.
     """
-    ends = _with_groups(arrows, labels)
     degree = ends.groupBy("u", "cu").agg(F.sum("w").alias("k"))
     group = degree.groupBy(F.col("cu").alias("c")).agg(F.sum("k").alias("group_k"))
     ties = ends.filter("u <> v").groupBy("u", F.col("cv").alias("c")).agg(F.sum("w").alias("w"))
-    own = degree.select("u", F.col("cu").alias("c"), F.lit(0.0).alias("w"))
+    own = degree.select("u", F.col("cu").alias("c"), F.lit(0).cast("bigint").alias("w"))
     options = ties.unionByName(own).groupBy("u", "c").agg(F.sum("w").alias("w"))
     scored = options.join(degree, "u").join(group, "c")
-    others = F.col("group_k") - F.when(F.col("c") == F.col("cu"), F.col("k")).otherwise(0.0)
-    gain = F.round(F.col("w") - F.col("k") * others / total, 9)
-    stays = (F.col("c") == F.col("cu")).cast("int")
-    best = scored.groupBy("u", "cu").agg(F.max_by("c", F.struct(gain, stays, -F.col("c"))).alias("best"))
+    others = F.col("group_k") - F.when(F.col("c") == F.col("cu"), F.col("k")).otherwise(0)
+    gain = F.col("w").cast(_WHOLE) * F.lit(total).cast(_WHOLE) - F.col("k").cast(_WHOLE) * others.cast(_WHOLE)
+    moved = (F.col("c") != F.col("cu")).cast("int")
+    best = scored.groupBy("u", "cu").agg(F.min_by("c", F.struct(-gain, moved, "c")).alias("best"))
     moves = F.pmod(F.xxhash64("u") + turn, F.lit(2)) == 0
     return best.select(F.col("u").alias("node"), F.when(moves, F.col("best")).otherwise(F.col("cu")).alias("label"))
 
 
-def communities(pairs: DataFrame, levels: int = 3, rounds: int = 8, min_gain: float = 1e-4) -> DataFrame:
+def communities(pairs: DataFrame, min_gain: float = 1e-4) -> DataFrame:
     """Group of each user: ``user_id``, ``community`` (the smallest user id of the group).
 
-    Each level moves nodes until modularity no longer rises, then merges every group into one node.
-    Labels are stored after each round; only single numbers come to the driver.
+    Each level moves nodes until two rounds in turn raise modularity by no more than ``min_gain``, then
+    merges every group into one node; a level that gains no more than that is the last. Every other
+    round raises it by more, so the rounds end after at most 2 / ``min_gain`` of them, on any graph.
+    Labels and edges are stored after each round; only single numbers come to the driver.
     """
     arrows = stored(_arrows(pairs), "arrows")
-    total = arrows.agg(F.sum("w").alias("w")).first()["w"]
+    total = int(arrows.agg(F.sum("w").alias("w")).first()["w"] or 0)
     members = arrows.select(F.col("u").alias("user_id"), F.col("u").alias("label")).distinct()
     if not total:
         return members.select("user_id", F.col("label").alias("community"))
-    for _ in range(levels):
+    step = int(min_gain * total * total)
+    while True:
         labels = arrows.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct()
-        best, quality, idle = labels, _modularity(arrows, labels, total), 0
-        before = quality
-        for turn in range(rounds):
-            labels = stored(_move(arrows, labels, total, turn), "labels")
-            moved = _modularity(arrows, labels, total)
-            idle = 0 if moved > quality + min_gain else idle + 1
+        ends = stored(_with_groups(arrows, labels), "ends")
+        before = quality = _quality(ends, total)
+        best, best_ends, turn, idle = labels, ends, 0, 0
+        while idle < 2:  # both halves had their turn
+            labels = stored(_move(ends, total, turn), "labels")
+            ends = stored(_with_groups(arrows, labels), "ends")
+            moved, turn = _quality(ends, total), turn + 1
+            idle = 0 if moved > quality + step else idle + 1
             if moved > quality:
-                best, quality = labels, moved
-            if idle == 2:  # both halves had their turn
-                break
-        if quality <= before + min_gain:
+                best, best_ends, quality = labels, ends, moved
+        if quality <= before + step:
             break
         joined = members.join(best.withColumnRenamed("label", "next"), F.col("label") == F.col("node"))
         members = stored(joined.select("user_id", F.col("next").alias("label")), "members")
-        merged = _with_groups(arrows, best).groupBy(F.col("cu").alias("u"), F.col("cv").alias("v"))
-        arrows = stored(merged.agg(F.sum("w").alias("w")), "arrows")
+        merged = best_ends.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w"))
+        arrows = stored(merged, "arrows")
     names = members.groupBy("label").agg(F.min("user_id").alias("community"))
     return members.join(names, "label").select("user_id", "community")

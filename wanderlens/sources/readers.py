@@ -27,7 +27,8 @@ STATION_FIELDS = {"cell_id": 3, "radius_m": 11, "lng": 12, "lat": 13}
 STATION_WIDTH = 14
 CALL_FIELDS = {"call_ts": 1, "caller": 3, "callee": 4, "dur_ms": 5}
 POI_FIELDS = {"name": 0, "lat": 2, "lng": 3, "tags": 7, "price": 8}
-PRICED_POI_WIDTH = 18
+POI_SCORES = range(10, 18)
+CALL_WIDTH, POI_WIDTH, PRICED_POI_WIDTH = 6, 8, 18
 NO_PRICE = -1.0
 UNKNOWN = "None"
 STAMP, DAY = "yyyyMMddHHmmss", "yyyyMMdd"
@@ -59,6 +60,13 @@ def _field(fields: Column, position: int) -> Column:
     return F.nullif(F.trim(F.get(fields, F.lit(position))), F.lit(""))
 
 
+def _split(lines: DataFrame, separator: str, least: int) -> DataFrame:
+    """Fields of each line; a line with fewer than ``least`` fails the job."""
+    fields = F.split("value", separator)
+    short = F.raise_error(F.concat(F.lit(f"fewer than {least} fields: "), F.substring("value", 1, 80)))
+    return lines.select(F.when(F.size(fields) >= least, fields).otherwise(short).alias("f"))
+
+
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
     """Base stations from lines of 14 fields, counted up to the last field that is not blank."""
     fields = F.split(F.regexp_replace("value", ",+$", ""), ",")
@@ -72,7 +80,7 @@ def read_stations(spark: SparkSession, path: str) -> DataFrame:
 
 def read_calls(spark: SparkSession, path: str) -> DataFrame:
     """Call records; a blank end of a call is NULL."""
-    lines = spark.read.text(path).select(F.split("value", ",").alias("f"))
+    lines = _split(spark.read.text(path), ",", CALL_WIDTH)
     part = {name: _field(F.col("f"), i) for name, i in CALL_FIELDS.items()}
     return lines.select(
         F.to_timestamp_ntz(part["call_ts"], F.lit(STAMP)).alias("call_ts"),
@@ -81,16 +89,20 @@ def read_calls(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_poi(spark: SparkSession, path: str) -> DataFrame:
-    """Points of interest from pipe-separated lines. Equal lines are one POI; its key is their hash."""
-    lines = spark.read.text(path).distinct().select(
-        F.xxhash64("value").alias("poi_id"), F.split("value", r"\|").alias("f")
-    )
+    """Points of interest from pipe-separated lines.
+
+    Equal lines are one POI. Hotels of one label are told apart by name, position, price and scores,
+    so these make the key; a line without the priced width has neither price nor scores.
+    """
+    lines = _split(spark.read.text(path).distinct(), r"\|", POI_WIDTH)
     part = {name: _field(F.col("f"), i) for name, i in POI_FIELDS.items()}
-    price = F.when(F.size("f") == PRICED_POI_WIDTH, part["price"].cast("double"))
+    priced = F.size("f") == PRICED_POI_WIDTH
+    valued = [F.when(priced, _field(F.col("f"), i)) for i in (POI_FIELDS["price"], *POI_SCORES)]
+    known = [F.coalesce(x, F.lit("-1")) for x in (part["name"], part["lng"], part["lat"], *valued)]
     return lines.select(
-        "poi_id", part["name"].alias("name"), part["tags"].alias("tags"),
+        F.xxhash64(*known).alias("poi_id"), part["name"].alias("name"), part["tags"].alias("tags"),
         part["lng"].cast("double").alias("lng"), part["lat"].cast("double").alias("lat"),
-        F.coalesce(price, F.lit(NO_PRICE)).alias("price"),
+        F.coalesce(F.when(priced, part["price"].cast("double")), F.lit(NO_PRICE)).alias("price"),
     )
 
 
