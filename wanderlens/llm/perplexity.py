@@ -190,13 +190,14 @@ def train(docs: DataFrame) -> DataFrame:
     tables = {ORDER: stored(count_grams(docs), "grams")}
     for order in range(ORDER - 1, 0, -1):
         shorter = F.col("code") % CLASSES**order
-        tables[order] = tables[order + 1].groupBy("lang", shorter.alias("code")).agg(F.count(F.lit(1)).alias("n"))
+        tables[order] = stored(tables[order + 1].groupBy("lang", shorter.alias("code")).agg(F.count(F.lit(1)).alias("n")), "grams")
     lower, done = None, None
     for order in range(1, ORDER + 1):
         context = F.floor(F.col("code") / CLASSES).cast("long")
-        cut = _with_discounts(tables[order]).withColumn("context", context)
-        sums = cut.groupBy(F.col("lang").alias("_l"), F.col("context").alias("_c")).agg(
-            F.sum("n").alias("_total"), F.sum("cut").alias("_free"))
+        # Every step is stored: plans stay small, and none is computed again for the next order.
+        cut = stored(_with_discounts(tables[order]).withColumn("context", context), "cut")
+        sums = stored(cut.groupBy(F.col("lang").alias("_l"), F.col("context").alias("_c")).agg(
+            F.sum("n").alias("_total"), F.sum("cut").alias("_free")), "sums")
         joined = cut.join(sums, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("context") == F.col("_c")))
         share, weight = (F.col("n") - F.col("cut")) / F.col("_total"), F.col("_free") / F.col("_total")
         if lower is None:
