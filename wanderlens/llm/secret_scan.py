@@ -94,12 +94,12 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int
     """Log ratio of the two chains for each pair of characters; None without labelled secrets."""
     plain = docs.select(F.coalesce(docs[text], F.lit("")).alias("t"), seeded_order(docs[key], SEED).alias("o"))
     any_base = "|".join(f"(?:{p})" for p in (ASSIGN, ACCESS, HEX))
-    secret = first_rows(plain.where(F.col("t").rlike(any_base)), "o", "t", sample)
+    secret = first_rows(plain, plain.where(F.col("t").rlike(any_base)), "o", "t", sample)
     values = secret.select(F.explode(F.concat(*base_spans(F.col("t")))).alias("m")).select(F.col("m.value").alias("s"))
     random = _pair_counts(values)
     if not random:
         return None
-    ordinary = first_rows(plain, "o", "t", sample)
+    ordinary = first_rows(plain, plain, "o", "t", sample)
     outside = F.regexp_replace("t", any_base, " ")
     words = ordinary.select(F.explode(F.regexp_extract_all(outside, F.lit(IDENTIFIER), F.lit(0))).alias("s"))
     names = _pair_counts(words.where(~_looks_random(F.col("s"))))

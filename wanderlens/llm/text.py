@@ -24,7 +24,10 @@ def unit_of(order: Column) -> Column:
     return F.conv(F.substring(order, 1, 7), 16, 10).cast("double") / float(16**7)
 
 
-def first_rows(rows: DataFrame, order: str, text: str, n: int) -> DataFrame:
-    """At most ``n`` rows, those first in ``order``. Only orders are ranked; texts are read for the chosen ones."""
-    chosen = F.broadcast(rows.select(order).orderBy(order).limit(n).distinct())
+def first_rows(rows: DataFrame, eligible: DataFrame, order: str, text: str, n: int) -> DataFrame:
+    """At most ``n`` of ``rows``: those whose ``order`` is first among the ``eligible``.
+
+    Only orders are ranked; the chosen ones, at most ``n``, are sent to where the texts are read.
+    """
+    chosen = F.broadcast(eligible.select(order).orderBy(order).limit(n).distinct())
     return rows.join(chosen, order, "left_semi").orderBy(order, text).limit(n)

@@ -68,15 +68,15 @@ def places(text: str | None, known: dict[str, tuple[int, ...]]) -> list[int]:
     return list(found)
 
 
-def _hashed(rows: DataFrame, most: int) -> list[np.ndarray]:
-    """The places of the first ``most`` texts in the order of ``o``, on the driver."""
+def _hashed(rows: DataFrame, eligible: DataFrame, most: int) -> list[np.ndarray]:
+    """The places of the first ``most`` eligible texts in the order of ``o``, on the driver."""
 
     def hash_all(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             yield pd.DataFrame({"places": [np.array(places(t, known), "<i4").tobytes() for t in batch["text"]]})
 
-    chosen = first_rows(rows, "o", "text", most).select("text").mapInPandas(hash_all, "places binary")
+    chosen = first_rows(rows, eligible, "o", "text", most).select("text").mapInPandas(hash_all, "places binary")
     return [np.frombuffer(r[0], "<i4") for r in chosen.collect()]
 
 
@@ -143,10 +143,10 @@ def train(
     texts = docs.where(~held_out(docs[key]) & docs[key].isNotNull()).select(
         docs[key].alias("key"), docs[text].alias("text"), seeded_order(docs[key], SEED).alias("o"))
     confirmed = use.where("toxic = 1").select("key").distinct()
-    positive = _hashed(texts.join(confirmed, "key", "left_semi"), POSITIVES)
+    positive = _hashed(texts, texts.join(confirmed, "key", "left_semi"), POSITIVES)
     if not positive or not 0 < prior < 1:
         return np.zeros(DIMENSIONS, np.float32), 30.0 if prior >= 1 and positive else -30.0
-    unlabelled = _hashed(texts, UNLABELLED)
+    unlabelled = _hashed(texts, texts, UNLABELLED)
     return fit(positive, unlabelled, prior)
 
 
