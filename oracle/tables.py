@@ -10,7 +10,7 @@ IN_STAY = "m.user_id%2=0 and day(m.ts) between 1+(m.user_id*7)%15 and 2+(m.user_
 PROVINCES = [301, 303, 331, 311, 308, 325, 305, 318, 310, 328, 313, 322, 319, 323, 304,
              315, 329, 306, 302, 324, 312, 321, 320, 307, 316, 314, 326, 317, 330, 300]
 
-STOP = """select cast(m.ts as date) "day", m.user_id, m.ts, m.cell_id, 0.5+m.value/20 dur_h, b.lng, b.lat
+STOP = """select cast(m.ts as date) "day", 'u'||m.user_id user_id, m.ts, m.cell_id, 0.5+m.value/20 dur_h, b.lng, b.lat
           from fx_move m join base_station b using(cell_id) where m.event_type<>'error' and """
 
 
@@ -20,7 +20,7 @@ def km(lng1: str, lat1: str, lng2: str, lat2: str) -> str:
 
 
 def place(cell: str, unknown: str, second: str, has_second: str) -> str:
-    return f"""select u.user_id, u.cell_id,
+    return f"""select 'u'||u.user_id user_id, u.cell_id,
                  case when not ({unknown}) then b.lng end lng, case when not ({unknown}) then b.lat end lat
                from (select user_id, cast({cell} as bigint) cell_id from fx_user u
                      union all select user_id, cast({second} as bigint) from fx_user u where {has_second}) u
@@ -46,19 +46,19 @@ CTES = {
           cast(case when k%5=0 then null else 500+(k%7)*2000 end as double) radius_m
         from (select distinct k from fx_event)""",
     "scenic_spot": "select cast(1+cell_id%25 as int) scenic_id, cell_id from base_station where cell_id%3=0",
-    "visitor_record": f"""select m.user_id, m.ts, m.cell_id, b.lng, b.lat, 300+c.c_nationkey prov
+    "visitor_record": f"""select 'u'||m.user_id user_id, m.ts, m.cell_id, b.lng, b.lat, 300+c.c_nationkey prov
         from fx_move m join base_station b using(cell_id) join customer c on c.c_custkey=m.user_id
         where {IN_STAY}""",
     "visitor_stop": STOP + IN_STAY,
-    "local_record": """select m.user_id, m.ts, m.cell_id, b.lng, b.lat, 327 prov
+    "local_record": """select 'u'||m.user_id user_id, m.ts, m.cell_id, b.lng, b.lat, 327 prov
         from fx_move m join base_station b using(cell_id) where m.user_id%2=1""",
     "local_stop": STOP + "m.user_id%2=1",
     "user_home": place("(u.user_id%6)*5", "u.user_id%11=0", "(u.user_id*13+14)%100", "u.user_id%7=3"),
     "user_work": place("(u.user_id%4)*5+51", "u.user_id%13=0", "(u.user_id*13+21)%100", "u.user_id%9=4"),
-    "cdr": """select ts call_ts, user_id caller,
-          case when k=99 then null else
+    "cdr": """select ts call_ts, 'u'||user_id caller,
+          case when k=99 then null else 'u'||(
             (case when k%2=0 then user_id+1+k%7 else user_id//8*8+k%3 end)::bigint
-            % (select max(user_id)+1 from fx_event) end callee,
+            % (select max(user_id)+1 from fx_event)) end callee,
           cast(round(value*100) as bigint)*600 dur_ms
         from fx_event where user_id%4<>0 or k%10=0""",
     "poi": """select p.p_partkey poi_id, p.p_name||' '||(['快捷','公寓','家庭旅馆','客栈','青年',

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 import sys
 from pathlib import Path
 
@@ -9,7 +10,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from wanderlens.session import local_session  # noqa: E402
 from wanderlens.sources.schemas import TABLES, VISITOR  # noqa: E402
 
-SCHEMAS = {**TABLES, "visitor": VISITOR}
+#: Operators take text ids as well as whole numbers: most tests use numbers, the derived tables text.
+SCHEMAS = {
+    name: re.sub(r"(user_id|cell_id|caller|callee) string", r"\1 bigint", schema)
+    for name, schema in {**TABLES, "visitor": VISITOR}.items()
+}
 
 
 @pytest.fixture(scope="session")

@@ -51,5 +51,5 @@ def test_routes_on_spark(spark, table):
     stations = table("base_station", [(0, 110.0, 20.0, None), (7, 111.0, 21.0, None)])
     drawn = spark.createDataFrame([(1, 0, 7, [0, 3, 7])], "user_id long, home long, work long, path array<long>")
     assert rows(routes.representative_route(drawn, stations)) == [
-        (1, 110.0, 20.0, 111.0, 21.0, "110.0,20.0,None,None,111.0,21.0")
+        (1, 0, 7, 110.0, 20.0, 111.0, 21.0, "110.0,20.0,None,None,111.0,21.0")
     ]

@@ -14,8 +14,7 @@ from pyspark.sql import Window as W
 from wanderlens.functions.times import second_of_day
 
 MIN_ROUTE_CELLS = 3
-_EDGES = "array<struct<src:bigint,dst:bigint,n:bigint>>"
-_ROUTE = "weight double, path array<bigint>"
+Cell = int | str  # ids are numbers or text
 
 # The search travels to the executors with the job: they need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -68,17 +67,17 @@ def transition_weights(stops: DataFrame, homes: DataFrame, works: DataFrame) ->
     )
 
 
-def heaviest_first(start: int, goal: int, edges: list[tuple[int, int, int]]) -> tuple[float, list[int]]:
+def heaviest_first(start: Cell, goal: Cell, edges: list[tuple[Cell, Cell, int]]) -> tuple[float, list[Cell]]:
     """Path found by always extending the open path with the largest summed weight.
 
     Cells that were extended are not entered again. Of equal sums the path opened last goes first,
     and of one extension the lower cell id.
     """
-    onward: dict[int, list[tuple[int, int]]] = {}
+    onward: dict[Cell, list[tuple[Cell, int]]] = {}
     for src, dst, n in sorted(edges):
         onward.setdefault(src, []).append((dst, n))
-    extended: set[int] = set()
-    open_paths: list[tuple[float, int, int, list[int]]] = [(0.0, 0, 0, [start])]
+    extended: set[Cell] = set()
+    open_paths: list[tuple[float, int, int, list[Cell]]] = [(0.0, 0, 0, [start])]
     turn = 0
     while open_paths:
         negative, _, _, path = heapq.heappop(open_paths)
@@ -105,8 +104,9 @@ def best_route(transitions: DataFrame) -> DataFrame:
 
     The edges of a user are already counted, at most one per cell pair of a month's routes.
     """
-    search = F.pandas_udf(_search, _ROUTE)
-    edges = F.collect_list(F.struct("src", "dst", "n")).cast(_EDGES)
+    cell = dict(transitions.dtypes)["src"]
+    search = F.pandas_udf(_search, f"weight double, path array<{cell}>")
+    edges = F.collect_list(F.struct("src", "dst", "n"))
     per_user = transitions.groupBy("user_id", "home", "work").agg(edges.alias("edges"))
     found = per_user.select("user_id", "home", "work", search("home", "work", "edges").alias("found"))
     return found.select("user_id", "home", "work", "found.weight", "found.path")

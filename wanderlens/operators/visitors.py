@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from wanderlens.constants import DUTY_FREE_SPOT, HUB_KM, UNKNOWN_MODE
 from wanderlens.functions.geo import distance_km, transport_mode
-from wanderlens.functions.times import MICRO, micro_hours, ts_in_month
+from wanderlens.functions.times import MICRO, epoch_millis, micro_hours, ts_in_month
 from wanderlens.operators.lodging import UNMATCHED, hotel_classify
 from wanderlens.operators.social import contact_pairs
 from wanderlens.operators.spine import fill_spine, on_spine
@@ -30,14 +30,13 @@ def detect_visitors(records: DataFrame, month: str, min_days: int = 3, max_days:
 def _transport(visitors: DataFrame, stops: DataFrame, stations: DataFrame, leaving: bool, max_km: float) -> DataFrame:
     # The edge stop of every (user, day) is found first: it combines on the map side, and the join
     # with the visitors then meets at most one row per user and day.
-    pick, cell_order, edge_day = (
-        (F.max, -F.col("cell_id"), "last_date") if leaving else (F.min, F.col("cell_id"), "first_date")
-    )
-    edge = F.struct("ts", cell_order.alias("tie"), "lng", "lat")
+    # Of stops at one moment the smallest cell id counts.
+    when, edge_day = (-epoch_millis(F.col("ts")), "last_date") if leaving else (epoch_millis(F.col("ts")), "first_date")
+    edge = F.struct(when.alias("when"), F.col("cell_id").alias("tie"), "lng", "lat")
     located = stops.select("user_id", "cell_id", "ts").join(stations.select("cell_id", "lng", "lat"), "cell_id")
-    per_day = located.groupBy("user_id", F.to_date("ts").alias("edge_day")).agg(pick(edge).alias("edge"))
+    per_day = located.groupBy("user_id", F.to_date("ts").alias("edge_day")).agg(F.min(edge).alias("edge"))
     days = visitors.select("user_id", F.col(edge_day).alias("edge_day"))
-    per_user = per_day.join(days, ["user_id", "edge_day"]).groupBy("user_id").agg(pick("edge").alias("edge"))
+    per_user = per_day.join(days, ["user_id", "edge_day"]).groupBy("user_id").agg(F.min("edge").alias("edge"))
     return per_user.select(
         "user_id", transport_mode(F.col("edge.lng"), F.col("edge.lat"), max_km).alias("transport")
     )
@@ -67,7 +66,7 @@ def visitor_home(visitors: DataFrame, stops: DataFrame, stations: DataFrame, mon
         month_stops(stops, month).filter(F.hour("ts") <= 6)
         .groupBy("user_id", "cell_id").agg(F.sum(micro_hours(F.col("dur_h"))).alias("micro"))
     )
-    longest = F.max_by("cell_id", F.struct("micro", -F.col("cell_id")))
+    longest = F.min_by("cell_id", F.struct(-F.col("micro"), "cell_id"))
     homes = per_cell.groupBy("user_id").agg(longest.alias("home_cell"))
     return homes.join(
         stations.select(F.col("cell_id").alias("home_cell"), "lng", "lat"), "home_cell"

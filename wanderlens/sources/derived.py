@@ -3,7 +3,7 @@
 Even users are visitors with a stay of 2 to 18 days, odd users are residents; cells, homes, work
 places and call partners follow by integer arithmetic from the stored columns. The stored events
 lie in one month; some are repeated a month earlier or later, or at the same moment, and some
-residents have a second home or work place.
+residents have a second home or work place. User ids leave as text, cell ids as numbers.
 """
 
 from __future__ import annotations
@@ -41,6 +41,10 @@ _COPIES = """case when event_id % 23 = 0 then array(ts, ts - interval 31 days)
 _POI_WORDS = ["快捷", "公寓", "家庭旅馆", "客栈", "青年", "商务", "招待所", "温泉", "海景", "情侣", "短租", "别墅", ""]
 
 
+def _text_id(user: str):
+    return F.concat(F.lit("u"), F.col(user))
+
+
 class DerivedInputs:
     """Lazily built inputs of one folder; ``month`` limits the event scan by pushed-down range."""
 
@@ -110,18 +114,18 @@ class DerivedInputs:
         )
         return (
             self._moves().filter(_IN_STAY).join(origin, "user_id")
-            .select("user_id", "ts", "cell_id", "lng", "lat", "prov")
+            .select(_text_id("user_id").alias("user_id"), "ts", "cell_id", "lng", "lat", "prov")
         )
 
     @cached_property
     def local_record(self) -> DataFrame:
         return self._moves().filter("user_id % 2 = 1").select(
-            "user_id", "ts", "cell_id", "lng", "lat", F.lit(327).alias("prov")
+            _text_id("user_id").alias("user_id"), "ts", "cell_id", "lng", "lat", F.lit(327).alias("prov")
         )
 
     def _stops(self, condition: str) -> DataFrame:
         return self._moves().filter("event_type <> 'error'").filter(condition).select(
-            F.to_date("ts").alias("day"), "user_id", "ts", "cell_id",
+            F.to_date("ts").alias("day"), _text_id("user_id").alias("user_id"), "ts", "cell_id",
             F.expr("0.5d + value / 20").alias("dur_h"), "lng", "lat",
         )
 
@@ -139,7 +143,7 @@ class DerivedInputs:
         at = users.withColumn("cell_id", F.explode(F.expr(f"cast({cells} as array<bigint>)")))
         known = ~F.expr(unknown)
         return at.join(self.base_station, "cell_id").select(
-            "user_id", "cell_id", F.when(known, F.col("lng")).alias("lng"), F.when(known, F.col("lat")).alias("lat")
+            _text_id("user_id").alias("user_id"), "cell_id", F.when(known, F.col("lng")).alias("lng"), F.when(known, F.col("lat")).alias("lat")
         )
 
     @cached_property
@@ -157,8 +161,8 @@ class DerivedInputs:
                                  else (user_id div 8)*8 + k%3 end as bigint)""")
         return self._events(self.month).filter("user_id % 4 <> 0 or k % 10 = 0").select(
             F.col("ts").alias("call_ts"),
-            F.col("user_id").alias("caller"),
-            F.when(F.col("k") != 99, F.pmod(partner, user_count)).alias("callee"),
+            _text_id("user_id").alias("caller"),
+            F.when(F.col("k") != 99, F.concat(F.lit("u"), F.pmod(partner, user_count))).alias("callee"),
             F.expr("cast(round(value * 100) as bigint) * 600").alias("dur_ms"),
         )
 

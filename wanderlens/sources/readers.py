@@ -15,11 +15,11 @@ from wanderlens.sources.schemas import TABLES, VISITOR
 
 # The field order of each raw layout. Fields that no operator uses are plain strings.
 RAW_LAYOUTS = {
-    "record": "user_id bigint, ts timestamp_ntz, cell_id bigint, lng double, lat double, prov int",
-    "stop": "day date, user_id bigint, ts timestamp_ntz, cell_id bigint, dur_h double, lng double, lat double",
-    "place": "user_id bigint, cell_id bigint, lng double, lat double",
+    "record": "user_id string, ts timestamp_ntz, cell_id string, lng double, lat double, prov int",
+    "stop": "day date, user_id string, ts timestamp_ntz, cell_id string, dur_h double, lng double, lat double",
+    "place": "user_id string, cell_id string, lng double, lat double",
     "visitor": VISITOR,
-    "transport": "user_id bigint, transport int",
+    "transport": "user_id string, transport int",
     "spot": "sid string, name string, status string, slng string, slat string, cid string, clng string, "
             "clat string, dist string",
 }
@@ -51,7 +51,7 @@ def read_spots(spark: SparkSession, path: str) -> DataFrame:
     """Spot and cell ids; lines whose spot id is not a number are headers."""
     lines = _strict(spark).schema(RAW_LAYOUTS["spot"]).csv(path)
     return lines.filter(F.col("sid").rlike("^[0-9]+$")).select(
-        F.col("sid").cast("int").alias("scenic_id"), F.col("cid").cast("bigint").alias("cell_id")
+        F.col("sid").cast("int").alias("scenic_id"), F.col("cid").alias("cell_id")
     )
 
 
@@ -73,7 +73,7 @@ def read_stations(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(fields.alias("f")).filter(F.size("f") == STATION_WIDTH)
     known = {name: _field(F.col("f"), i) for name, i in STATION_FIELDS.items()}
     return lines.select(
-        known["cell_id"].cast("bigint").alias("cell_id"),
+        known["cell_id"].alias("cell_id"),
         *[F.nullif(known[c], F.lit(UNKNOWN)).cast("double").alias(c) for c in ("lng", "lat", "radius_m")],
     )
 
@@ -84,7 +84,7 @@ def read_calls(spark: SparkSession, path: str) -> DataFrame:
     part = {name: _field(F.col("f"), i) for name, i in CALL_FIELDS.items()}
     return lines.select(
         F.to_timestamp_ntz(part["call_ts"], F.lit(STAMP)).alias("call_ts"),
-        *[part[c].cast("bigint").alias(c) for c in ("caller", "callee", "dur_ms")],
+        part["caller"].alias("caller"), part["callee"].alias("callee"), part["dur_ms"].cast("bigint").alias("dur_ms"),
     )
 
 
