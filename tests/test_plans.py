@@ -26,6 +26,7 @@ def test_month_and_columns_reach_the_scan(spark, name):
     execution = entry.queries()[name](spark, FOLDER)._jdf.queryExecution()
     plan = spark._jvm.PythonSQLUtils.explainString(execution, "formatted")
     pushed = re.findall(r"PushedFilters: \[([^\]]*)", plan)
-    assert any("GreaterThanOrEqual(ts,2024-01-01" in p and "LessThan(ts,2024-02-01" in p for p in pushed)
+    # The derived tables repeat events 31 days earlier or later, so the range at the files is that much wider.
+    assert any("GreaterThanOrEqual(ts,2023-12-01" in p and "LessThan(ts,2024-03-03" in p for p in pushed)
     schemas = re.findall(r"ReadSchema: struct<([^>]*)", plan)
-    assert schemas and not any("event_id" in s for s in schemas)
+    assert schemas and ("event_type" in plan) == (name in {"spot_flow_prov_month", "top3_locations"})

@@ -184,3 +184,16 @@ def test_parquet_inputs_prune_partitions(spark, derived, tmp_path):
     assert comparable(Catalog(inputs, MONTH).visitor_detect()) == comparable(Catalog(derived, MONTH).visitor_detect())
     with pytest.raises(AttributeError):
         inputs.nothing
+
+
+def test_stored_tables_are_dropped_by_their_paths(spark):
+    from wanderlens.sources.stored import drop_stored, shared_folder, stored
+
+    kept = f"{shared_folder(spark)}/kept"
+    spark.range(3).write.mode("overwrite").parquet(kept)
+    frame = stored(spark.range(5))
+    assert frame.count() == 5
+    assert drop_stored(spark) >= 1 and drop_stored(spark) == 0
+    assert spark.read.parquet(kept).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        spark.read.parquet(frame.inputFiles()[0]).count()

@@ -70,7 +70,9 @@ def within_radius(centres: DataFrame, points: DataFrame) -> DataFrame:
     balls = _ball_cubes(
         centres.filter("lng is not null and lat is not null").withColumn("level", _level_for(reach)), reach
     )
-    located = _point_cubes(points.filter("lng is not null and lat is not null"))
+    # Points are shuffled only at the levels that some centre looks at, at most ten.
+    levels = F.broadcast(balls.select("level").distinct())
+    located = _point_cubes(points.filter("lng is not null and lat is not null")).join(levels, "level", "left_semi")
     located = located.withColumnsRenamed({"lng": "point_lng", "lat": "point_lat"})
     km = distance_km(F.col("lng"), F.col("lat"), F.col("point_lng"), F.col("point_lat"))
     return (

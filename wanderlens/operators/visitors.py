@@ -28,15 +28,13 @@ def detect_visitors(records: DataFrame, month: str, min_days: int = 3, max_days:
 
 
 def _transport(visitors: DataFrame, stops: DataFrame, stations: DataFrame, leaving: bool, max_km: float) -> DataFrame:
-    # The edge stop of every (user, day) is found first: it combines on the map side, and the join
-    # with the visitors then meets at most one row per user and day.
-    # Of stops at one moment the smallest cell id counts.
+    # Stops are reduced to one moment per (user, day, cell) on the map side, then to the edge days of the
+    # visitors: the stations meet two days of a visitor at most. At one moment the smallest cell id counts.
     when, edge_day = (-epoch_millis(F.col("ts")), "last_date") if leaving else (epoch_millis(F.col("ts")), "first_date")
-    edge = F.struct(when.alias("when"), F.col("cell_id").alias("tie"), "lng", "lat")
-    located = stops.select("user_id", "cell_id", "ts").join(stations.select("cell_id", "lng", "lat"), "cell_id")
-    per_day = located.groupBy("user_id", F.to_date("ts").alias("edge_day")).agg(F.min(edge).alias("edge"))
+    per_cell = stops.groupBy("user_id", F.to_date("ts").alias("edge_day"), "cell_id").agg(F.min(when).alias("when"))
     days = visitors.select("user_id", F.col(edge_day).alias("edge_day"))
-    per_user = per_day.join(days, ["user_id", "edge_day"]).groupBy("user_id").agg(F.min("edge").alias("edge"))
+    located = per_cell.join(days, ["user_id", "edge_day"]).join(stations.select("cell_id", "lng", "lat"), "cell_id")
+    per_user = located.groupBy("user_id").agg(F.min(F.struct("when", "cell_id", "lng", "lat")).alias("edge"))
     return per_user.select(
         "user_id", transport_mode(F.col("edge.lng"), F.col("edge.lat"), max_km).alias("transport")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 
 from wanderlens.plans.catalog import Catalog
 from wanderlens.sources.readers import ParquetInputs, RawInputs
+from wanderlens.sources.stored import drop_stored
 from wanderlens.sources.writers import FORMATS, write_result
 
 # Tables that later results build on come first; they are read back instead of computed again.
@@ -54,8 +55,11 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName(f"wanderlens-{args.report}").getOrCreate()
     reader = RawInputs if args.input_format == "text" else ParquetInputs
     catalog = Catalog(reader(spark, args.root, args.province, args.month), args.month)
-    for folder in run_report(args.report, catalog, args.out, args.province, args.month, args.format):
-        print(folder)
+    try:
+        for folder in run_report(args.report, catalog, args.out, args.province, args.month, args.format):
+            print(folder)
+    finally:
+        drop_stored(spark)  # the results are written; what they were built from goes
 
 
 if __name__ == "__main__":
