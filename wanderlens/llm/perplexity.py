@@ -297,14 +297,15 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
         here = F.coalesce(here, F.lit(False)) | F.col("lang").isNull() if None in turn else here
         rows = model.where(here).toPandas()
         sent = spark.sparkContext.broadcast({
-            None if pd.isna(lang) else lang: Model.of(part) for lang, part in rows.groupby("lang", dropna=False)})
+            None if pd.isna(lang) else lang: Model.of(part).orders for lang, part in rows.groupby("lang", dropna=False)})
 
         def rate(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            models = {lang: Model(orders) for lang, orders in sent.value.items()}
             for batch in batches:
                 found = []
                 for lang, text in zip(batch["lang"], batch["text"], strict=True):
                     text = text or ""
-                    found.append((*base_counts(text), *sent.value[None if pd.isna(lang) else lang].mean(text)))
+                    found.append((*base_counts(text), *models[None if pd.isna(lang) else lang].mean(text)))
                 names = [c.split()[0] for c in SCORED.split(", ")]
                 scores = pd.DataFrame(found, columns=names, index=batch.index)
                 yield pd.concat([batch[others], scores], axis=1)
