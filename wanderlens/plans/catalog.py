@@ -37,21 +37,33 @@ class Catalog:
 
     # --- shared tables ---
 
+    @cached_property
+    def stops(self) -> DataFrame:
+        return self.inputs.visitor_stop
+
+    @cached_property
+    def local_stops(self) -> DataFrame:
+        return self.whole.local_stop
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        return self.whole.cdr
+
     @cached_property
     def visitor(self) -> DataFrame:
         return visitors.detect_visitors(self.inputs.visitor_record, self.month)
 
     @cached_property
     def transport(self) -> DataFrame:
-        return visitors.transport_out(self.visitor, self.inputs.visitor_stop, self.inputs.base_station)
+        return visitors.transport_out(self.visitor, self.stops, self.inputs.base_station)
 
     @cached_property
     def home(self) -> DataFrame:
-        return visitors.visitor_home(self.visitor, self.inputs.visitor_stop, self.inputs.base_station, self.month)
+        return visitors.visitor_home(self.visitor, self.stops, self.inputs.base_station, self.month)
 
     @cached_property
     def visits(self) -> DataFrame:
-        return spots.spot_stops(self.inputs.visitor_stop, self.inputs.scenic_spot, self.month)
+        return spots.spot_stops(self.stops, self.inputs.scenic_spot, self.month)
 
     @cached_property
     def users(self) -> DataFrame:
@@ -59,7 +71,7 @@ class Catalog:
 
     @cached_property
     def circles(self) -> DataFrame:
-        return social.circle_pairs(self.whole.cdr, self.inputs.user_home, self.inputs.user_work)
+        return social.circle_pairs(self.calls, self.inputs.user_home, self.inputs.user_work)
 
     @cached_property
     def migration(self) -> DataFrame:
@@ -68,7 +80,7 @@ class Catalog:
 
     @cached_property
     def work_arrival(self) -> DataFrame:
-        return residents.work_arrival_time(self.whole.local_stop, self.inputs.user_work)
+        return residents.work_arrival_time(self.local_stops, self.inputs.user_work)
 
     # --- visitors ---
 
@@ -84,7 +96,7 @@ class Catalog:
 
     def transport_in(self):
         self.fix("visitor")
-        return visitors.transport_in(self.visitor, self.inputs.visitor_stop, self.inputs.base_station)
+        return visitors.transport_in(self.visitor, self.stops, self.inputs.base_station)
 
     def transport_out(self):
         self.fix("visitor")
@@ -95,7 +107,7 @@ class Catalog:
 
     def visitor_type(self):
         self.fix("visitor")
-        return visitors.visitor_type(self.visitor, self.whole.local_record, self.whole.cdr)
+        return visitors.visitor_type(self.visitor, self.whole.local_record, self.calls)
 
     def duty_free_visit(self):
         i = self.inputs
@@ -103,10 +115,10 @@ class Catalog:
 
     def call_strength(self):
         self.fix("visitor")
-        return visitors.call_strength(self.visitor, self.whole.cdr)
+        return visitors.call_strength(self.visitor, self.calls)
 
     def top3_locations(self):
-        return visitors.top3_locations(self.visitor, self.inputs.visitor_stop, self.month)
+        return visitors.top3_locations(self.visitor, self.stops, self.month)
 
     def spot_visit_count(self):
         i = self.inputs
@@ -114,17 +126,19 @@ class Catalog:
 
     def max_dist_from_home(self):
         self.fix("visitor")
-        return visitors.max_dist_from_home(self.visitor, self.inputs.visitor_stop, self.home, self.month)
+        return visitors.max_dist_from_home(self.visitor, self.stops, self.home, self.month)
 
     def hotel_classify(self):
         return lodging.hotel_classify(self.inputs.poi, self.inputs.base_station, self.home)
 
     def visitor_profile(self):
+        # Five features read the stops: they are parsed once, and each reads the columns that it needs.
+        self.fix("stops")
         self.fix("visitor")
         self.fix("home")
         i, w = self.inputs, self.whole
         return visitors.visitor_profile(
-            self.visitor, self.transport, self.home, i.visitor_stop, w.local_record, w.cdr,
+            self.visitor, self.transport, self.home, self.stops, w.local_record, self.calls,
             i.scenic_spot, i.poi, i.base_station, self.month,
         )
 
@@ -202,40 +216,40 @@ class Catalog:
     # --- residents ---
 
     def call_records_per_user(self):
-        return residents.call_records_per_user(self.users, self.whole.cdr)
+        return residents.call_records_per_user(self.users, self.calls)
 
     def callin_contacts(self):
-        return residents.callin_contacts(self.users, self.whole.cdr)
+        return residents.callin_contacts(self.users, self.calls)
 
     def callout_contacts(self):
-        return residents.callout_contacts(self.users, self.whole.cdr)
+        return residents.callout_contacts(self.users, self.calls)
 
     def home_left_time(self):
-        return residents.home_left_time(self.whole.local_stop, self.inputs.user_home)
+        return residents.home_left_time(self.local_stops, self.inputs.user_home)
 
     def work_left_time(self):
-        return residents.work_left_time(self.whole.local_stop, self.inputs.user_work)
+        return residents.work_left_time(self.local_stops, self.inputs.user_work)
 
     def home_left_time_all(self):
-        return residents.home_left_time(self.whole.local_stop, self.inputs.user_home, known_only=False)
+        return residents.home_left_time(self.local_stops, self.inputs.user_home, known_only=False)
 
     def work_left_time_all(self):
-        return residents.work_left_time(self.whole.local_stop, self.inputs.user_work, known_only=False)
+        return residents.work_left_time(self.local_stops, self.inputs.user_work, known_only=False)
 
     def work_arrival_time(self):
         return self.work_arrival
 
     def home_arrival_time(self):
         return residents.home_arrival_time(
-            self.whole.local_stop, self.inputs.user_home, self.work_left_time_all()
+            self.local_stops, self.inputs.user_home, self.work_left_time_all()
         )
 
     def life_radius(self):
-        return residents.life_radius(self.whole.local_stop, self.inputs.user_home, self.inputs.user_work)
+        return residents.life_radius(self.local_stops, self.inputs.user_home, self.inputs.user_work)
 
     def _weekend_trips(self):
         i = self.inputs
-        return residents.weekend_trips(self.users, self.whole.local_stop, i.user_home, i.user_work)
+        return residents.weekend_trips(self.users, self.local_stops, i.user_home, i.user_work)
 
     def trip_count(self):
         return self._weekend_trips().select("user_id", "trips")
@@ -244,7 +258,7 @@ class Catalog:
         return self._weekend_trips().select("user_id", "trip_hours")
 
     def _resident_spot_visits(self):
-        return residents.resident_spot_visits(self.users, self.whole.local_stop, self.inputs.scenic_spot)
+        return residents.resident_spot_visits(self.users, self.local_stops, self.inputs.scenic_spot)
 
     def resident_spots(self):
         return self._resident_spot_visits().select("user_id", "spots")
@@ -256,16 +270,18 @@ class Catalog:
         return residents.commute_dist(self.users, self.inputs.user_home, self.inputs.user_work)
 
     def resident_profile(self):
+        self.fix("local_stops")
+        self.fix("calls")
         i, w = self.inputs, self.whole
         return residents.resident_profile(
-            w.cdr, i.scenic_spot, w.local_record, w.local_stop, i.user_home, i.user_work
+            self.calls, i.scenic_spot, w.local_record, self.local_stops, i.user_home, i.user_work
         )
 
     def work_hours_weekday(self):
-        return residents.work_hours(self.whole.local_stop, self.inputs.user_work)
+        return residents.work_hours(self.local_stops, self.inputs.user_work)
 
     def work_hours_weekend(self):
-        return residents.work_hours(self.whole.local_stop, self.inputs.user_work, weekend=True)
+        return residents.work_hours(self.local_stops, self.inputs.user_work, weekend=True)
 
     def rank_arrival(self):
         return residents.circle_rank(self.circles, self.work_arrival, "work_arrival", more=False)
@@ -282,20 +298,21 @@ class Catalog:
         return social.social_circle_calls(self.circles)
 
     def call_features(self):
-        return social.call_features(self.users, self.whole.cdr)
+        self.fix("calls")
+        return social.call_features(self.users, self.calls)
 
     def all_contacts(self):
-        return social.all_call_features(self.users, self.whole.cdr).select("user_id", "all_contacts")
+        return social.all_call_features(self.users, self.calls).select("user_id", "all_contacts")
 
     def all_call_stats(self):
-        return social.all_call_features(self.users, self.whole.cdr).select("user_id", "all_calls", "all_ms")
+        return social.all_call_features(self.users, self.calls).select("user_id", "all_calls", "all_ms")
 
     def callin_stats(self):
-        features = social.callin_features(self.users, self.whole.cdr)
+        features = social.callin_features(self.users, self.calls)
         return features.select("user_id", "callin_calls", "callin_hours")
 
     def callout_stats(self):
-        features = social.callout_features(self.users, self.whole.cdr)
+        features = social.callout_features(self.users, self.calls)
         return features.select("user_id", "callout_calls", "callout_hours")
 
     def circle_features(self):
@@ -339,22 +356,22 @@ class Catalog:
 
     def triangle_count(self):
         self.fix("users")
-        return social.triangle_count(self.users, self.whole.cdr)
+        return social.triangle_count(self.users, self.calls)
 
     def social_features(self):
         self.fix("users")
-        return social.social_features(self.users, self.whole.cdr, self.circles)
+        return social.social_features(self.users, self.calls, self.circles)
 
     def community_detection(self):
-        return community.communities(social.undirected_pairs(self.whole.cdr))
+        return community.communities(social.undirected_pairs(self.calls))
 
     # --- routes ---
 
     def daily_trajectory(self):
-        return routes.daily_trajectory(self.whole.local_stop, self.inputs.user_home, self.inputs.user_work)
+        return routes.daily_trajectory(self.local_stops, self.inputs.user_home, self.inputs.user_work)
 
     def transition_weights(self):
-        return routes.transition_weights(self.whole.local_stop, self.inputs.user_home, self.inputs.user_work)
+        return routes.transition_weights(self.local_stops, self.inputs.user_home, self.inputs.user_work)
 
     def _best_route(self):
         return routes.best_route(self.transition_weights())

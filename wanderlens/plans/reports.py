@@ -33,6 +33,7 @@ def run_report(kind: str, catalog: Catalog, out: str, province: str, month: str,
     """Write every result of a report; returns their folders."""
     folders = []
     if kind == "tourist":
+        catalog.fix("stops")
         for shared, name in TOURIST_BASE.items():
             folders.append(write_result(catalog.fix(shared), out, name, province, month, fmt))
         catalog.fix("visits")
