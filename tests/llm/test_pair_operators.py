@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from wanderlens.llm import jaccard, packing
 from wanderlens.llm.components import components
-from wanderlens.llm.shingles import shingle_sets
+from wanderlens.llm.shingles import parts, shingle_sets
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -77,6 +77,15 @@ def test_shingles_are_distinct_word_windows():
             assert len(np.intersect1d(hashed[i], hashed[j])) == len(plain[i] & plain[j])
 
 
+def test_parts_hold_every_text_once():
+    rng = random.Random(6)
+    for _ in range(50):
+        lengths = [rng.choice([0, 1, 5, 90, 1000]) for _ in range(rng.randint(0, 40))]
+        found = list(parts(lengths, 7, 100))
+        assert [i for p in found for i in range(len(lengths))[p]] == list(range(len(lengths)))
+        assert all(len(lengths[p]) <= 7 and (len(lengths[p]) == 1 or sum(lengths[p]) <= 100) for p in found)
+
+
 def test_join_of_odd_rows(spark):
     check_join(spark, corpus())
 

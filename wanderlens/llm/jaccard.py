@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wanderlens.llm.components import components
-from wanderlens.llm.shingles import shingle_sets
+from wanderlens.llm.shingles import parts, shingle_sets
 from wanderlens.sources.stored import stored
 
 #: Documents packed together, at most; documents to a bucket; keys sent to every task, at most.
@@ -62,7 +62,8 @@ def _expand(data: bytes, kind: str) -> np.ndarray:
 
 SENT_SCHEMA = ("pack long, bucket int, owners binary, marks binary, "
                "keys array<bigint>, sizes array<int>, sets array<binary>, local array<int>")
-BACK_SCHEMA = "pack long, owners binary, shared binary, keys array<bigint>, sizes array<int>, sets array<binary>, local array<int>"
+BACK_SCHEMA = ("pack long, owners binary, shared binary, "
+               "keys array<bigint>, sizes array<int>, sets array<binary>, local array<int>")
 NOBODY = np.uint16(65535)
 
 
@@ -130,8 +131,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def send(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for at in range(0, len(batch), PACKED):
-                yield _pack(number, batch.iloc[at : at + PACKED], buckets, bits)
+            for part in parts([len(t or "") for t in batch["text"]], PACKED):
+                yield _pack(number, batch.iloc[part], buckets, bits)
                 number += 1
 
     packed = docs.mapInPandas(send, SENT_SCHEMA)
@@ -144,10 +145,10 @@ def _sets(docs: DataFrame, keys: DataFrame, n_keys: int) -> DataFrame:
 
     def hash_all(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.iloc[at : at + 200]
-                sets = [s.view(np.int64) for s in shingle_sets(part["text"])]
-                yield pd.DataFrame({"id": part["key"].to_numpy(), "n": [len(s) for s in sets], "shingles": sets})
+            for part in parts([len(t or "") for t in batch["text"]], 200):
+                sets = [s.view(np.int64) for s in shingle_sets(batch["text"].iloc[part])]
+                yield pd.DataFrame({
+                    "id": batch["key"].iloc[part].to_numpy(), "n": [len(s) for s in sets], "shingles": sets})
 
     named = F.broadcast(keys) if n_keys <= SENT else keys
     rows = docs.join(named, docs["key"] == named["id"], "left_semi")

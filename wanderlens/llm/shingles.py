@@ -62,6 +62,18 @@ def _of_bytes(texts: list[bytes]) -> list[np.ndarray]:
     return found
 
 
+def parts(lengths: list[int], rows: int, size: int = 16 * CHUNK) -> Iterator[slice]:
+    """Slices of at most ``rows`` texts and about ``size`` characters, one text at least."""
+    at, total = 0, 0
+    for i, n in enumerate(lengths):
+        if i > at and (i - at == rows or total + n > size):
+            yield slice(at, i)
+            at, total = i, 0
+        total += n
+    if at < len(lengths):
+        yield slice(at, len(lengths))
+
+
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
     """For each text, in order, the sorted hashes of its distinct shingles of five words, A-Z lower-cased.
 
