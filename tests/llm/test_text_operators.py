@@ -282,3 +282,12 @@ def test_quality_of_odd_rows(docs, no_docs):
         assert not (r.base_failed and r.kept)
     assert perplexity.judge(no_docs).count() == 0
     assert perplexity.accepted(no_docs).count() == 0
+
+
+def test_copies_do_not_narrow_the_band(spark):
+    rows = [(i, prose(i, 150), "en", "a", 0, *"xk9rln") for i in range(60)]
+    rows += [(1000 + i, prose(500, 150), "en", "a", 0, *"xk9rln") for i in range(140)]
+    found = perplexity.judge(spark.createDataFrame(rows, DOCS)).collect()
+    assert all(r.low < r.high for r in found)
+    assert sum(r.kept for r in found if r.key < 1000) >= 58
+    assert all(r.kept for r in found if r.key >= 1000)

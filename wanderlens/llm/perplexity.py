@@ -12,9 +12,11 @@ a language, about 270 MB for order four, while languages with an alphabet use on
 of that. The models go to the tasks in turns
 of languages, ``MODEL_ROWS`` n-grams or one language a turn.
 
-The bands come from all documents that pass the base rules: the median of the mean log probability
-in each language, and the median distance from it times the root of the length, as means scatter
-by one over that root. A band is ``WIDE`` such deviations to either side, wider for short texts.
+The bands come from all documents that pass the base rules, each distinct text once, as copies would
+draw the band together around themselves: the median of the mean log probability in each language, and
+the median distance from it times the root of the length, as means scatter by one over that root. A
+deviation is at least that of a mean of independent characters by the model's own variance, and never
+zero. A band is ``WIDE`` such deviations to either side, wider for short texts.
 Texts below the lower end repeat themselves, texts above the upper end are noise; both are rejected. A language with fewer than ``FEW`` such documents
 has no band and rejects none.
 
@@ -39,6 +41,7 @@ CLASSES = 64
 FEWEST_WORDS = 10
 MOST_REPEATED = 20
 WIDE = 5.0
+LEAST = 1e-3
 FEW = 50
 MODEL_ROWS = 4_000_000
 CHUNK = 1_000_000
@@ -264,14 +267,17 @@ class Model:
             found[~seen] = lower
         return found
 
-    def mean(self, text: str) -> tuple[float, int]:
-        """Mean log probability of the characters of a text, and their number."""
+    def moments(self, text: str) -> tuple[float, float, int]:
+        """Mean and variance of the log probabilities of the characters of a text, and their number."""
         codes = grams(classes(text), ORDER)
-        return (float(self.log_probability(codes).mean()), len(codes)) if len(codes) else (0.0, 0)
+        if not len(codes):
+            return 0.0, 0.0, 0
+        found = self.log_probability(codes)
+        return float(found.mean()), float(found.var()), len(found)
 
 
 SCORED = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-          "mean double, n long")
+          "mean double, variance double, n long")
 
 
 def _turns(model: DataFrame) -> list[list[str | None]]:
@@ -305,7 +311,7 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
                 found = []
                 for lang, text in zip(batch["lang"], batch["text"], strict=True):
                     text = text or ""
-                    found.append((*base_counts(text), *models[None if pd.isna(lang) else lang].mean(text)))
+                    found.append((*base_counts(text), *models[None if pd.isna(lang) else lang].moments(text)))
                 names = [c.split()[0] for c in SCORED.split(", ")]
                 scores = pd.DataFrame(found, columns=names, index=batch.index)
                 yield pd.concat([batch[others], scores], axis=1)
@@ -325,18 +331,23 @@ def verdicts(scored: DataFrame) -> DataFrame:
     """``scored`` with ``base_failed``, ``perplexity``, ``low``, ``high`` and ``kept``."""
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
-    passed = scored.where("not base_failed").select("lang", "mean", "n")
+    # A text counts once for the band, however many copies it has.
+    passed = scored.where("not base_failed").groupBy("lang", "print").agg(
+        *[F.first(c).alias(c) for c in ("mean", "variance", "n")])
     centre = passed.groupBy(F.col("lang").alias("_lang")).agg(
-        F.percentile_approx("mean", 0.5, 10000).alias("_mid"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= FEW)
+        F.percentile_approx("mean", 0.5, 10000).alias("_mid"), F.avg("variance").alias("_own"),
+        F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= FEW)
     off = F.abs(F.col("mean") - F.col("_mid")) * F.sqrt("n")
-    bands = passed.join(centre, F.col("lang").eqNullSafe(F.col("_lang"))).groupBy("_lang", "_mid").agg(
+    bands = passed.join(centre, F.col("lang").eqNullSafe(F.col("_lang"))).groupBy("_lang", "_mid", "_own").agg(
         (F.percentile_approx(off, 0.5, 10000) * 1.4826).alias("_scatter"))
-    slack = WIDE * F.col("_scatter") / F.sqrt(F.greatest(F.col("n"), F.lit(1)))
+    scatter = F.greatest("_scatter", F.sqrt("_own"), F.lit(LEAST))
+    slack = WIDE * scatter / F.sqrt(F.greatest(F.col("n"), F.lit(1)))
     # A high probability is a low perplexity.
     joined = scored.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumns({
         "perplexity": F.exp(-F.col("mean")), "low": F.exp(-F.col("_mid") - slack), "high": F.exp(-F.col("_mid") + slack)})
     within = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
-    return joined.withColumn("kept", ~F.col("base_failed") & within).drop("_lang", "_mid", "_scatter", "mean", "n")
+    return joined.withColumn("kept", ~F.col("base_failed") & within).drop(
+        "_lang", "_mid", "_own", "_scatter", "mean", "variance", "n")
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
