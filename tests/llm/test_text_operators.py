@@ -291,3 +291,15 @@ def test_copies_do_not_narrow_the_band(spark):
     assert all(r.low < r.high for r in found)
     assert sum(r.kept for r in found if r.key < 1000) >= 58
     assert all(r.kept for r in found if r.key >= 1000)
+
+
+@pytest.mark.parametrize("room", [perplexity.MODEL_ROWS, 1])
+def test_languages_without_text_keep_their_rows(spark, monkeypatch, room):
+    monkeypatch.setattr(perplexity, "MODEL_ROWS", room)
+    rows = [(i, prose(i, 30), ("en", "de")[i % 2], "a", 0, *"xk9rln") for i in range(8)]
+    rows += [(100, None, "fr", "a", 0, *"xk9rln"), (101, "", "fr", "a", 0, *"xk9rln"), (102, None, None, "a", 0, *"xk9rln")]
+    frame = spark.createDataFrame(rows, DOCS)
+    found = {r.key: r for r in perplexity.judge(frame).collect()}
+    assert sorted(found) == sorted(r[0] for r in rows)
+    assert all(found[k].base_failed and not found[k].kept and found[k].n_words == 0 for k in (100, 101, 102))
+    assert not {100, 101, 102} & {r.doc_id for r in perplexity.accepted(frame).collect()}

@@ -20,8 +20,8 @@ zero. A band is ``WIDE`` such deviations to either side, wider for short texts.
 Texts below the lower end repeat themselves, texts above the upper end are noise; both are rejected. A language with fewer than ``FEW`` such documents
 has no band and rejects none.
 
-Defined cases: a null text is an empty one, with no words, and fails the base rules; the null
-language is a language of its own; repeated rows count each time; an empty table gives an empty
+Defined cases: a null text is an empty one, with no words, and fails the base rules, also where a
+language has no other; the null language is a language of its own; repeated rows count each time; an empty table gives an empty
 result; other columns are carried along by ``accepted`` and ignored otherwise.
 """
 
@@ -31,7 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wanderlens.sources.stored import stored
@@ -298,10 +298,12 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     schema = ", ".join(f"{c} {t}" for c, t in docs.dtypes if c != "text") + ", " + SCORED
     spark = docs.sparkSession
 
-    def scorer(turn: list[str | None]) -> DataFrame:
-        here = F.col("lang").isin([x for x in turn if x is not None])
-        here = F.coalesce(here, F.lit(False)) | F.col("lang").isNull() if None in turn else here
-        rows = model.where(here).toPandas()
+    def among(languages: list[str | None]) -> Column:
+        here = F.coalesce(F.col("lang").isin([x for x in languages if x is not None]), F.lit(False))
+        return here | F.col("lang").isNull() if None in languages else here
+
+    def scorer(turn: list[str | None], here: Column) -> DataFrame:
+        rows = model.where(among(turn)).toPandas()
         sent = spark.sparkContext.broadcast({
             None if pd.isna(lang) else lang: Model.of(part).orders for lang, part in rows.groupby("lang", dropna=False)})
 
@@ -311,19 +313,19 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
                 found = []
                 for lang, text in zip(batch["lang"], batch["text"], strict=True):
                     text = text or ""
-                    found.append((*base_counts(text), *models[None if pd.isna(lang) else lang].moments(text)))
+                    own = models.get(None if pd.isna(lang) else lang, Model({}))
+                    found.append((*base_counts(text), *own.moments(text)))
                 names = [c.split()[0] for c in SCORED.split(", ")]
                 scores = pd.DataFrame(found, columns=names, index=batch.index)
                 yield pd.concat([batch[others], scores], axis=1)
 
         return docs.where(here).mapInPandas(rate, schema)
 
-    parts = [scorer(turn) for turn in _turns(model)]
-    if not parts:
-        return docs.drop("text").select("*", *[F.lit(0).cast(k).alias(c) for c, k in (x.split() for x in SCORED.split(", "))])
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
+    # The first turn also takes the languages that have no model, as all their texts are empty.
+    turns = _turns(model) or [[]]
+    whole = scorer(turns[0], ~among([lang for turn in turns[1:] for lang in turn]))
+    for turn in turns[1:]:
+        whole = whole.unionByName(scorer(turn, among(turn)))
     return whole
 
 
