@@ -303,3 +303,18 @@ def test_languages_without_text_keep_their_rows(spark, monkeypatch, room):
     assert sorted(found) == sorted(r[0] for r in rows)
     assert all(found[k].base_failed and not found[k].kept and found[k].n_words == 0 for k in (100, 101, 102))
     assert not {100, 101, 102} & {r.doc_id for r in perplexity.accepted(frame).collect()}
+
+
+def test_rare_languages_and_small_tables_are_judged(spark):
+    rng = random.Random(8)
+    noise = lambda: "".join(rng.choice("#@!~^{}[]qxzjk中文ÿ0123456789 ") for _ in range(4000))
+    rows = [(i, prose(i, 150), "en", "a", 0, *"xk9rln") for i in range(80)]
+    rows += [(100 + i, prose(100 + i, 150), (None, "de")[i % 2], "a", 0, *"xk9rln") for i in range(6)]
+    rows += [(200, noise(), None, "a", 0, *"xk9rln"), (201, noise(), "de", "a", 0, *"xk9rln"), (202, noise(), "fr", "a", 0, *"xk9rln")]
+    found = perplexity.judge(spark.createDataFrame(rows, DOCS)).collect()
+    assert all(r.low < r.high for r in found)
+    assert not any(r.kept or r.base_failed for r in found if r.key >= 200)
+    assert sum(r.kept for r in found if r.key < 200) >= 85
+    small = [(i, prose(i, 150), "en", "a", 0, *"xk9rln") for i in range(12)] + [(200, noise(), "en", "a", 0, *"xk9rln")]
+    found = {r.key: r for r in perplexity.judge(spark.createDataFrame(small, DOCS)).collect()}
+    assert not found[200].kept and not found[200].base_failed and sum(found[i].kept for i in range(12)) >= 11

@@ -17,8 +17,11 @@ draw the band together around themselves: the median of the mean log probability
 the median distance from it times the root of the length, as means scatter by one over that root. A
 deviation is at least that of a mean of independent characters by the model's own variance, and never
 zero. A band is ``WIDE`` such deviations to either side, wider for short texts.
-Texts below the lower end repeat themselves, texts above the upper end are noise; both are rejected. A language with fewer than ``FEW`` such documents
-has no band and rejects none.
+Texts below the lower end repeat themselves, texts above the upper end are noise; both are rejected.
+
+There is a band at every size: a language with n such texts has the share n / (n + ``FEW``) in its log
+probabilities, centre and scatter, the rest comes from one model and one band of all languages
+together. As languages differ, that part of the band is at least as wide as all texts are apart.
 
 Defined cases: a null text is an empty one, with no words, and fails the base rules, also where a
 language has no other; the null language is a language of its own; repeated rows count each time; an empty table gives an empty
@@ -42,6 +45,7 @@ FEWEST_WORDS = 10
 MOST_REPEATED = 20
 WIDE = 5.0
 LEAST = 1e-3
+SIGMA = 1.4826
 FEW = 50
 MODEL_ROWS = 4_000_000
 CHUNK = 1_000_000
@@ -188,9 +192,13 @@ def train(docs: DataFrame) -> DataFrame:
 
     The counts of a lower order are the numbers of distinct characters before its n-grams. The
     interpolated probability of an n-gram is its discounted share plus the back-off of its context
-    times the probability of the n-gram without its first character.
+    times the probability of the n-gram without its first character. One more model, ``pooled``, is
+    that of all languages together; inside, a language is named behind a mark to tell it from that.
     """
-    tables = {ORDER: stored(count_grams(docs), "grams")}
+    counted = stored(count_grams(docs), "grams")
+    everyone = counted.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "code", "n")
+    marked = counted.withColumn("lang", F.concat(F.lit("="), "lang")).unionByName(everyone)
+    tables = {ORDER: stored(marked, "grams")}
     for order in range(ORDER - 1, 0, -1):
         shorter = F.col("code") % CLASSES**order
         tables[order] = stored(tables[order + 1].groupBy("lang", shorter.alias("code")).agg(F.count(F.lit(1)).alias("n")), "grams")
@@ -219,9 +227,13 @@ def train(docs: DataFrame) -> DataFrame:
                                F.lit(None).cast("double").alias("backoff"))
         done = entries.unionByName(free) if done is None else done.unionByName(entries).unionByName(free)
     entries = done.groupBy("lang", "ord", "code").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
-    return stored(entries.groupBy("lang", "ord").applyInPandas(_sorted_arrays, MODEL_SCHEMA), "model")
+    arrays = entries.groupBy("lang", "ord").applyInPandas(_sorted_arrays, MODEL_SCHEMA)
+    pooled = F.coalesce(F.col("lang") == POOLED, F.lit(False))
+    return stored(arrays.select(
+        F.when(~pooled, F.expr("substring(lang, 2)")).alias("lang"), pooled.alias("pooled"), "ord", "n", "hashes", "logp", "backoff"), "model")
 
 
+POOLED = "*"
 MODEL_SCHEMA = "lang string, ord int, n long, hashes binary, logp binary, backoff binary"
 
 
@@ -267,23 +279,25 @@ class Model:
             found[~seen] = lower
         return found
 
-    def moments(self, text: str) -> tuple[float, float, int]:
-        """Mean and variance of the log probabilities of the characters of a text, and their number."""
-        codes = grams(classes(text), ORDER)
-        if not len(codes):
-            return 0.0, 0.0, 0
-        found = self.log_probability(codes)
-        return float(found.mean()), float(found.var()), len(found)
+
+
+def moments(text: str, own: Model, pooled: Model) -> tuple[float, float, float, int]:
+    """Mean and variance of the log probabilities of the characters of a text, the mean by the pooled model, their number."""
+    codes = grams(classes(text), ORDER)
+    if not len(codes):
+        return 0.0, 0.0, 0.0, 0
+    found = own.log_probability(codes)
+    return float(found.mean()), float(found.var()), float(pooled.log_probability(codes).mean()), len(found)
 
 
 SCORED = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-          "mean double, variance double, n long")
+          "mean double, variance double, pooled double, n long")
 
 
 def _turns(model: DataFrame) -> list[list[str | None]]:
     """Languages in turns whose models together stay within ``MODEL_ROWS`` n-grams, or one language."""
     turns, room = [], 0
-    for r in model.groupBy("lang").agg(F.sum("n").alias("n")).collect():
+    for r in model.where("not pooled").groupBy("lang").agg(F.sum("n").alias("n")).collect():
         if not turns or r["n"] > room:
             turns.append([])
             room = MODEL_ROWS
@@ -302,19 +316,22 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
         here = F.coalesce(F.col("lang").isin([x for x in languages if x is not None]), F.lit(False))
         return here | F.col("lang").isNull() if None in languages else here
 
+    everyone = spark.sparkContext.broadcast(Model.of(model.where("pooled").toPandas()).orders)
+
     def scorer(turn: list[str | None], here: Column) -> DataFrame:
-        rows = model.where(among(turn)).toPandas()
+        rows = model.where(~F.col("pooled") & among(turn)).toPandas()
         sent = spark.sparkContext.broadcast({
             None if pd.isna(lang) else lang: Model.of(part).orders for lang, part in rows.groupby("lang", dropna=False)})
 
         def rate(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             models = {lang: Model(orders) for lang, orders in sent.value.items()}
+            pooled = Model(everyone.value)
             for batch in batches:
                 found = []
                 for lang, text in zip(batch["lang"], batch["text"], strict=True):
                     text = text or ""
                     own = models.get(None if pd.isna(lang) else lang, Model({}))
-                    found.append((*base_counts(text), *own.moments(text)))
+                    found.append((*base_counts(text), *moments(text, own, pooled)))
                 names = [c.split()[0] for c in SCORED.split(", ")]
                 scores = pd.DataFrame(found, columns=names, index=batch.index)
                 yield pd.concat([batch[others], scores], axis=1)
@@ -334,22 +351,33 @@ def verdicts(scored: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
     # A text counts once for the band, however many copies it has.
-    passed = scored.where("not base_failed").groupBy("lang", "print").agg(
-        *[F.first(c).alias(c) for c in ("mean", "variance", "n")])
+    passed = stored(scored.where("not base_failed").groupBy("lang", "print").agg(
+        *[F.first(c).alias(c) for c in ("mean", "variance", "pooled", "n")]), "passed")
+    middle = lambda c: F.percentile_approx(c, 0.5, 10000)
     centre = passed.groupBy(F.col("lang").alias("_lang")).agg(
-        F.percentile_approx("mean", 0.5, 10000).alias("_mid"), F.avg("variance").alias("_own"),
-        F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= FEW)
+        middle("mean").alias("_mid"), F.avg("variance").alias("_own"), F.count(F.lit(1)).alias("_n"))
     off = F.abs(F.col("mean") - F.col("_mid")) * F.sqrt("n")
-    bands = passed.join(centre, F.col("lang").eqNullSafe(F.col("_lang"))).groupBy("_lang", "_mid", "_own").agg(
-        (F.percentile_approx(off, 0.5, 10000) * 1.4826).alias("_scatter"))
-    scatter = F.greatest("_scatter", F.sqrt("_own"), F.lit(LEAST))
-    slack = WIDE * scatter / F.sqrt(F.greatest(F.col("n"), F.lit(1)))
-    # A high probability is a low perplexity.
+    bands = passed.join(centre, F.col("lang").eqNullSafe(F.col("_lang"))).groupBy("_lang", "_mid", "_own", "_n").agg(
+        (middle(off) * SIGMA).alias("_scatter"))
+    # A few numbers that are the same for all languages; null if nothing passed.
+    all_mid, all_own = passed.agg(middle("pooled"), F.avg("variance")).first()
+    apart = F.abs(F.col("pooled") - F.lit(all_mid).cast("double"))
+    all_scatter, all_spread = passed.agg(middle(apart * F.sqrt("n")) * SIGMA, middle(apart) * SIGMA).first()
+
+    share = F.coalesce(F.col("_n") / (F.col("_n") + FEW), F.lit(0.0))
+    mixed = lambda own, of_all: F.coalesce(share * F.col(own), F.lit(0.0)) + (1 - share) * of_all
+    constant = lambda value: F.lit(value).cast("double")
+    long = F.sqrt(F.greatest(F.col("n"), F.lit(1)))
+    scatter = F.greatest(mixed("_scatter", constant(all_scatter)), F.sqrt(mixed("_own", constant(all_own))), F.lit(LEAST))
     joined = scored.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumns({
-        "perplexity": F.exp(-F.col("mean")), "low": F.exp(-F.col("_mid") - slack), "high": F.exp(-F.col("_mid") + slack)})
-    within = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True))
+        "_mean": mixed("mean", F.col("pooled")), "_centre": mixed("_mid", constant(all_mid)),
+        "_slack": WIDE * F.greatest(scatter / long, (1 - share) * constant(all_spread))})
+    # A high probability is a low perplexity.
+    joined = joined.withColumns({
+        "perplexity": F.exp(-F.col("_mean")), "low": F.exp(-F.col("_centre") - F.col("_slack")), "high": F.exp(-F.col("_centre") + F.col("_slack"))})
+    within = F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(False))
     return joined.withColumn("kept", ~F.col("base_failed") & within).drop(
-        "_lang", "_mid", "_own", "_scatter", "mean", "variance", "n")
+        *bands.columns, "_mean", "_centre", "_slack", "mean", "variance", "pooled", "n")
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
