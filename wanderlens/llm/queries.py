@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wanderlens.llm import jaccard, line_dedup, mixture, packing, perplexity, secret_scan, topk, toxicity, url_filter, warc
+from wanderlens.llm import (
+    collocations, jaccard, line_dedup, mixture, packing, perplexity, secret_scan, topk, toxicity, url_filter, warc,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -70,6 +72,14 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_dedup(docs).select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "text")
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_perplexity, op2_url_filter, op3_exact_top_k, op4_best_fit_packing, op5_mix_sources, op6_jaccard_join, op7_secret_scan, op8_toxicity, op9_warc, op10_line_dedup)}
-ORACLE: dict[str, str] = {"op2_url_filter": url_filter.ORACLE, "op3_exact_top_k": topk.ORACLE, "op9_warc": warc.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+    op1_perplexity, op2_url_filter, op3_exact_top_k, op4_best_fit_packing, op5_mix_sources, op6_jaccard_join,
+    op7_secret_scan, op8_toxicity, op9_warc, op10_line_dedup, op11_collocations)}
+ORACLE: dict[str, str] = {
+    "op2_url_filter": url_filter.ORACLE, "op3_exact_top_k": topk.ORACLE, "op9_warc": warc.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE, "op11_collocations": collocations.ORACLE,
+}
