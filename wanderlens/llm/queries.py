@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wanderlens.llm import (
-    collocations, jaccard, line_dedup, mixture, packing, perplexity, secret_scan, topk, toxicity, url_filter, warc,
+    chat, collocations, jaccard, line_dedup, mixture, packing, perplexity, repair, secret_scan, topk, toxicity, url_filter,
+    warc,
 )
 
 
@@ -76,10 +77,23 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(_table(spark, folder, "documents"))
 
 
+def op12_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(chat.PLANTED, "conv_id long, turn long, role string, text string"))
+    tokenizer = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    read = chat.read_turns(chat.format_turns(turns, *tokenizer), *tokenizer)
+    return chat.digests(read).withColumnRenamed("key", "conv_id")
+
+
+def op13_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair(repair.damaged(_table(spark, folder, "conversations"))).withColumnRenamed("key", "conv_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_perplexity, op2_url_filter, op3_exact_top_k, op4_best_fit_packing, op5_mix_sources, op6_jaccard_join,
-    op7_secret_scan, op8_toxicity, op9_warc, op10_line_dedup, op11_collocations)}
+    op7_secret_scan, op8_toxicity, op9_warc, op10_line_dedup, op11_collocations, op12_chat_format, op13_structure_repair)}
 ORACLE: dict[str, str] = {
     "op2_url_filter": url_filter.ORACLE, "op3_exact_top_k": topk.ORACLE, "op9_warc": warc.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE, "op11_collocations": collocations.ORACLE,
+    "op12_chat_format": chat.ORACLE, "op13_structure_repair": repair.ORACLE,
 }
