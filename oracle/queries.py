@@ -38,6 +38,14 @@ _by_name = "concat_ws('#', " + ", ".join(
     for label, words in HOTEL_NAMES
 ) + ")"
 
+# The eight POI classes and the tags of those that have some.
+POI_CLASSES = ["star_hotel", "budget_hotel", "apartment_hotel", "other_hotel", "shopping", "restaurant", "sight", "other"]
+POI_CLASS = """case when string_split(tags, ';')[1] = '酒店' then case string_split(tags, ';')[2]
+      when '星级酒店' then 'star_hotel' when '快捷酒店' then 'budget_hotel' when '公寓式酒店' then 'apartment_hotel'
+      else 'other_hotel' end
+    else case string_split(tags, ';')[1] when '购物' then 'shopping' when '美食' then 'restaurant'
+      when '旅游景点' then 'sight' else 'other' end end"""
+
 DAY_COLUMNS = ", ".join(f"count(*) filter (where day(\"day\")={d}) as d{d}" for d in range(1, 32))
 HOUR_COLUMNS = ", ".join(f"count(*) filter (where hour={h}) as h{h}" for h in range(24))
 
@@ -85,6 +93,15 @@ def work_hours(days: str) -> str:
 CIRCLE = {"colleague": "colleague", "family": "family", "friend": "not colleague and not family"}
 
 register(
+    way_moment=f"""select distinct s.user_id, s."day", {SEC} sec, h.cell_id home, w.cell_id work, s.cell_id = h.cell_id at_home
+        from local_stop s join user_home h on h.user_id = s.user_id join user_work w on w.user_id = s.user_id
+        where isodow(s."day") < 6 and h.cell_id <> w.cell_id and s.cell_id in (h.cell_id, w.cell_id)""",
+    poi_vector="select cell_id, coalesce(sum(n), 0)::bigint poi_sum, " + ", ".join(
+        f"coalesce(sum(n) filter (where class = '{c}'), 0)::bigint n_{c}" for c in POI_CLASSES) + f"""
+        from (select distinct cell_id, lng, lat, radius_m from base_station semi join visitor_stop using (cell_id)) b left join (
+          select c.cell_id, {POI_CLASS} class, count(*) n from base_station c join poi p
+          on {km('c.lng', 'c.lat', 'p.lng', 'p.lat')} <= coalesce(c.radius_m/1000, 1.0) group by 1, 2) using (cell_id)
+        group by cell_id""",
     transport_out_t=transport("last_date", "desc"),
     home_t=f"""select v.user_id, h.cell_id home_cell, h.lng, h.lat from visitor v left join (
         select r.user_id, r.cell_id, b.lng, b.lat from (
@@ -376,10 +393,22 @@ SQL = {
         strftime(ts, '%Y%m%d%H%M%S') as round_trip, isodow(ts) < 6 as weekday from local_record""",
     "stay_dates": """select user_id, prov, cast(unnest(generate_series(first_date, last_date, interval 1 day)) as date) "day"
         from visitor""",
-    "poi_tfidf": f"""select cell_id, tags, n * 1.0 / sum(n) over (partition by cell_id)
-          * ln((select count(*) from base_station) * 1.0 / count(*) over (partition by tags)) score from (
-        select b.cell_id, p.tags, count(*) n from base_station b join poi p
-          on {km('b.lng', 'b.lat', 'p.lng', 'p.lat')} <= coalesce(b.radius_m/1000, 1.0) group by b.cell_id, p.tags)""",
+    "poi_tfidf": "select cell_id, poi_sum, " + ", ".join(f"n_{c}" for c in POI_CLASSES) + ", " + ", ".join(
+        f"""case when poi_sum = 0 then 1.0 else n_{c} * 1.0 / poi_sum
+          * ln(count(*) over () * 1.0 / case when w_{c} = 0 then 1 else w_{c} end) end score_{c}"""
+        for c in POI_CLASSES) + " from (select *, " + ", ".join(
+        f"count(*) filter (where n_{c} > 0) over () w_{c}" for c in POI_CLASSES) + " from poi_vector)",
+    "commute_time": """select coalesce(a.user_id, b.user_id) user_id, coalesce(a.home, b.home) home, coalesce(a.work, b.work) work,
+          coalesce(a.n, 0) days_to_work, a.h to_work_h, coalesce(b.n, 0) days_to_home, b.h to_home_h
+        from (select user_id, home, work, count(*) n, avg(way) / 3600 h from (
+            select w.user_id, w.home, w.work, w."day", arg_min(w.sec - h.sec, w.sec) way from way_moment w
+            asof join (select * from way_moment where at_home) h on h.user_id = w.user_id and h.home = w.home and h.work = w.work and h."day" = w."day" and w.sec > h.sec
+            where not w.at_home group by all) group by user_id, home, work) a
+        full join (select user_id, home, work, count(*) n, avg(way) / 3600 h from (
+            select w.user_id, w.home, w.work, w."day", arg_max(h.sec - w.sec, w.sec) way from way_moment w
+            asof join (select * from way_moment where at_home) h on h.user_id = w.user_id and h.home = w.home and h.work = w.work and h."day" = w."day" and w.sec < h.sec
+            where not w.at_home group by all) group by user_id, home, work) b
+        on a.user_id = b.user_id and a.home = b.home and a.work = b.work""",
 }
 
 
@@ -420,7 +449,8 @@ DOUBLES = {
     "best_route": "weight",
     "representative_route": "home_lng home_lat work_lng work_lat",
     "stop_speed": "km kmh",
-    "poi_tfidf": "score",
+    "poi_tfidf": " ".join(f"score_{c}" for c in POI_CLASSES),
+    "commute_time": "to_work_h to_home_h",
 }
 
 

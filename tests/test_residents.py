@@ -184,3 +184,45 @@ def test_work_hours_and_rank(table, spark):
     circles = social.circle_pairs(cdr, homes, works)
     assert rows(residents.circle_rank(circles, hours, "work_hours", more=True)) == [(1, 0.5), (2, 0.0), (3, 1.0)]
     assert rows(residents.circle_rank(circles, hours, "work_hours", more=False)) == [(1, 0.5), (2, 1.0), (3, 0.0)]
+
+
+def test_ways_between_home_and_work(table):
+    homes = table("user_home", [place(1, HOME), place(2, HOME), place(2, 7), place(3, HOME), place(4, HOME)])
+    works = table("user_work", [place(1, WORK), place(2, WORK), place(3, HOME), place(4, WORK)])
+    days = [
+        stop(1, "02 07:00:00", WORK),  # nothing at home before it
+        stop(1, "02 07:30:00", HOME), stop(1, "02 08:00:00", HOME), stop(1, "02 08:20:00", 5), stop(1, "02 09:00:00", WORK),
+        stop(1, "02 12:00:00", HOME), stop(1, "02 13:00:00", WORK), stop(1, "02 17:00:00", WORK), stop(1, "02 17:45:00", HOME),
+        stop(1, "02 20:00:00", HOME),
+        stop(1, "03 08:00:00", HOME), stop(1, "03 08:00:00", WORK), stop(1, "03 10:00:00", WORK),  # the first second is no way
+        stop(1, "06 08:00:00", HOME), stop(1, "06 20:00:00", WORK),  # a Saturday
+        stop(2, "02 08:00:00", HOME), stop(2, "02 08:30:00", WORK), stop(2, "02 18:00:00", 7),
+        stop(3, "02 08:00:00", HOME), stop(3, "02 09:00:00", HOME),
+        stop(4, "02 09:00:00", WORK), stop(4, "03 08:00:00", HOME),
+    ]
+    got = residents.commute_time(table("local_stop", days * 2), homes, works)
+    assert rows(got, "user_id", "home", "work", "days_to_work", "to_work_h", "days_to_home", "to_home_h") == [
+        (1, HOME, WORK, 2, 1.5, 1, 0.75), (2, HOME, WORK, 1, 0.5, 0, None), (2, 7, WORK, 0, None, 1, 9.5)]
+
+
+def test_ways_equal_loops(table):
+    stops = random_days(40, 12)
+    homes = table("user_home", [place(u, HOME) for u in range(40)] + [place(u, 5) for u in range(0, 40, 3)])
+    works = table("user_work", [place(u, WORK) for u in range(40)] + [place(u, 6) for u in range(0, 40, 4)])
+    expected = {}
+    for (user, d), moments in by_day(stops).items():
+        if d.isoweekday() > 5:
+            continue
+        for home in [HOME, *[5] * (user % 3 == 0)]:
+            for work in [WORK, *[6] * (user % 4 == 0)]:
+                there = [(w, max(h for h, c in moments if c == home and h < w)) for w, c in moments
+                         if c == work and any(h < w for h, e in moments if e == home)]
+                back = [(w, min(h for h, c in moments if c == home and h > w)) for w, c in moments
+                        if c == work and any(h > w for h, e in moments if e == home)]
+                ways = expected.setdefault((user, home, work), ([], []))
+                ways[0].extend([w - h for w, h in there[:1]])
+                ways[1].extend([h - w for w, h in back[-1:]])
+    mean = lambda x: round(sum(x) / len(x) / 3600, 9) if x else None
+    got = residents.commute_time(table("local_stop", stops), homes, works).collect()
+    found = {(r.user_id, r.home, r.work): (r.days_to_work, r.to_work_h and round(r.to_work_h, 9), r.days_to_home, r.to_home_h and round(r.to_home_h, 9)) for r in got}
+    assert found == {k: (len(a), mean(a), len(b), mean(b)) for k, (a, b) in expected.items() if a or b}

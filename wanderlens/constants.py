@@ -28,6 +28,11 @@ SHOPPING_TAG = "购物"
 OTHER_TAG = "其他"
 FAMILY_INN = "家庭旅馆"
 STAR_HOTEL, BUDGET_HOTEL, APARTMENT_HOTEL = "星级酒店", "快捷酒店", "公寓式酒店"
+RESTAURANT_TAG, SIGHT_TAG = "美食", "旅游景点"
+#: The eight classes of a POI vector.
+POI_CLASSES = [
+    "star_hotel", "budget_hotel", "apartment_hotel", "other_hotel", "shopping", "restaurant", "sight", "other",
+]
 HOTEL_NAME_LABELS = [
     ("1", ["快捷"]),
     ("2", ["公寓"]),

@@ -46,3 +46,17 @@ def hotel_label(name: Column, tags: Column) -> Column:
 
 def first_tag(tags: Column) -> Column:
     return F.get(F.split(tags, ";"), F.lit(0))
+
+
+def poi_class(tags: Column) -> Column:
+    """One of the eight POI classes, by the first tag and, for hotels, the second."""
+    first, kind = first_tag(tags), F.get(F.split(tags, ";"), F.lit(1))
+    star, budget, apartment, hotel, shopping, restaurant, sight, other = C.POI_CLASSES
+    hotels = (
+        F.when(kind == C.STAR_HOTEL, star).when(kind == C.BUDGET_HOTEL, budget)
+        .when(kind == C.APARTMENT_HOTEL, apartment).otherwise(hotel)
+    )
+    return (
+        F.when(first == C.HOTEL_TAG, hotels).when(first == C.SHOPPING_TAG, shopping)
+        .when(first == C.RESTAURANT_TAG, restaurant).when(first == C.SIGHT_TAG, sight).otherwise(other)
+    )

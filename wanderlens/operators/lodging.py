@@ -1,12 +1,12 @@
-"""Hotels round the lodging, and visitors per lodging position."""
+"""Hotels round the lodging, visitors per lodging position, and POI scores of stay points."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wanderlens.constants import HOTEL_TAG, NO_LABEL
-from wanderlens.functions.scores import first_tag, hotel_label
+from wanderlens.constants import HOTEL_TAG, NO_LABEL, POI_CLASSES
+from wanderlens.functions.scores import first_tag, hotel_label, poi_class, poi_total, tf_idf
 from wanderlens.operators.spatial import within_radius
 
 UNMATCHED = "None"
@@ -56,3 +56,31 @@ def home_place_count(homes: DataFrame) -> DataFrame:
     return homes.select("lng", "lat", "user_id").distinct().groupBy("lng", "lat").agg(
         F.count(F.lit(1)).alias("visitors")
     )
+
+
+def poi_vectors(stay_points: DataFrame, poi: DataFrame) -> DataFrame:
+    """Per stay point (``cell_id, lng, lat, radius_km``) the number of POIs within its radius, a column per class.
+
+    Equal POIs at one position are counted before the radius join, and classes per stay point before
+    they are spread over the columns. A stay point without POIs has zeros.
+    """
+    places = poi.groupBy("lng", "lat", poi_class(F.col("tags")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    found = within_radius(stay_points, places).groupBy("cell_id", "class").agg(F.sum("n").alias("n"))
+    names = [f"n_{c}" for c in POI_CLASSES]
+    # One row per (cell, class): the spread copies counts and adds nothing up.
+    counts = [F.coalesce(F.sum(F.when(F.col("class") == c, F.col("n"))), F.lit(0)).alias(n) for c, n in zip(POI_CLASSES, names)]
+    wide = found.groupBy("cell_id").agg(*counts)
+    return stay_points.select("cell_id").distinct().join(wide, "cell_id", "left").fillna(0, names)
+
+
+def poi_scores(stay_points: DataFrame, poi: DataFrame) -> DataFrame:
+    """The vectors of ``poi_vectors`` with their sum and a TF-IDF score for each class; 1.0 where there is no POI."""
+    vectors = poi_vectors(stay_points, poi)
+    spread = vectors.agg(F.struct(
+        F.count(F.lit(1)).alias("points"), *[F.count_if(F.col(f"n_{c}") > 0).alias(f"with_{c}") for c in POI_CLASSES]
+    ).alias("spread")).scalar()
+    total = poi_total(*[F.col(f"n_{c}") for c in POI_CLASSES])
+    named = vectors.withColumn("poi_sum", total).withColumn("spread", spread)
+    return named.select("cell_id", "poi_sum", *[f"n_{c}" for c in POI_CLASSES], *[
+        tf_idf(F.col("poi_sum"), F.col(f"n_{c}"), F.col("spread.points"), F.col(f"spread.with_{c}")).alias(f"score_{c}")
+        for c in POI_CLASSES])

@@ -192,6 +192,33 @@ def commute_dist(users: DataFrame, homes: DataFrame, works: DataFrame) -> DataFr
     return _known(works).join(home, "user_id").select("user_id", _km_from_home().alias("commute_km"))
 
 
+def commute_time(stops: DataFrame, homes: DataFrame, works: DataFrame) -> DataFrame:
+    """Mean weekday hours of the ways between a home and a work place of a user, each way by itself.
+
+    The way to work leads to the day's first moment at work that has an earlier one at home, from the
+    last of these; the way home starts from the last moment at work that has a later one at home, and
+    ends at the first of these. Moments in the same second are neither earlier nor later. A user with several
+    homes or work places has a row for each pair; a place that is both is no commute. A way
+    that was never seen is NULL, and a pair without any has no row.
+    """
+    pairs = _cell_of(homes, "home", False).join(_cell_of(works, "work", False), "user_id").filter("home <> work")
+    day = ["user_id", "home", "work", "day"]
+    at_ends = _moments(stops).join(pairs, "user_id").filter("cell_id = home or cell_id = work")
+    # An as-of pairing either way: seconds at home up to the one before, and from the one after on.
+    strictly = lambda *order: W.partitionBy(*day).orderBy(*order).rangeBetween(W.unboundedPreceding, -1)
+    at_home = F.when(F.col("cell_id") == F.col("home"), F.col("sec"))
+    paired = at_ends.withColumn("left", F.max(at_home).over(strictly("sec"))).withColumn(
+        "back", F.min(at_home).over(strictly(F.desc("sec"))))
+    ways = paired.filter("cell_id = work").groupBy(*day).agg(
+        F.min_by(F.col("sec") - F.col("left"), F.when(F.col("left").isNotNull(), F.col("sec"))).alias("to_work"),
+        F.max_by(F.col("back") - F.col("sec"), F.when(F.col("back").isNotNull(), F.col("sec"))).alias("to_home"),
+    )
+    return ways.filter("to_work is not null or to_home is not null").groupBy("user_id", "home", "work").agg(
+        F.count("to_work").alias("days_to_work"), (F.avg("to_work") / 3600).alias("to_work_h"),
+        F.count("to_home").alias("days_to_home"), (F.avg("to_home") / 3600).alias("to_home_h"),
+    )
+
+
 # --- work hours and the work circle ------------------------------------------------------------
 
 

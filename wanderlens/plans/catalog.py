@@ -15,9 +15,7 @@ from pyspark.sql import Window as W
 from wanderlens.constants import ROUTE_BANDS
 from wanderlens.functions import times
 from wanderlens.functions.geo import distance_km, speed_kmh, transport_mode
-from wanderlens.functions.scores import poi_total, tf_idf
 from wanderlens.operators import community, lodging, movement, residents, routes, social, spots, visitors
-from wanderlens.operators.spatial import within_radius
 from wanderlens.sources.stored import stored
 
 
@@ -269,6 +267,9 @@ class Catalog:
     def commute_dist(self):
         return residents.commute_dist(self.users, self.inputs.user_home, self.inputs.user_work)
 
+    def commute_time(self):
+        return residents.commute_time(self.local_stops, self.inputs.user_home, self.inputs.user_work)
+
     def resident_profile(self):
         self.fix("local_stops")
         self.fix("calls")
@@ -414,15 +415,10 @@ class Catalog:
         return self.visitor.select("user_id", "prov", F.explode(days).alias("day"))
 
     def poi_tfidf(self):
-        """Weight of each POI tag at each base station, from the POIs within its radius."""
-        places = self.inputs.poi.groupBy("lng", "lat", "tags").agg(F.count(F.lit(1)).alias("n"))
-        stations = lodging.station_radius(self.inputs.base_station)
-        found = within_radius(stations, places).groupBy("cell_id", "tags").agg(F.sum("n").alias("n"))
-        totals = found.groupBy("cell_id").agg(F.sum("n").alias("total"))
-        spread = found.groupBy("tags").agg(F.count(F.lit(1)).alias("cells_with"))
-        cells = self.inputs.base_station.agg(F.count(F.lit(1))).scalar()
-        score = tf_idf(poi_total(F.col("total")), F.col("n"), cells, F.col("cells_with"))
-        return found.join(totals, "cell_id").join(spread, "tags").select("cell_id", "tags", score.alias("score"))
+        """Number of POIs and weight of each POI class at every stay point of the visitors."""
+        cells = self.stops.select("cell_id").distinct()
+        stay_points = lodging.station_radius(self.inputs.base_station).join(cells, "cell_id", "left_semi")
+        return lodging.poi_scores(stay_points, self.inputs.poi)
 
 
 QUERIES = [
