@@ -1,4 +1,4 @@
-"""Groups of users in the call graph: label moves that raise modularity, level by level."""
+"""Groups of users in the call graph: moves of independent nodes that raise modularity, level by level."""
 
 from __future__ import annotations
 
@@ -37,11 +37,11 @@ def _quality(ends: DataFrame, total: int) -> int:
     return int(per_group.agg(value.alias("q")).first()["q"] or 0)
 
 
-def _move(ends: DataFrame, total: int, turn: int) -> DataFrame:
-    """Half of the nodes move to the neighbouring group with the largest gain, the rest stay.
+def _wishes(ends: DataFrame, total: int, turn: int) -> DataFrame:
+    """``u, c, gain, draw``: the nodes that gain by moving, their best group, and what decides among neighbours.
 
-    Weight to each group is summed before a node's groups are compared. Moving by halves keeps
-    two neighbours from swapping places for ever. Equal gains go to the own, then the smallest group.
+    Weight to each group is summed before a node's groups are compared. Equal scores go to the own
+    group, then to the smallest one.
     """
     degree = ends.groupBy("u", "cu").agg(F.sum("w").alias("k"))
     group = degree.groupBy(F.col("cu").alias("c")).agg(F.sum("k").alias("group_k"))
@@ -49,21 +49,69 @@ def _move(ends: DataFrame, total: int, turn: int) -> DataFrame:
     own = degree.select("u", F.col("cu").alias("c"), F.lit(0).cast("bigint").alias("w"))
     options = ties.unionByName(own).groupBy("u", "c").agg(F.sum("w").alias("w"))
     scored = options.join(degree, "u").join(group, "c")
-    others = F.col("group_k") - F.when(F.col("c") == F.col("cu"), F.col("k")).otherwise(0)
-    gain = F.col("w").cast(_WHOLE) * F.lit(total).cast(_WHOLE) - F.col("k").cast(_WHOLE) * others.cast(_WHOLE)
-    moved = (F.col("c") != F.col("cu")).cast("int")
-    best = scored.groupBy("u", "cu").agg(F.min_by("c", F.struct(-gain, moved, "c")).alias("best"))
-    moves = F.pmod(F.xxhash64("u") + turn, F.lit(2)) == 0
-    return best.select(F.col("u").alias("node"), F.when(moves, F.col("best")).otherwise(F.col("cu")).alias("label"))
+    stays = F.col("c") == F.col("cu")
+    others = F.col("group_k") - F.when(stays, F.col("k")).otherwise(0)
+    score = F.col("w").cast(_WHOLE) * F.lit(total).cast(_WHOLE) - F.col("k").cast(_WHOLE) * others.cast(_WHOLE)
+    best = scored.groupBy("u", "cu").agg(
+        F.min_by(F.struct("c", score.alias("score")), F.struct(-score, (~stays).cast("int"), "c")).alias("best"),
+        F.max(F.when(stays, score)).alias("now"))
+    draw = F.md5(F.concat(F.lit(f"{turn}:"), F.col("u").cast("string")))
+    return best.filter("best.c <> cu").select(
+        "u", F.col("best.c").alias("c"), (F.col("best.score") - F.col("now")).alias("gain"), draw.alias("draw"))
+
+
+def _moves(arrows: DataFrame, wishes: DataFrame) -> DataFrame:
+    """The wishes that come true: no neighbour wishes for more, or for as much with a smaller draw.
+
+    They are an independent set of the graph, so two neighbours never move in the same round, and the
+    largest wish is always among them.
+    """
+    other = wishes.select(F.col("u").alias("v"), F.col("gain").alias("other_gain"), F.col("draw").alias("other_draw"))
+    beaten = (
+        arrows.filter("u <> v").select("u", "v").join(wishes, "u").join(other, "v")
+        .filter("other_gain > gain or (other_gain = gain and (other_draw < draw or (other_draw = draw and v < u)))")
+        .select("u").distinct()
+    )
+    return wishes.join(beaten, "u", "left_anti").select(F.col("u").alias("node"), F.col("c").alias("to"))
+
+
+def _connected(ends: DataFrame, labels: DataFrame) -> DataFrame:
+    """``node, label`` with every group cut into its connected parts, each named by its smallest node.
+
+    Each round takes the smallest name among the neighbours in the group, and then the name of
+    that node, so a name travels twice as far every time.
+    """
+    inner = stored(ends.filter("cu = cv and u <> v").select("u", "v"), "inner")
+    names = stored(labels.select("node", F.col("node").alias("name")), "names")
+    while True:
+        offers = inner.join(names.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), "name")
+        least = offers.unionByName(names).groupBy("node").agg(F.min("name").alias("name"))
+        jump = names.select(F.col("node").alias("name"), F.col("name").alias("further"))
+        found = least.join(jump, "name").select("node", F.least("name", "further").alias("name"))
+        after = stored(found, "names")
+        settled = after.join(names.withColumnRenamed("name", "old"), "node").filter("name <> old").isEmpty()
+        names = after
+        if settled:
+            return names.withColumnRenamed("name", "label")
 
 
 def communities(pairs: DataFrame, min_gain: float = 1e-4) -> DataFrame:
     """Group of each user: ``user_id``, ``community`` (the smallest user id of the group).
 
-    Each level moves nodes until two rounds in turn raise modularity by no more than ``min_gain``, then
-    merges every group into one node; a level that gains no more than that is the last. Every other
-    round raises it by more, so the rounds end after at most 2 / ``min_gain`` of them, on any graph.
-    Labels and edges are stored after each round; only single numbers come to the driver.
+    The rule, by which results are the same on any cluster:
+
+    * A level starts with every node in a group of its own. In round t = 0, 1, … each node looks for the
+      group in which modularity gains most, counted in whole numbers (total weight times the weight to the
+      group, minus the node's degree times the degree of the group's other nodes; both directions of
+      an edge count). Equal gains go to the own group, then to the smallest.
+    * Of the nodes that gain by moving those move that no neighbour surpasses: by a larger gain, or an
+      equal one and the smaller MD5 of ``t:node``.
+    * The level ends when no node wants to move or two rounds in turn raise modularity by no more than
+      ``min_gain``. Its best state counts, with groups cut into their connected parts.
+    * If the level has gained more than ``min_gain``, its groups become the nodes of the next one.
+
+    Every other round raises modularity by more than ``min_gain``, so the rounds end on any graph. Labels and
+    edges are stored after each round; only single numbers come to the driver.
     """
     arrows = stored(_arrows(pairs), "arrows")
     total = int(arrows.agg(F.sum("w").alias("w")).first()["w"] or 0)
@@ -76,14 +124,20 @@ def communities(pairs: DataFrame, min_gain: float = 1e-4) -> DataFrame:
         ends = stored(_with_groups(arrows, labels), "ends")
         before = quality = _quality(ends, total)
         best, best_ends, turn, idle = labels, ends, 0, 0
-        while idle < 2:  # both halves had their turn
-            labels = stored(_move(ends, total, turn), "labels")
+        while idle < 2:
+            wishes = stored(_wishes(ends, total, turn), "wishes")
+            if wishes.isEmpty():
+                break
+            moves = _moves(arrows, wishes)
+            labels = stored(labels.join(moves, "node", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
             ends = stored(_with_groups(arrows, labels), "ends")
             moved, turn = _quality(ends, total), turn + 1
             idle = 0 if moved > quality + step else idle + 1
             if moved > quality:
                 best, best_ends, quality = labels, ends, moved
-        if quality <= before + step:
+        best = _connected(best_ends, best)
+        best_ends = stored(_with_groups(arrows, best), "ends")
+        if _quality(best_ends, total) <= before + step:
             break
         joined = members.join(best.withColumnRenamed("label", "next"), F.col("label") == F.col("node"))
         members = stored(joined.select("user_id", F.col("next").alias("label")), "members")
