@@ -142,13 +142,11 @@ def test_profile_has_one_row_per_visitor_row(spark, table):
     v = two_province_visitor(table)
     stations = table("base_station", [(1, *PORT, None)])
     stops = table("visitor_stop", [stop(1, "08 02:00:00", 1, 2, *PORT)])
-    homes = visitors.visitor_home(v, stops, stations, MONTH)
-    transport = visitors.transport_out(v, stops, stations)
     spots = table("scenic_spot", [(19, 1)])
     poi = table("poi", [(1, "a", "酒店;星级酒店", *PORT, 1.0)])
     residents = table("local_record", [(5, at("01 08:00:00"), 1, 1.0, 1.0, 327)])
     profile = visitors.visitor_profile(
-        v, transport, homes, stops, residents, calls(table, ("01 08:00:00", 1, 9)), spots, poi, stations, MONTH
+        v, stops, residents, calls(table, ("01 08:00:00", 1, 9)), spots, poi, stations, MONTH
     )
     assert len(profile.columns) == 19
     found = rows(profile, "user_id", "prov", "transport", "duty_free", "spots", "hours", "max_km", "home_cell", "hotel_type")

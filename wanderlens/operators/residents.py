@@ -243,28 +243,99 @@ def circle_rank(circles: DataFrame, metric: DataFrame, value: str, more: bool) -
 # --- profile -----------------------------------------------------------------------------------
 
 
+def _known_places(places: DataFrame, name: str) -> DataFrame:
+    """The known places of each user as an array; a user has a few."""
+    rows = _known(places).select("user_id", F.struct("cell_id", "lng", "lat").alias("place"))
+    return rows.groupBy("user_id").agg(F.sort_array(F.collect_list("place")).alias(name))
+
+
+def stop_state(stops: DataFrame) -> DataFrame:
+    """One row per (user, day, second, cell, position) from which all resident features of the stops are read:
+    whether a stop lasted an hour, stops and ``micro`` hours of six hours or more, and all ``micro`` hours."""
+    micro, trip = micro_hours(F.col("dur_h")), F.col("dur_h") >= TRIP_HOURS
+    return stops.groupBy("user_id", "day", second_of_day(F.col("ts")).alias("sec"), "cell_id", "lng", "lat").agg(
+        F.max(F.col("dur_h") >= 1).alias("long"), F.count_if(trip).alias("trips"),
+        F.sum(F.when(trip, micro).otherwise(0)).alias("trip_micro"), F.sum(micro).alias("micro"))
+
+
+def _stop_features(state: DataFrame, places: DataFrame, spots: DataFrame) -> DataFrame:
+    """Rhythm, radius, trips and spots of each user with known ``homes`` and ``works``, in one pass.
+
+    After the join on the user, the window and the three aggregates keep its partitioning. What comes
+    before and after a moment does not depend on the place looked at, so the rows meet the user's
+    places after the window.
+    """
+    of_cell = spots.groupBy("cell_id").agg(F.collect_list("scenic_id").alias("spot_ids"))
+    near = state.join(of_cell, "cell_id", "left").join(places, "user_id")
+    by_time = W.partitionBy("user_id", "day").orderBy("sec", "cell_id")
+    moments = near.select(
+        "*", F.lag("cell_id").over(by_time).alias("before_cell"), F.lag("sec").over(by_time).alias("before_sec"),
+        F.lead("sec").over(by_time).alias("next_sec"))
+    # Each home row counts for trips; each home and work cell once for the rhythm.
+    cells = F.transform("homes", lambda p: p["cell_id"])
+    home_cells = F.transform("homes", lambda p, i: F.struct(p.alias("at"), (F.array_position(cells, p["cell_id"]) == i + 1).alias("first")))
+    work_cells = F.array_distinct(F.transform("works", lambda p: p["cell_id"]))
+    pairs = moments.select("*", F.posexplode(home_cells).alias("h", "home")).drop("homes").select(
+        "*", F.posexplode(work_cells).alias("w", "work")).drop("works")
+    weekday, cell = is_weekday(F.col("day")), F.col("cell_id")
+    at_home = F.col("home.at.cell_id")
+    away = cell != F.col("work")
+    km = distance_km(F.col("lng"), F.col("lat"), F.col("home.at.lng"), F.col("home.at.lat"))
+    left_home = F.col("sec") + F.col("before_sec")
+    left_work = F.col("sec") + F.coalesce("next_sec", "sec")
+    trip = ~weekday & away & (km >= TRIP_KM)
+    once = (F.col("h") == 0) & (F.col("w") == 0)
+    per_place = pairs.groupBy("user_id", "day", "h", "w").agg(
+        F.min(F.when(weekday & F.col("home.first") & (F.col("w") == 0) & (F.col("before_cell") == at_home) & (cell != at_home)
+                     & (left_home >= 2 * EARLIEST_LEAVE), left_home)).alias("home_units"),
+        (2 * LAST_SECOND - F.max(F.when(weekday & (F.col("h") == 0) & (cell == F.col("work")), left_work))).alias("work_units"),
+        F.max(F.when(weekday & away & F.col("long"), km)).alias("km"),
+        F.sum(F.when(trip, F.col("trips"))).alias("trips"), F.sum(F.when(trip, F.col("trip_micro"))).alias("trip_micro"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(once, F.col("spot_ids"))))).alias("spot_ids"),
+        F.sum(F.when(once & F.col("spot_ids").isNotNull(), F.col("micro") * F.size("spot_ids"))).alias("spot_micro"))
+    work_units = F.when(F.col("work_units") != 0, F.col("work_units"))
+    per_day = per_place.groupBy("user_id", "day").agg(
+        F.sum("home_units").alias("home_sum"), F.count("home_units").alias("home_n"),
+        F.sum(work_units).alias("work_sum"), F.count(work_units).alias("work_n"), F.max("km").alias("km"),
+        F.sum("trips").alias("trips"), F.sum("trip_micro").alias("trip_micro"), F.sum("spot_micro").alias("spot_micro"),
+        F.array_distinct(F.flatten(F.collect_set("spot_ids"))).alias("spot_ids"))
+    mean = lambda name: F.try_divide(F.sum(f"{name}_sum"), F.sum(f"{name}_n")) / 7200
+    return per_day.groupBy("user_id").agg(
+        mean("home").alias("home_left"), mean("work").alias("work_left"), F.avg("km").alias("radius_km"),
+        F.sum("trips").alias("trips"), (F.sum("trip_micro") / MICRO).alias("trip_hours"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("spot_ids")))).cast("bigint").alias("spots"),
+        (F.sum("spot_micro") / MICRO).alias("spot_hours"))
+
+
+def _call_features(cdr: DataFrame) -> DataFrame:
+    """Call records and distinct callers and callees of each user, from one state per (user, contact)."""
+    ends = cdr.select(F.inline(F.array(
+        F.struct(F.col("caller").alias("user_id"), F.col("callee").alias("other"), F.lit(False).alias("received")),
+        F.struct(F.col("callee").alias("user_id"), F.col("caller").alias("other"), F.lit(True).alias("received"))
+    ))).filter("user_id is not null")
+    state = ends.groupBy("user_id", "other").agg(
+        F.count(F.lit(1)).alias("n"), F.max("received").alias("called"), F.max(~F.col("received")).alias("calls"))
+    known = F.col("other").isNotNull()
+    return state.groupBy("user_id").agg(
+        F.sum("n").alias("call_records"), F.count_if(known & F.col("called")).alias("callin_contacts"),
+        F.count_if(known & F.col("calls")).alias("callout_contacts"))
+
+
 def resident_profile(cdr: DataFrame, spots: DataFrame, records: DataFrame, stops: DataFrame,
                      homes: DataFrame, works: DataFrame) -> DataFrame:
-    """All resident features side by side; users without one of the rhythm features drop out."""
-    users = resident_users(records)
-    required = [
-        _known(homes).select("user_id", F.col("lng").alias("home_lng"), F.col("lat").alias("home_lat")),
-        _known(works).select("user_id", F.col("lng").alias("work_lng"), F.col("lat").alias("work_lat")),
-        home_left_time(stops, homes),
-        work_left_time(stops, works),
-        life_radius(stops, homes, works),
-    ]
-    optional = [
-        call_records_per_user.feature(users, cdr).withColumnRenamed("n", "call_records"),
-        callin_contacts.feature(users, cdr).withColumnRenamed("n", "callin_contacts"),
-        callout_contacts.feature(users, cdr).withColumnRenamed("n", "callout_contacts"),
-        weekend_trips.feature(users, stops, homes, works),
-        resident_spot_visits.feature(users, stops, spots),
-    ]
-    profile = users
-    for feature in required:
-        profile = profile.join(feature, "user_id")
-    for feature in optional:
-        profile = profile.join(feature, "user_id", "left")
-    commute = distance_km(F.col("home_lng"), F.col("home_lat"), F.col("work_lng"), F.col("work_lat"))
-    return profile.withColumn("commute_km", commute).fillna(0)
+    """All resident features side by side; users without one of the rhythm features drop out.
+
+    Stops, calls and records are read once each. A user with several known homes or work places has a
+    row for each pair of them.
+    """
+    places = _known_places(homes, "homes").join(_known_places(works, "works"), "user_id")
+    features = _stop_features(stop_state(stops), places, spots).filter(
+        "home_left is not null and work_left is not null and radius_km is not null")
+    rows = places.join(resident_users(records), "user_id", "left_semi").join(features, "user_id")
+    rows = rows.join(_call_features(cdr), "user_id", "left")
+    named = rows.withColumn("home", F.explode("homes")).withColumn("work", F.explode("works"))
+    at = [F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("home", "work") for c in ("lng", "lat")]
+    commute = distance_km(F.col("home.lng"), F.col("home.lat"), F.col("work.lng"), F.col("work.lat"))
+    return named.select(
+        "user_id", *at, "home_left", "work_left", "radius_km", "call_records", "callin_contacts", "callout_contacts",
+        "trips", "trip_hours", "spots", "spot_hours", commute.alias("commute_km")).fillna(0)

@@ -48,8 +48,31 @@ def contact_pairs(cdr: DataFrame) -> DataFrame:
     return both_directions(ordered)
 
 
-def circle_pairs(cdr: DataFrame, homes: DataFrame, works: DataFrame) -> DataFrame:
-    """Unordered call pairs with flags for a shared home cell and a shared work cell.
+def call_state(cdr: DataFrame) -> DataFrame:
+    """One row per unordered pair (a <= b) with calls and ms either way: the state behind all call features."""
+    forward = F.col("caller") <= F.col("callee")
+    ends = _answered(cdr).select(
+        F.least("caller", "callee").alias("a"), F.greatest("caller", "callee").alias("b"), forward.alias("f"), "dur_ms")
+    way = lambda name, there: [
+        F.count_if(there).alias(f"{name}_calls"), F.coalesce(F.sum(F.when(there, F.col("dur_ms"))), F.lit(0)).alias(f"{name}_ms")]
+    return ends.groupBy("a", "b").agg(*way("ab", F.col("f")), *way("ba", ~F.col("f")))
+
+
+def contact_state(pairs: DataFrame) -> DataFrame:
+    """(user, contact) rows of ``call_state`` with ``out`` and ``in`` calls and ms; a call to oneself is both."""
+    def end(user: str, contact: str, out: str, received: str):
+        return F.struct(
+            F.col(user).alias("user_id"), F.col(contact).alias("contact"),
+            F.col(f"{out}_calls").alias("out_calls"), F.col(f"{out}_ms").alias("out_ms"),
+            F.col(f"{received}_calls").alias("in_calls"), F.col(f"{received}_ms").alias("in_ms"))
+
+    both = F.array(end("a", "b", "ab", "ba"), end("b", "a", "ba", "ab"))
+    rest = [c for c in pairs.columns if c not in ("a", "b", "ab_calls", "ab_ms", "ba_calls", "ba_ms")]
+    return pairs.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(end("a", "b", "ab", "ab"))).otherwise(both)), *rest)
+
+
+def with_circles(pairs: DataFrame, homes: DataFrame, works: DataFrame) -> DataFrame:
+    """Unordered pairs with flags for a shared home cell and a shared work cell.
 
     Unknown cells match nothing. The places of a user are held as sets, so that each pair stays
     one row however many places its ends have.
@@ -57,7 +80,7 @@ def circle_pairs(cdr: DataFrame, homes: DataFrame, works: DataFrame) -> DataFram
     home = homes.filter("cell_id is not null").groupBy("user_id").agg(F.collect_set("cell_id").alias("home"))
     work = works.filter("cell_id is not null").groupBy("user_id").agg(F.collect_set("cell_id").alias("work"))
     places = home.join(work, "user_id", "full")
-    at = undirected_pairs(cdr)
+    at = pairs
     for end in ("a", "b"):
         at = at.join(
             places.select(
@@ -69,7 +92,12 @@ def circle_pairs(cdr: DataFrame, homes: DataFrame, works: DataFrame) -> DataFram
     def shared(place: str):
         return F.coalesce(F.arrays_overlap(f"a_{place}", f"b_{place}"), F.lit(False))
 
-    return at.select("a", "b", "freq", "dur_ms", shared("home").alias("family"), shared("work").alias("colleague"))
+    return at.select(*pairs.columns, shared("home").alias("family"), shared("work").alias("colleague"))
+
+
+def circle_pairs(cdr: DataFrame, homes: DataFrame, works: DataFrame) -> DataFrame:
+    """Unordered call pairs (``a, b, freq, dur_ms``) with the flags ``family`` and ``colleague``."""
+    return with_circles(undirected_pairs(cdr), homes, works)
 
 
 CIRCLES = {"colleague": "colleague", "family": "family", "friend": "not colleague and not family"}
@@ -130,47 +158,62 @@ def callout_features(users: DataFrame, cdr: DataFrame) -> DataFrame:
     return _one_way(cdr, "caller", "callout")
 
 
-def _side_by_side(users: DataFrame, features: list[DataFrame]) -> DataFrame:
-    """Bare features joined on one spine; every feature is a count or a sum, so gaps are 0."""
-    joined = users.select("user_id")
-    for feature in features:
-        joined = joined.join(feature, "user_id", "left")
-    return joined.fillna(0)
+def _call_columns() -> list:
+    """The nine call features over the rows of ``contact_state``."""
+    either = F.col("out_calls") + F.col("in_calls")
+    columns = [
+        F.count(F.lit(1)).alias("all_contacts"), F.sum(either).alias("all_calls"),
+        F.sum(F.col("out_ms") + F.col("in_ms")).alias("all_ms")]
+    for name, way in (("callin", "in"), ("callout", "out")):
+        columns += [
+            F.count_if(F.col(f"{way}_calls") > 0).alias(f"{name}_contacts"), F.sum(f"{way}_calls").alias(f"{name}_calls"),
+            (F.sum(f"{way}_ms") / 3600000).alias(f"{name}_hours")]
+    return columns
 
 
 def call_features(users: DataFrame, cdr: DataFrame) -> DataFrame:
-    """All call features of a resident side by side."""
-    parts = (all_call_features, callin_features, callout_features)
-    return _side_by_side(users, [part.feature(users, cdr) for part in parts])
+    """All call features of a resident side by side, from one state per (user, contact)."""
+    features = contact_state(call_state(cdr)).groupBy("user_id").agg(*_call_columns())
+    return users.select("user_id").join(features, "user_id", "left").fillna(0)
 
 
 _CIRCLE_COLUMNS = {f"{name}_{part}": 0 for name in CIRCLES for part in ("count", "calls", "ms")}
 
 
-@on_spine(**_CIRCLE_COLUMNS)
-def circle_features(users: DataFrame, circles: DataFrame) -> DataFrame:
-    """Members, calls and ms per resident for colleagues, family and friends."""
+def _circle_columns(freq, dur_ms) -> list:
+    """Members, calls and ms of the three circles over rows with the flags of ``with_circles``."""
     columns = []
     for name, condition in CIRCLES.items():
         member = F.expr(condition)
         columns += [
-            F.count_if(member).alias(f"{name}_count"),
-            F.sum(F.when(member, F.col("freq"))).alias(f"{name}_calls"),
-            F.sum(F.when(member, F.col("dur_ms"))).alias(f"{name}_ms"),
+            F.count_if(member).alias(f"{name}_count"), F.sum(F.when(member, freq)).alias(f"{name}_calls"),
+            F.sum(F.when(member, dur_ms)).alias(f"{name}_ms"),
         ]
+    return columns
+
+
+@on_spine(**_CIRCLE_COLUMNS)
+def circle_features(users: DataFrame, circles: DataFrame) -> DataFrame:
+    """Members, calls and ms per resident for colleagues, family and friends."""
+    columns = _circle_columns(F.col("freq"), F.col("dur_ms"))
     return both_directions(circles).groupBy("user_id").agg(*columns)
 
 
 @on_spine(triangles=0)
 def triangle_count(users: DataFrame, cdr: DataFrame) -> DataFrame:
-    """Triangles through each resident in the call graph among residents.
+    """Triangles through each resident in the call graph among residents."""
+    pairs = _answered(cdr).filter("caller <> callee").select(
+        F.least("caller", "callee").alias("a"), F.greatest("caller", "callee").alias("b")
+    ).distinct()
+    return _triangles(users, pairs)
+
+
+def _triangles(users: DataFrame, ordered: DataFrame) -> DataFrame:
+    """Triangles per resident over distinct unordered pairs of different users.
 
     Edges point from the end with fewer neighbours to the other, which bounds every out-list by
     the square root of twice the edge count, however many neighbours a hub has.
     """
-    ordered = _answered(cdr).filter("caller <> callee").select(
-        F.least("caller", "callee").alias("a"), F.greatest("caller", "callee").alias("b")
-    ).distinct()
     for end in ("a", "b"):
         ordered = ordered.join(users.select(F.col("user_id").alias(end)), end, "left_semi")
     ordered = stored(ordered, "call-edges")
@@ -206,8 +249,15 @@ def triangle_count(users: DataFrame, cdr: DataFrame) -> DataFrame:
     return closing.select(F.inline(corner)).groupBy("user_id").agg(F.sum("n").alias("triangles"))
 
 
-def social_features(users: DataFrame, cdr: DataFrame, circles: DataFrame) -> DataFrame:
-    """All call-graph features of a resident side by side."""
-    parts = [part.feature(users, cdr) for part in (all_call_features, callin_features, callout_features)]
-    parts += [circle_features.feature(users, circles), triangle_count.feature(users, cdr)]
-    return _side_by_side(users, parts)
+def social_features(users: DataFrame, cdr: DataFrame, homes: DataFrame, works: DataFrame) -> DataFrame:
+    """All call-graph features of a resident side by side.
+
+    The calls are read and shuffled once, to the pair state, which is stored: the eighteen features of contacts are
+    one aggregate over it, and the triangles take their edges from it.
+    """
+    pairs = stored(call_state(cdr), "call-pairs")
+    directed = contact_state(with_circles(pairs, homes, works))
+    either = F.col("out_calls") + F.col("in_calls"), F.col("out_ms") + F.col("in_ms")
+    features = directed.groupBy("user_id").agg(*_call_columns(), *_circle_columns(*either))
+    triangles = _triangles(users, pairs.filter("a <> b").select("a", "b"))
+    return users.select("user_id").join(features, "user_id", "left").join(triangles, "user_id", "left").fillna(0)

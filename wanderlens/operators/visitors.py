@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from wanderlens.constants import DUTY_FREE_SPOT, HUB_KM, UNKNOWN_MODE
 from wanderlens.functions.geo import distance_km, transport_mode
 from wanderlens.functions.times import MICRO, epoch_millis, micro_hours, ts_in_month
-from wanderlens.operators.lodging import UNMATCHED, hotel_classify
+from wanderlens.operators.lodging import UNMATCHED, cell_hotel_labels
 from wanderlens.operators.social import contact_pairs
 from wanderlens.operators.spine import fill_spine, on_spine
 
@@ -172,27 +172,108 @@ PROFILE_DEFAULTS = {
 }
 
 
-def visitor_profile(visitors: DataFrame, transport: DataFrame, homes: DataFrame, stops: DataFrame,
-                    residents: DataFrame, cdr: DataFrame, spots: DataFrame, poi: DataFrame,
-                    stations: DataFrame, month: str) -> DataFrame:
+def _cells(stations: DataFrame, spots: DataFrame) -> DataFrame:
+    """What is known of a cell: the station's position and the spots that it belongs to."""
+    at = stations.groupBy("cell_id").agg(F.min(F.struct("lng", "lat")).alias("station"))
+    of = spots.groupBy("cell_id").agg(F.collect_list("scenic_id").alias("spots"))
+    return at.join(of, "cell_id", "full")
+
+
+def stop_state(stops: DataFrame, month: str) -> DataFrame:
+    """One row per (user, day, cell, position) from which all features of the stops are read.
+
+    ``n`` stops of an hour or more in the month and their ``micro`` hours, those at night apart, and the
+    last moment of all. Rows of one state add up, so stops are combined before anything is shuffled.
+    """
+    counted = ts_in_month(F.col("ts"), month) & (F.col("dur_h") >= 1)
+    micro = micro_hours(F.col("dur_h"))
+    night = counted & (F.hour("ts") <= 6)
+    return stops.groupBy("user_id", F.to_date("ts").alias("day"), "cell_id", "lng", "lat").agg(
+        F.max(epoch_millis(F.col("ts"))).alias("last"), F.count_if(counted).alias("n"),
+        F.sum(F.when(counted, micro).otherwise(0)).alias("micro"),
+        F.sum(F.when(night, micro)).alias("night"))
+
+
+def _stop_features(state: DataFrame, users: DataFrame, cells: DataFrame, max_km: float) -> DataFrame:
+    """Departure, lodging, top places, spots, duty-free visit and farthest place of each user in one pass.
+
+    After the join on the user all windows and the aggregate keep that partitioning. Their groups are
+    rows of the state: days, cells and positions of one user.
+    """
+    near = state.join(cells, "cell_id", "left").join(users.select("user_id", "last_dates"), "user_id")
+    by_cell, by_place = W.partitionBy("user_id", "cell_id"), W.partitionBy("user_id", "lng", "lat")
+    summed = near.withColumn("cell_night", F.sum("night").over(by_cell)).withColumn("place_n", F.sum("n").over(by_place))
+    leaving = F.array_contains("last_dates", F.col("day")) & F.col("station").isNotNull()
+    counted = F.col("n") > 0
+    home = F.when(F.col("cell_night").isNotNull(), F.struct((-F.col("cell_night")).alias("order"), "cell_id", "station"))
+    place = F.when(counted, F.struct((-F.col("place_n")).alias("order"), "lng", "lat"))
+    # The spots of a cell are a few; a user's set of them is bounded by the table of spots.
+    per_user = summed.groupBy("user_id").agg(
+        F.min_by("station", F.when(leaving, F.struct((-F.col("last")).alias("order"), "cell_id"))).alias("left_from"),
+        F.min(home).alias("home"), F.collect_set(place).alias("places"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(counted, F.col("spots"))))).alias("spot_ids"),
+        F.sum(F.when(counted & F.col("spots").isNotNull(), F.col("micro") * F.size("spots"))).alias("micro"),
+    )
+    at_home = F.col("home.station").isNotNull()
+    named = per_user.withColumn("top", F.sort_array("places")).withColumns({
+        "home_cell": F.when(at_home, F.col("home.cell_id")), "home_lng": F.col("home.station.lng"), "home_lat": F.col("home.station.lat")})
+    away = F.transform("places", lambda p: distance_km(p["lng"], p["lat"], F.col("home_lng"), F.col("home_lat")))
+    top = {f"{c}{i}": F.get("top", F.lit(i - 1))[c] for i in (1, 2, 3) for c in ("lng", "lat")}
+    return named.select(
+        "user_id",
+        F.when(F.col("left_from").isNotNull(), transport_mode(F.col("left_from.lng"), F.col("left_from.lat"), max_km)).alias("transport"),
+        F.when(F.array_contains("spot_ids", DUTY_FREE_SPOT), "1").alias("duty_free"),
+        F.size("spot_ids").cast("bigint").alias("spots"), (F.col("micro") / MICRO).alias("hours"),
+        F.array_max(away).alias("max_km"), *[c.alias(n) for n, c in top.items()], "home_cell", "home_lng", "home_lat")
+
+
+def _call_features(cdr: DataFrame, users: DataFrame, residents: DataFrame) -> DataFrame:
+    """Kind and call level of each visiting user. The calls are read once: pairs and days are two groupings of them."""
+    ends = cdr.select(F.to_date("call_ts").alias("day"), F.inline(F.array(
+        F.struct(F.col("caller").alias("user_id"), F.col("callee").alias("other")),
+        F.struct(F.col("callee").alias("user_id"), F.col("caller").alias("other"))))).filter("user_id is not null")
+    state = ends.groupingSets([["user_id", "other"], ["user_id", "day"]], "user_id", "other", "day").agg(
+        F.count(F.lit(1)).alias("n"), F.grouping("day").alias("pair"))
+    # Rows without a contact, the days among them, are spread by their user instead of meeting in one task.
+    salted = state.withColumn("salt", F.when(F.col("other").isNull(), F.xxhash64("user_id")).otherwise(F.lit(0)))
+    weights = users.select(F.col("user_id").alias("other"), F.lit(0).cast("bigint").alias("salt"), "stays")
+    known = F.col("pair") == 1
+    per_user = salted.join(weights, ["other", "salt"], "left").groupBy("user_id").agg(
+        F.count_if(known & F.col("other").isNotNull()).alias("contacts"),
+        F.coalesce(F.sum(F.when(known, F.size("stays"))), F.lit(0)).alias("visitor_contacts"),
+        F.avg(F.when(~known, F.col("n"))).alias("mean_calls"))
+    local = residents.select("user_id").distinct().withColumn("local", F.lit(True))
+    seen = users.join(per_user, "user_id", "left").join(local, "user_id", "left")
+    social = (F.col("contacts") > 0) & (
+        F.when(F.col("local"), F.col("visitor_contacts")).otherwise(0) >= F.col("contacts") / 2)
+    stays = F.col("stays")
+    bird = F.coalesce(social, F.lit(False)) | (F.array_max(stays) >= 25)
+    busy = (F.col("n_short") > 0) & (F.col("mean_calls") * F.col("n_short") >= 3)
+    mean = F.col("mean_calls") * F.col("n_rows")
+    return seen.select(
+        "user_id", F.when(bird, "bird").when(busy, "business").alias("visitor_type"),
+        F.when(mean.isNotNull(), F.when(mean < 3, 1).when(mean <= 6, 2).otherwise(3)).alias("call_level"))
+
+
+def visitor_profile(visitors: DataFrame, stops: DataFrame, residents: DataFrame, cdr: DataFrame, spots: DataFrame,
+                    poi: DataFrame, stations: DataFrame, month: str, max_km: float = HUB_KM) -> DataFrame:
     """All features of each visitor row side by side.
 
-    The features come bare, one row per user, and meet the visitors once. A user with two
+    Stops, calls and resident records are read once each: the features come from one state of the
+    stops and one of the calls, one row per user, and meet the visitors once. A user with two
     provinces has two rows that differ in the province.
     """
-    homes = homes.dropDuplicates(["user_id"])
+    users = visitors.groupBy("user_id").agg(
+        F.collect_set("last_date").alias("last_dates"), F.collect_set("stay_days").alias("stays"),
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("stay_days") <= 7).alias("n_short"))
     features = [
-        transport.dropDuplicates(["user_id"]),
-        visitor_kinds(visitors, residents, cdr),
-        duty_free_visit.feature(visitors, stops, spots, month),
-        call_strength.feature(visitors, cdr),
-        spot_visit_count.feature(visitors, stops, spots, month),
-        max_dist_from_home.feature(visitors, stops, homes, month),
-        top3_locations.feature(visitors, stops, month),
-        homes.select("user_id", "home_cell", F.col("lng").alias("home_lng"), F.col("lat").alias("home_lat")),
-        hotel_classify(poi, stations, homes),
+        _stop_features(stop_state(stops, month), users, _cells(stations, spots), max_km),
+        _call_features(cdr, users, residents),
     ]
     profile = visitors.select("user_id", "prov")
     for feature in features:
         profile = profile.join(feature, "user_id", "left")
-    return profile.fillna(PROFILE_DEFAULTS)
+    hotels = cell_hotel_labels(poi, stations).withColumnRenamed("cell_id", "home_cell")
+    return profile.join(hotels, "home_cell", "left").fillna(PROFILE_DEFAULTS).select(
+        "user_id", "prov", "transport", "visitor_type", "duty_free", "call_level", "spots", "hours", "max_km",
+        *[f"{c}{i}" for i in (1, 2, 3) for c in ("lng", "lat")], "home_cell", "home_lng", "home_lat", "hotel_type")

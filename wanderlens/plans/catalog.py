@@ -130,14 +130,10 @@ class Catalog:
         return lodging.hotel_classify(self.inputs.poi, self.inputs.base_station, self.home)
 
     def visitor_profile(self):
-        # Five features read the stops: they are parsed once, and each reads the columns that it needs.
-        self.fix("stops")
         self.fix("visitor")
-        self.fix("home")
         i, w = self.inputs, self.whole
         return visitors.visitor_profile(
-            self.visitor, self.transport, self.home, self.stops, w.local_record, self.calls,
-            i.scenic_spot, i.poi, i.base_station, self.month,
+            self.visitor, self.stops, w.local_record, self.calls, i.scenic_spot, i.poi, i.base_station, self.month
         )
 
     def home_place_count(self):
@@ -271,8 +267,6 @@ class Catalog:
         return residents.commute_time(self.local_stops, self.inputs.user_home, self.inputs.user_work)
 
     def resident_profile(self):
-        self.fix("local_stops")
-        self.fix("calls")
         i, w = self.inputs, self.whole
         return residents.resident_profile(
             self.calls, i.scenic_spot, w.local_record, self.local_stops, i.user_home, i.user_work
@@ -299,7 +293,6 @@ class Catalog:
         return social.social_circle_calls(self.circles)
 
     def call_features(self):
-        self.fix("calls")
         return social.call_features(self.users, self.calls)
 
     def all_contacts(self):
@@ -361,7 +354,7 @@ class Catalog:
 
     def social_features(self):
         self.fix("users")
-        return social.social_features(self.users, self.calls, self.circles)
+        return social.social_features(self.users, self.calls, self.inputs.user_home, self.inputs.user_work)
 
     def community_detection(self):
         return community.communities(social.undirected_pairs(self.calls))
