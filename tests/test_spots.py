@@ -129,3 +129,31 @@ def test_hot_routes_and_support(table, cells, visitor):
     assert rows(movement.hot_routes(v, people, 3, 5, min_support=0.75)) == []
     assert rows(movement.hot_routes(v, people, 6, 10)) == [("1#2", 1), ("1#2#3", 1), ("1#3", 1), ("2#3", 1)]
     assert movement.hot_routes(v, people, 11, 15).count() == 0
+
+
+def test_bands_share_one_mining(spark, table, cells, visitor):
+    """Random visits with users of two bands: every band as if mined alone, and as counted by loops."""
+    import itertools
+    import random
+    from collections import Counter
+
+    rng = random.Random(21)
+    people, stops = [], []
+    for user in range(40):
+        people += [(user, 301 + i, day(1), day(d), d) for i, d in enumerate(rng.sample([3, 5, 6, 9, 11, 15, 16], rng.randint(1, 2)))]
+        stops += [stop(user, f"{rng.randint(1, 9):02d} {rng.randint(7, 20):02d}:00:00", rng.choice([10, 11, 20, 30])) for _ in range(rng.randint(1, 7))]
+    v, people = visits(table, cells, *stops), table("visitor", people)
+    bands = [(3, 5), (6, 10), (11, 15)]
+    sequences = movement.spot_sequences(v, people, bands)
+    frequent = movement.frequent_routes(sequences, 3, 0.2)
+    found = {(r.band, r.route): r.freq for r in frequent.collect()}
+    expected = {}
+    rows_ = sequences.collect()
+    for i in range(3):
+        own = [r.sequence for r in rows_ if r.bands >> i & 1]
+        counts = Counter("#".join(c) for s in own for k in (2, 3, 4) for c in set(itertools.combinations(s, k)))
+        expected |= {(i, route): n for route, n in counts.items() if n >= 0.2 * len(own)}
+    assert found == expected and len({b for b, _ in found}) == 3
+    for i, band in enumerate(bands):
+        alone = rows(movement.hot_routes(v, people, *band, min_support=0.2))
+        assert rows(movement.best_routes(frequent).filter(f"band = {i}"), "route", "freq") == alone

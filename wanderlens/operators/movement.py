@@ -2,42 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import PrefixSpan
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from wanderlens.constants import ROUTE_SUPPORT
 from wanderlens.operators.spots import visitor_rows
+from wanderlens.sources.stored import stored
 
 ROUTE_LENGTHS = (2, 4)
 ROUTES_PER_LENGTH = 3
 
 
-def spot_sequences(visits: DataFrame, visitors: DataFrame, min_days: int, max_days: int) -> DataFrame:
-    """Distinct spots of each visitor with a stay in the band, in order of first visit."""
+def spot_sequences(visits: DataFrame, visitors: DataFrame, bands: list[tuple[int, int]]) -> DataFrame:
+    """``user_id, bands, sequence``: distinct spots of each visitor in order of first visit.
+
+    ``bands`` has a bit for each band of stay days that the visitor has a stay in; others are left out.
+    """
+    bits = [F.when(F.col("stay_days").between(*band), 1 << i).otherwise(0) for i, band in enumerate(bands)]
+    member = visitors.groupBy("user_id").agg(F.bit_or(sum(bits[1:], bits[0])).alias("bands")).filter("bands <> 0")
     first = visits.groupBy("user_id", "spot").agg(F.min("ts").alias("ts"))
-    band = visitors.filter(F.col("stay_days").between(min_days, max_days)).select("user_id")
     ordered = F.array_sort(F.collect_list(F.struct("ts", "spot")))
-    items = F.transform(ordered, lambda x: F.array(x["spot"].cast("string")))
-    return first.join(band, "user_id", "left_semi").groupBy("user_id").agg(items.alias("sequence"))
+    return first.join(member, "user_id").groupBy("user_id", "bands").agg(
+        F.transform(ordered, lambda x: x["spot"].cast("string")).alias("sequence"))
+
+
+def frequent_routes(sequences: DataFrame, n_bands: int, min_support: float = ROUTE_SUPPORT) -> DataFrame:
+    """``band, length, route, freq``: ordered routes that ``min_support`` of the sequences of a band hold.
+
+    Prefixes grow by one spot a round and carry the rest of their sequence. A round counts them for
+    all bands at once, and only prefixes that are frequent in some band grow on. The
+    sequences and each round's frequent prefixes are stored; the projections are not.
+    """
+    sequences = stored(sequences, "sequences")
+    in_band = [F.col("bands").bitwiseAND(1 << i) != 0 for i in range(n_bands)]
+    sizes = sequences.agg(*[F.count_if(c) for c in in_band]).first()
+    least = [max(1, math.ceil(min_support * n)) for n in sizes]
+    enough = " or ".join(f"n{i} >= {n}" for i, n in enumerate(least))
+    counts = [F.count_if(c).alias(f"n{i}") for i, c in enumerate(in_band)]
+    grown = sequences.select("bands", F.array().cast("array<string>").alias("route"), F.col("sequence").alias("rest"))
+    found = []
+    for length in range(1, ROUTE_LENGTHS[1] + 1):
+        grown = grown.select("bands", "route", "rest", F.posexplode("rest").alias("at", "spot")).select(
+            "bands", F.array_append("route", F.col("spot")).alias("route"),
+            F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"))
+        frequent = stored(grown.groupBy("route").agg(*counts).filter(enough), "routes")
+        found.append(frequent.withColumn("length", F.lit(length)))
+        grown = grown.join(frequent.select("route"), "route", "left_semi")
+    routes = found[1]
+    for longer in found[2:]:
+        routes = routes.unionByName(longer)
+    per_band = F.array(*[
+        F.when(F.col(f"n{i}") >= n, F.struct(F.lit(i).alias("band"), F.col(f"n{i}").alias("freq"))) for i, n in enumerate(least)])
+    return routes.select(F.inline(F.array_compact(per_band)), "length", F.array_join("route", "#").alias("route"))
+
+
+def best_routes(frequent: DataFrame) -> DataFrame:
+    """``band, route, freq`` of the three most frequent routes of each band and length from 2 to 4."""
+    best = W.partitionBy("band", "length").orderBy(F.desc("freq"), "route")
+    return frequent.withColumn("rank", F.row_number().over(best)).filter(
+        F.col("rank") <= ROUTES_PER_LENGTH
+    ).select("band", "route", "freq")
 
 
 def hot_routes(visits: DataFrame, visitors: DataFrame, min_days: int, max_days: int,
                min_support: float = ROUTE_SUPPORT) -> DataFrame:
-    """The three most frequent ordered spot routes of each length from 2 to 4."""
-    shortest, longest = ROUTE_LENGTHS
-    miner = PrefixSpan(minSupport=min_support, maxPatternLength=longest, sequenceCol="sequence")
-    patterns = miner.findFrequentSequentialPatterns(spot_sequences(visits, visitors, min_days, max_days))
-    routes = patterns.select(
-        F.size("sequence").alias("length"),
-        F.array_join(F.flatten("sequence"), "#").alias("route"),
-        "freq",
-    ).filter(F.col("length") >= shortest)
-    best = W.partitionBy("length").orderBy(F.desc("freq"), "route")
-    return routes.withColumn("rank", F.row_number().over(best)).filter(
-        F.col("rank") <= ROUTES_PER_LENGTH
-    ).select("route", "freq")
+    """The most frequent routes of one band of stay days: ``route, freq``."""
+    sequences = spot_sequences(visits, visitors, [(min_days, max_days)])
+    return best_routes(frequent_routes(sequences, 1, min_support)).select("route", "freq")
 
 
 def migration_day(spot_stops: DataFrame, visitors: DataFrame, include_self: bool = True) -> DataFrame:

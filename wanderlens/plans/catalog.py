@@ -189,8 +189,14 @@ class Catalog:
 
     # --- movement ---
 
+    @cached_property
+    def routes_of_bands(self) -> DataFrame:
+        """The three bands of stay days share one mining."""
+        sequences = movement.spot_sequences(self.visits, self.visitor, list(ROUTE_BANDS.values()))
+        return movement.best_routes(movement.frequent_routes(sequences, len(ROUTE_BANDS)))
+
     def _hot_routes(self, band: str):
-        return movement.hot_routes(self.visits, self.visitor, *ROUTE_BANDS[band])
+        return self.routes_of_bands.filter(F.col("band") == list(ROUTE_BANDS).index(band)).select("route", "freq")
 
     def hot_routes_short(self):
         return self._hot_routes("short")

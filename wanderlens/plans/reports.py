@@ -38,6 +38,7 @@ def run_report(kind: str, catalog: Catalog, out: str, province: str, month: str,
             folders.append(write_result(catalog.fix(shared), out, name, province, month, fmt))
         catalog.fix("visits")
         catalog.fix("migration")
+        catalog.fix("routes_of_bands")
     for name in RESULTS[kind]:
         folders.append(write_result(getattr(catalog, name)(), out, name, province, month, fmt))
     return folders
