@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 
 from conftest import at, day, rows
 from wanderlens.plans.catalog import Catalog
-from wanderlens.plans.reports import RESULTS, TOURIST_BASE, run_report
+from wanderlens.plans.reports import RESULTS, TOURIST_BASE, run_report, run_reports
 from wanderlens.operators import lodging
 from wanderlens.sources import readers
 from wanderlens.sources.derived import DerivedInputs
-from wanderlens.sources.readers import RAW_PATHS, ParquetInputs, RawInputs
+from wanderlens.sources.readers import RAW_PATHS, ParquetInputs, RawInputs, import_raw
 from wanderlens.sources.schemas import TABLES
+from wanderlens.sources.writers import in_partitions
 
 MONTH, PROVINCE = "202401", "HaiNan"
 
@@ -102,7 +103,7 @@ def test_poi(spark, tmp_path):
     assert frame.select("poi_id").distinct().count() == 3
 
 
-def write_text(derived, root):
+def write_text(derived, root, province=PROVINCE, month=MONTH):
     """The derived tables in the raw text layouts."""
     stamp = "date_format(ts, 'yyyyMMddHHmmss')"
     known = "coalesce(cast(lng as string), 'None'), coalesce(cast(lat as string), 'None')"
@@ -119,8 +120,8 @@ def write_text(derived, root):
         "poi": "concat_ws('|', concat(poi_id, ' ', name), 'x', lat, lng, 'a|b|c', tags, price, 'd|1|2|3|4|5|6|7|8')",
     }
     for name, line in text.items():
-        path = f"{root}/{RAW_PATHS[name].format(province=PROVINCE, month=MONTH)}"
-        getattr(derived, name).select(F.expr(line)).write.text(path)
+        path = f"{root}/{RAW_PATHS[name].format(province=province, month=month)}"
+        getattr(derived, name).select(F.expr(line)).write.mode("overwrite").text(path)
 
 
 class TextCells:
@@ -197,3 +198,45 @@ def test_stored_tables_are_dropped_by_their_paths(spark):
     assert spark.read.parquet(kept).count() == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
         spark.read.parquet(frame.inputFiles()[0]).count()
+
+
+def test_many_provinces_and_months_in_one_run(spark, derived, tmp_path):
+    """Raw text of two provinces and two months goes to typed partitions, and the report of all to one table."""
+    raw, lake, out = (str(tmp_path / d) for d in ("raw", "lake", "out"))
+    shares = {("HaiNan", "202401"): "true", ("HaiNan", "202402"): "false", ("GuangDong", "202401"): "user_id < 'u5'", ("GuangDong", "202402"): "false"}
+    for (province, month), share in shares.items():
+        some = {n: getattr(derived, n) for n in RAW_PATHS}
+        some = {n: t.filter(share) if "user_id" in t.columns else t for n, t in some.items()}
+        write_text(type("Part", (), some), raw, province, month)
+    provinces, months = ["HaiNan", "GuangDong"], ["202401", "202402"]
+    folders = import_raw(spark, raw, lake, provinces, months)
+    assert len(folders) == len(set(folders)) == 7 * 4 + 3 * 2
+    for province in provinces:
+        inputs = ParquetInputs(spark, lake, province, "202401")
+        for name in RAW_PATHS:
+            if name != "poi":
+                text = getattr(RawInputs(spark, raw, province, "202401"), name)
+                assert comparable(getattr(inputs, name).select(text.columns)) == comparable(text), name
+    # A second import of one month leaves the others alone, and an empty one replaces what was there.
+    before = spark.read.parquet(f"{lake}/local_stop").count()
+    empty = spark.createDataFrame([], "value string")
+    empty.write.mode("overwrite").text(f"{raw}/{RAW_PATHS['local_stop'].format(province='GuangDong', month='202401')}")
+    import_raw(spark, raw, lake, ["GuangDong"], ["202401"])
+    assert ParquetInputs(spark, lake, "GuangDong", "202401").local_stop.count() == 0
+    assert spark.read.parquet(f"{lake}/local_stop").count() == ParquetInputs(spark, lake, "HaiNan", "202401").local_stop.count() < before
+    catalogs = {(p, m): Catalog(ParquetInputs(spark, lake, p, m), m) for p in provinces for m in months}
+    folders = run_reports("routes", catalogs, out)
+    assert len(folders) == 4
+    whole = spark.read.parquet(f"{out}/representative_route")
+    own = catalogs["HaiNan", "202401"].representative_route()
+    assert comparable(whole.filter("province = 'HaiNan' and month = 202401").drop("province", "month")) == comparable(own)
+    assert whole.select("province", "month").distinct().count() == 1
+    assert all(spark.read.parquet(f).columns == own.columns for f in folders)
+
+
+def test_a_filter_on_partitions_leaves_one_part_in_the_plan(spark, derived):
+    parts = {(p, m): derived.user_home for p in ("A", "B") for m in ("202401", "202402")}
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+    table = in_partitions(parts, ["province", "month"])
+    assert scans(table) == 4 * scans(derived.user_home)
+    assert scans(table.filter("province = 'B' and month = '202402'")) == scans(derived.user_home)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from wanderlens.sources.schemas import TABLES, VISITOR
+from wanderlens.sources.writers import PARTITION, write_partitions
 
 # The field order of each raw layout. Fields that no operator uses are plain strings.
 RAW_LAYOUTS = {
@@ -189,3 +190,22 @@ class ParquetInputs:
             if key in table.columns:
                 table = table.filter(F.col(key).cast("string") == value).drop(key)
         return table
+
+
+def raw_table(spark: SparkSession, root: str, name: str, provinces: list[str], months: list[str]) -> dict[tuple, DataFrame]:
+    """One raw input of several provinces and months, by (province, month), or by province where it has no months."""
+    by_month = "{month}" in RAW_PATHS[name]
+    keys = [(p, m) for p in provinces for m in months] if by_month else [(p,) for p in provinces]
+    return {key: getattr(RawInputs(spark, root, key[0], key[-1]), name) for key in keys}
+
+
+def import_raw(spark: SparkSession, root: str, out: str, provinces: list[str], months: list[str]) -> list[str]:
+    """Store the raw text of several provinces and months as typed Parquet tables that ``ParquetInputs`` reads.
+
+    Each table is one job; partitions of other provinces and months stay as they are.
+    """
+    folders = []
+    for name in RAW_PATHS:
+        parts = raw_table(spark, root, name, provinces, months)
+        folders += write_partitions(parts, out, name, keys=PARTITION[: len(next(iter(parts)))])
+    return folders
