@@ -7,14 +7,15 @@ occurrences, its largest entry tells whether an extension subsumes the prefix, a
 stripe of ``w q`` tells the same of ``q`` and the word that follows. All results are read from the
 merged stripes.
 
-Tasks build stripes over whole texts in three passes: the empty prefix (words), prefixes of one
-word (pairs), and prefixes of two words and more. From the second pass on, a word or pair that
-occurs less than ``min_count`` times starts or extends no stripe of its own, as no phrase with it
-can be frequent. Tasks know the frequent ones by a Bloom filter of at most ``MOST_BITS`` bits, sent
-to each executor. Its false positives are counted like the others and fall out by their exact
-counts; when it is full it only prunes less. The stripes of a task are shuffled by prefix and merged
-elementwise. A prefix with more than one of ``HOT`` words of the table has its stripe split into
-``SPREAD`` parts by the next word, and so has the empty one.
+Tasks build stripes over whole texts in four passes: the empty prefix (words), prefixes of one word
+(pairs), of two (triples), and of three and more. A word, pair or triple that occurs less than
+``min_count`` times starts or extends no stripe of a later pass, as no phrase with it can be frequent.
+Tasks know the frequent ones by a Bloom filter of at most ``MOST_BITS`` bits, sent to each executor.
+Its false positives are counted like the others and fall out by their exact counts; when it is full it
+only prunes less. The stripes of a task are packed as text, bundled in buckets by prefix (a few for
+each shuffle partition), shuffled by bucket and merged elementwise. A prefix whose first words are more
+than one in ``HOT`` of the table has its stripe split into ``SPREAD`` parts by the next word, each in a
+bucket of its own, and so has the empty one.
 
 Defined cases: a null text is an empty one, a null language is ``und``; repeated rows count each; an
 empty table or one without frequent phrases gives an empty result; ties are ordered by the phrase's
@@ -46,11 +47,14 @@ SHARE = 100
 HOT = 1000
 SPREAD = 256
 MOST_BITS = 1 << 28
-FLUSH = 3_000_000
-VOCABULARY = 600_000
+PER_TASK = 4
+FLUSH = 2_000_000
+VOCABULARY = 400_000
 SLICE = 1 << 22
 
-STRIPE = "lang string, words int, prefix string, part int, next array<string>, n array<long>"
+#: The stripes of a bucket: their prefixes, and of all their entries the stripe's number, next word and
+#: count, each joined by blanks. An empty word stands for all that is not told apart.
+BUNDLE = "lang string, words int, bucket int, prefix array<string>, stripe string, next string, n string"
 #: Upper case, separators of pieces (to the full stop), tab (to blank).
 _TABLE = bytes.maketrans(
     bytes(range(65, 91)) + b",;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + b"." * 9 + b" ")
@@ -86,9 +90,6 @@ class Filter:
         mask = np.uint64(size - 1)
         return [h & mask, (h >> np.uint64(32)) & mask, (_mixed(h) >> np.uint64(20)) & mask]
 
-    def __contains__(self, h: int) -> bool:
-        return bool(self.holds(np.array([h], np.uint64))[0])
-
     def holds(self, h: np.ndarray) -> np.ndarray:
         found = np.ones(len(h), bool)
         for at in self.places(h, 64 * len(self.bits)):
@@ -124,73 +125,89 @@ class Words(dict):
         return found
 
 
-def _rows(words: Words, a: np.ndarray, size: int, code: np.ndarray, first: np.ndarray, n: np.ndarray, apart: np.ndarray | None):
-    """Stripes from sorted ``code`` (prefix times the vocabulary plus next word), the place of each, and counts."""
-    width = len(words.names)
+def _bundles(
+    words: Words, terms: np.ndarray, code: np.ndarray, n: np.ndarray, apart: np.ndarray, buckets: int,
+) -> pa.RecordBatch:
+    """Stripes from ``code`` (row of ``terms`` times the vocabulary, plus next word) and counts, a row for each bucket."""
+    width, size = len(words.names), terms.shape[1]
+    hashes = np.array(words.hashes, np.uint64)
     prefix, after = code // width, (code % width).astype(np.int64)
-    part = np.zeros(len(code), np.int64)
-    if apart is not None:
-        hashes = np.array(words.hashes, np.uint64)
-        part = np.where(apart, (hashes[after] >> np.uint64(40)) % np.uint64(SPREAD), np.uint64(0)).astype(np.int64)
-        order = np.lexsort((part, prefix))
-        prefix, after, part, first, n = prefix[order], after[order], part[order], first[order], n[order]
-    change = np.flatnonzero((np.diff(prefix) != 0) | (np.diff(part) != 0)) + 1
-    starts = np.concatenate([[0], change]) if len(code) else np.array([], np.int64)
-    names = pa.array(words.names, pa.binary())
-    if size:
-        texts = [names.take(pa.array(a[first[starts] + i])).cast(pa.string()) for i in range(size)]
-        texts = texts[0] if size == 1 else pc.binary_join_element_wise(*texts, " ")
-    else:
-        texts = pa.array([""] * len(starts), pa.string())
-    following = names.cast(pa.string()).take(pa.array(after, mask=after == 0))
-    for at in range(0, len(starts), 50_000):
-        to = min(len(starts), at + 50_000)
-        ends = np.append(starts, len(code))[at : to + 1]
-        offsets = pa.array((ends - ends[0]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([
-            pa.array([words.lang] * (to - at), pa.string()), pa.array(np.full(to - at, size, np.int32)), texts[at:to],
-            pa.array(part[starts[at:to]].astype(np.int32)),
-            pa.ListArray.from_arrays(offsets, following[ends[0] : ends[-1]]),
-            pa.ListArray.from_arrays(offsets, pa.array(n[ends[0] : ends[-1]].astype(np.int64)))],
-            ["lang", "words", "prefix", "part", "next", "n"])
-
-
-def _counted(words: Words, a: np.ndarray, known: Filter | None, hot: np.ndarray, sizes: range) -> Iterator[pa.RecordBatch]:
+    own = np.zeros(len(terms), np.uint64)
+    for i in range(size):
+        own = pair_hash(own, hashes[terms[:, i]])
+    part = np.where(apart[prefix], _mixed(hashes[after]) % np.uint64(SPREAD), np.uint64(0))
+    bucket = (pair_hash(own[prefix], part) >> np.uint64(7)) % np.uint64(buckets)
+    order = np.lexsort((part, prefix, bucket))
+    prefix, after, part, bucket, n = (x[order] for x in (prefix, after, part, bucket, n))
+    change = (np.diff(prefix) != 0) | (np.diff(part) != 0) | (np.diff(bucket) != 0)
+    starts = np.flatnonzero(np.append(True, change)) if len(code) else np.array([], np.int64)
+    names = pa.array(words.names, pa.binary()).cast(pa.string())
+    columns = [names.take(pa.array(terms[prefix[starts], i])) for i in range(size)]
+    texts = pc.binary_join_element_wise(*columns, " ") if size > 1 else columns[0] if size else pa.array([""] * len(starts), pa.string())
+    own_bucket = bucket[starts]
+    firsts = np.flatnonzero(np.append(True, np.diff(own_bucket) != 0)) if len(starts) else np.array([], np.int64)
+    # The number of each entry's stripe in its bundle, and where the bundles' entries end.
+    number = np.arange(len(starts)) - np.repeat(firsts, np.diff(np.append(firsts, len(starts))))
+    number = np.repeat(number, np.diff(np.append(starts, len(code))))
+    ends = pa.array(np.append(starts[firsts], len(code)).astype(np.int32))
+    values = pa.array(number).cast(pa.string()), names.take(pa.array(after)), pa.array(n).cast(pa.string())
+    return pa.RecordBatch.from_arrays([
+        pa.array([words.lang] * len(firsts), pa.string()), pa.array(np.full(len(firsts), size, np.int32)),
+        pa.array(own_bucket[firsts].astype(np.int32)),
+        pa.ListArray.from_arrays(pa.array(np.append(firsts, len(starts)).astype(np.int32)), texts),
+        *(pc.binary_join(pa.ListArray.from_arrays(ends, x), " ") for x in values)],
+        ["lang", "words", "bucket", "prefix", "stripe", "next", "n"])
+
+
+def _counted(
+    words: Words, a: np.ndarray, known: Filter | None, hot: np.ndarray, sizes: range, buckets: int,
+) -> Iterator[pa.RecordBatch]:
     """The stripes of the prefixes of ``sizes`` words in ``a``."""
     width = np.int64(len(words.names))
     if sizes[0] == 0:
         code, n = np.unique(a[a > 0].astype(np.int64), return_counts=True)
-        yield from _rows(words, a, 0, code, code, n, np.ones(len(code), bool))
+        yield _bundles(words, np.empty((1, 0), np.int64), code, n, np.array([True]), buckets)
         return
-    hashes = np.array(words.hashes, np.uint64)
-    last = np.append(a, np.int32(0))  # what follows the last word
-    if sizes[0] == 1:
-        frequent = known.holds(hashes)
-        frequent[0] = False
-        at = np.flatnonzero(frequent[a])
-        link = frequent[last]
-        link = link[:-1] & link[1:]
-        rank, hot_at = a[at].astype(np.int64), np.isin(hashes, hot)[a]
+    hashes, start = np.array(words.hashes, np.uint64), sizes[0]
+    # Whether the ``start`` words from each place on are one of the known, within a piece.
+    last = np.append(a, np.zeros(start, np.int32))
+    at = np.flatnonzero(np.logical_and.reduce([last[i : i + len(a)] > 0 for i in range(start)]))
+    if start == 1:
+        passed = known.holds(hashes)[a[at]]
     else:
-        link, pair = np.zeros(len(a), bool), np.zeros(len(a), np.uint64)
-        both = np.flatnonzero((a > 0) & (last[1:] > 0))
-        pair[both] = pair_hash(hashes[a[both]], hashes[last[both + 1]])
-        link[both] = known.holds(pair[both])
-        at = np.flatnonzero(link)
-        rank = np.unique(a[at] * width + last[at + 1], return_inverse=True)[1]
-        hot_at = np.isin(pair, hot)
+        gram = hashes[a[at]]
+        for i in range(1, start):
+            gram = pair_hash(gram, hashes[last[at + i]])
+        passed = known.holds(gram)
+    at = at[passed]
+    link = np.zeros(len(a) + 1, bool)
+    link[at] = True
+    # Each place has the row of its prefix in ``terms``.
+    rank, terms = a[at].astype(np.int64), np.arange(width)[:, None]
+    for i in range(1, start):
+        code, rank = np.unique(rank * width + last[at + i], return_inverse=True)
+        terms = np.column_stack([terms[code // width], code % width])
+    gram = hashes[terms[:, 0]]
+    for i in range(1, start):
+        gram = pair_hash(gram, hashes[terms[:, i]])
+    apart = np.isin(gram, hot)
     for size in sizes:
-        # A prefix that passed lies before a piece's end, so the place after it is within reach.
-        after = np.where(link[at + size - 1], last[at + size], 0)
-        code, first, back, n = np.unique(rank * width + after, return_index=True, return_inverse=True, return_counts=True)
-        apart = hot_at[at[first]]
-        yield from _rows(words, a, size, code, at[first], n, apart if apart.any() else None)
-        at, rank = at[after > 0], back[after > 0]
+        # What follows is told apart if the last words up to it are known too.
+        after = np.where(link[at + size - start + 1], last[at + size], 0)
+        found = rank * width + after
+        code, n = np.unique(found, return_counts=True)
+        yield _bundles(words, terms, code, n, apart, buckets)
+        if size < sizes[-1]:
+            code = code[code % width > 0]
+            at, rank = at[after > 0], np.searchsorted(code, found[after > 0])
+            terms, apart = np.column_stack([terms[code // width], code % width]), apart[code // width]
 
 
 def stripes(docs: DataFrame, known: np.ndarray | None, hot: np.ndarray, sizes: range, text: str, lang: str) -> DataFrame:
     """The stripes that each task has counted, prefixes of ``sizes`` words."""
-    sent = None if known is None else docs.sparkSession.sparkContext.broadcast(known)
+    spark = docs.sparkSession
+    sent = None if known is None else spark.sparkContext.broadcast(known)
+    buckets = PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Words] = {}
@@ -199,12 +216,12 @@ def stripes(docs: DataFrame, known: np.ndarray | None, hot: np.ndarray, sizes: r
 
         def flush() -> Iterator[pa.RecordBatch]:
             for name in list(held):
-                yield from _counted(words[name], np.concatenate(held.pop(name)), keep, hot, sizes)
+                yield from _counted(words[name], np.concatenate(held.pop(name)), keep, hot, sizes, buckets)
                 if len(words[name]) > VOCABULARY:
                     del words[name]
 
         waiting = 0
-        for batch in batches:
+        for batch in (batch.slice(at, 500) for batch in batches for at in range(0, len(batch), 500)):
             texts: dict[str, list[bytes]] = {}
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 texts.setdefault(name, []).append(body)
@@ -219,38 +236,42 @@ def stripes(docs: DataFrame, known: np.ndarray | None, hot: np.ndarray, sizes: r
 
     rows = docs.where(docs[text].isNotNull()).select(
         F.coalesce(docs[lang], F.lit("und")).alias("lang"), docs[text].cast("binary").alias("text"))
-    return rows.mapInArrow(count, STRIPE)
+    return rows.mapInArrow(count, BUNDLE)
 
 
 def merged(parts: DataFrame, min_count: int) -> DataFrame:
     """Stripes merged elementwise: ``lang, words, prefix, next, n``; rare words are one entry without a ``next``.
 
-    The stripes are shuffled once; their entries are summed where their prefix is.
+    The stripes are shuffled once; their entries are summed where their bucket is.
     """
-    stripe = ["lang", "words", "prefix", "part"]
-    entries = parts.repartition(*stripe).select(*stripe, F.inline(F.arrays_zip("next", "n")))
-    sums = entries.groupBy(*stripe, "next").agg(F.sum("n").alias("n"))
+    bucket = ["lang", "words", "bucket"]
+    numbers = lambda c: F.split(c, " ").cast("array<long>")
+    unpacked = F.arrays_zip(numbers("stripe").alias("stripe"), F.split("next", " ").alias("next"), numbers("n").alias("n"))
+    entries = parts.repartition(*bucket).select(*bucket, F.col("prefix").alias("all"), F.inline(unpacked)).select(
+        *bucket, F.element_at("all", F.col("stripe").cast("int") + 1).alias("prefix"), "next", "n")
+    sums = entries.groupBy(*bucket, "prefix", "next").agg(F.sum("n").alias("n")).withColumn("next", F.expr("nullif(next, '')"))
     rare = F.when(F.col("n") >= min_count, F.col("next"))
-    return sums.withColumn("next", rare).groupBy(*stripe, "next").agg(F.sum("n").alias("n")).drop("part")
+    return sums.withColumn("next", rare).groupBy(*bucket, "prefix", "next").agg(F.sum("n").alias("n")).drop("bucket")
 
 
 def _hashed(frequent: DataFrame) -> DataFrame:
-    """``h, n`` of each frequent word or pair, hashed as the tasks do."""
+    """``h, n`` of each frequent word, pair or triple, hashed as the tasks do."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang, prefix, after, n = (c.to_pylist() for c in batch.columns)
-            h = np.array([word_hash(l, w.encode()) for l, w in zip(lang, after, strict=True)], np.uint64)
-            one = np.array([bool(p) for p in prefix], bool)
-            before = np.array([word_hash(l, p.encode()) for l, p in zip(lang, prefix, strict=True)], np.uint64)
-            h = np.where(one, pair_hash(before, h), h)
+            grams = [f"{p} {w}".split(" ") if p else [w] for p, w in zip(prefix, after, strict=True)]
+            h = np.zeros(len(grams), np.uint64)
+            for i in range(max(map(len, grams), default=0)):
+                own = np.array([word_hash(g, ws[i].encode()) for g, ws in zip(lang, grams, strict=True)], np.uint64)
+                h = pair_hash(h, own) if i else own
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
 
     return frequent.select("lang", "prefix", "next", "n").mapInArrow(run, "h long, n long")
 
 
 def known_and_hot(frequent: DataFrame, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The filter of the frequent words or pairs, and the hashes of the hot ones (at most ``HOT``)."""
+    """The filter of the frequent words, pairs or triples, and the hashes of the hot ones (at most ``HOT``)."""
     hashed = stored(_hashed(frequent), "hashes")
     size = Filter.size(max(1, hashed.count()))
 
@@ -277,11 +298,11 @@ def all_stripes(
     words = stored(merged(stripes(docs, None, none, range(0, 1), text, lang), min_count), "stripes")
     n_words = words.agg(F.sum("n")).first()[0] or 0
     found = words
-    for sizes in (range(1, min(2, max_words)), range(2, max_words)):
+    for sizes in (range(1, min(2, max_words)), range(2, min(3, max_words)), range(3, max_words)):
         if sizes:
-            frequent = (words if sizes[0] == 1 else found.where("words = 1")).where("next is not null")
-            known, hot = known_and_hot(frequent, n_words)
-            found = found.unionByName(stored(merged(stripes(docs, known, hot, sizes, text, lang), min_count), "stripes"))
+            known, hot = known_and_hot(words.where("next is not null"), n_words)
+            words = stored(merged(stripes(docs, known, hot, sizes, text, lang), min_count), "stripes")
+            found = found.unionByName(words)
     return found
 
 
