@@ -246,6 +246,25 @@ def test_pipeline_keeps_documents_until_it_packs_them(spark, docs):
     assert Counter(r.doc_id for r in placed.where("piece = 0").collect()) == Counter(r.doc_id for r in frame.collect())
 
 
+def test_pipeline_carries_columns_with_clashing_names(spark, docs):
+    """Extra columns named as the operators' own come through all stages that return documents."""
+    names = ["_key", "_print", "_lang", "key", "lines", "label", "n"]
+    frame = docs.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(f"x {c}").alias(c) for c in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, frame, FOLDER)
+        assert kept.dtypes == frame.dtypes
+        frame = corpus_pipeline.stored(kept)
+        assert frame.count() > 0 and frame.where(" or ".join(f"`{c}` <> 'x {c}'" for c in names)).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, FOLDER).count() >= frame.count()
+
+
+def test_pipeline_of_nothing(spark, no_docs):
+    frame = no_docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in corpus_pipeline.STAGES:
+        frame = corpus_pipeline.stored(stage(spark, frame, FOLDER))
+        assert frame.count() == 0
+
+
 def test_every_operator_is_registered():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 1 + len(QUERIES))]
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from wanderlens.llm.components import components
 from wanderlens.llm.shingles import parts, shingle_sets
+from wanderlens.llm.text import unused
 from wanderlens.sources.stored import stored
 
 #: Documents packed together, at most; documents to a bucket; keys sent to every task, at most.
@@ -299,12 +300,12 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
 def one_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents with their columns, one of each component: that of its name."""
-    joined = join(docs, text, key)
-    gone = joined.where("key <> component_id").select(F.col("key").alias("_key")).distinct()
-    kept = docs.join(gone, docs[key] == F.col("_key"), "left_anti")
+    joined, name = join(docs, text, key), unused(docs, "_key")
+    gone = joined.where("key <> component_id").select(F.col("key").alias(name)).distinct()
+    kept = docs.join(gone, docs[key] == F.col(name), "left_anti")
     linked = (F.col("n_shingles") > 0) & F.col("key").isNotNull()
-    heads = joined.where(linked).groupBy(F.col("key").alias("_key")).count().where("count > 1").select("_key")
+    heads = joined.where(linked).groupBy(F.col("key").alias(name)).count().where("count > 1").select(name)
     if heads.isEmpty():
         return kept
-    repeated = kept.join(heads, kept[key] == F.col("_key"), "left_semi").dropDuplicates([key])
-    return kept.join(heads, kept[key] == F.col("_key"), "left_anti").unionByName(repeated)
+    repeated = kept.join(heads, kept[key] == F.col(name), "left_semi").dropDuplicates([key])
+    return kept.join(heads, kept[key] == F.col(name), "left_anti").unionByName(repeated)

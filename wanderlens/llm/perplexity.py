@@ -37,6 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wanderlens.llm.text import unused
 from wanderlens.sources.stored import stored
 
 ORDER = 4
@@ -389,7 +390,8 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
 def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """The documents that are kept, with their columns."""
+    name, print_, of = (unused(docs, c) for c in ("_key", "_print", "_lang"))
     rejected = judge(docs, text, lang, key).where("not kept").select(
-        F.col("key").alias("_key"), F.col("print").alias("_print"), F.col("lang").alias("_lang")).distinct()
-    same = docs[key].eqNullSafe(F.col("_key")) & (F.xxhash64(docs[text]) == F.col("_print")) & docs[lang].eqNullSafe(F.col("_lang"))
+        F.col("key").alias(name), F.col("print").alias(print_), F.col("lang").alias(of)).distinct()
+    same = docs[key].eqNullSafe(F.col(name)) & (F.xxhash64(docs[text]) == F.col(print_)) & docs[lang].eqNullSafe(F.col(of))
     return docs.join(rejected, same, "left_anti")

@@ -31,3 +31,11 @@ def first_rows(rows: DataFrame, eligible: DataFrame, order: str, text: str, n: i
     """
     chosen = F.broadcast(eligible.select(order).orderBy(order).limit(n).distinct())
     return rows.join(chosen, order, "left_semi").orderBy(order, text).limit(n)
+
+
+def unused(frame: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as it takes to differ from all columns of ``frame``."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
