@@ -178,17 +178,25 @@ def test_two_pieces_replace_the_smallest():
 def test_ids_equal_the_tokenizer():
     encode = packing.WordIds(VOCABULARY)
     plain = Tokenizer.from_file(VOCABULARY)
-    plain.encode_special_tokens = True
-    odd = ["don't stop", "a\u00a0b\u2003c\x1cd\x85e", "e\u0301 \u212b ΑΣ ΣΑΣ İI ß", "x<|endoftext|>y <|startoftext|>", "1234 ½ ² ٣ a_b-c...!!", "\U0001f600\U0001f468\u200d\U0001f469 中文", "it'S we'LL 's", "\ufeffx\u200by\u180ez"]
+    odd = ["ab\x00cd", "a\x7fb \x01", "x<|ENDOFTEXT|>", "<|endoftext|><|endoftext|>", "ΑΣ. ΣΣ", "don't stop", "a\u00a0b\u2003c\x1cd\x85e", "e\u0301 \u212b ΑΣ ΣΑΣ İI ß", "x<|endoftext|>y <|startoftext|>", "1234 ½ ² ٣ a_b-c...!!", "\U0001f600\U0001f468\u200d\U0001f469 中文", "it'S we'LL 's", "\ufeffx\u200by\u180ez"]
     for text in odd + [r[1] or "" for r in corpus()]:
         assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_every_character_equal_the_tokenizer(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 5000)  # words are forgotten and met again
+    encode, plain = packing.WordIds(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    codes = [c for c in (*range(0x30000), *range(0xE0000, 0xE0200)) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(codes), 5000):
+        texts = [f"ab{chr(c)}cd {chr(c)} x{chr(c)}{chr(c)}9" for c in codes[at : at + 5000]]
+        for text, found in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(encode(text), "<u4").tolist() == found.ids, hex(ord(text[2]))
+
+
 @pytest.mark.parametrize("capacity", [64, 4096])
 def test_pack_places_all_pieces(docs, capacity):
     rows = packing.pack(docs, VOCABULARY, capacity=capacity, keep_ids=True).toPandas()
     plain = Tokenizer.from_file(VOCABULARY)
-    plain.encode_special_tokens = True
     expected = Counter()
     for r in corpus():
         ids = np.array([*plain.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4")

@@ -8,19 +8,22 @@ fit the widened gap more tightly, where there are such. A group leaves one or tw
 partly filled, out of thousands.
 
 Texts are read once, in place, and never shuffled: each Python worker keeps the ids of the words it
-has met, at most ``CACHE`` of them, which saves most of the merging work and changes no id.
+has met lately, in this task or an earlier one, about twice ``CACHE`` of them, which saves most of the merging work and changes no id.
 
 Defined cases: a null text is an empty one, a sequence of the end token alone; repeated rows are
-packed each; ties between equal lengths fall as they come; an empty table gives an empty result;
-other columns are ignored.
+packed each; control characters and special tokens in a text are what the library makes of them; ties
+between equal lengths fall as they come; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -41,51 +44,87 @@ class WordIds:
     """Ids of whole texts, put together from the ids of their words.
 
     For vocabularies that fold case and drop white space: no token crosses white space there, so a
-    text's ids are those of its words. Texts with rare control characters, or for a tokenizer of
-    another make, go to the library as they are.
+    text's ids are those of its words. Unseen words are cut into the pieces that the library cuts them
+    into, and its model merges those. Texts with special tokens, with characters that are not
+    assigned or may count as white space, or for a tokenizer of another make, go to the library as they are.
+    Words that were not met for ``CACHE`` others are forgotten.
     """
 
     #: Fixed value: how this vocabulary's file splits a word.
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    #: Characters that Python and the tokenizer may not both take for white space.
-    ODD = regex.compile(r"[\x1c-\x1f\u180e\u200b-\u200d\u2060\ufeff]")
+    #: Not assigned yet to the one library, maybe so to the other.
+    UNASSIGNED = regex.compile(r"\p{Cn}")
+    #: Characters that only Python takes for white space.
+    SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+    #: The letters that byte-level vocabularies write for bytes that do not print, in order of the bytes.
+    LETTERS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.by_word: dict[str, bytes] = {}
-        self.by_piece: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.plain = "NFC" in str(self.tokenizer.normalizer) and "Lowercase" in str(self.tokenizer.normalizer)
 
+    def _pieces(self, word: str) -> list[str]:
+        if word.isalpha():
+            return [word]
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return self.SPLIT.findall(word)
+
     def _piece(self, piece: str) -> bytes:
-        found = self.by_piece.get(piece)
+        found = self.known.get(piece) or self.before.get(piece)
         if found is None:
-            letters = piece if piece.isascii() else "".join(p for p, _ in self.bytes_of.pre_tokenize_str(piece))
-            found = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-            if len(self.by_piece) >= CACHE:
-                self.by_piece.clear()
-            self.by_piece[piece] = found
+            letters = piece.encode().decode("latin-1").translate(self.LETTERS)
+            found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         return found
 
-    def _word(self, word: str) -> bytes:
-        found = b"".join(map(self._piece, self.SPLIT.findall(word)))
-        if len(self.by_word) >= CACHE:
-            self.by_word.clear()
-        self.by_word[word] = found
-        return found
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of words that are not known; those that only the library can judge are left out."""
+        known, before = self.known, self.before
+        for word in words:
+            found = before.get(word)
+            if found is None:
+                if word.isascii():
+                    folded = word.lower()
+                elif word.isprintable() and not self.UNASSIGNED.search(word):
+                    folded = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+                else:
+                    continue
+                parts = self._pieces(folded)
+                found = known[parts[0]] = self._piece(parts[0])  # mostly the word without its mark
+                if len(parts) > 1:
+                    found = b"".join([found, *map(self._piece, parts[1:])])
+            known[word] = found
 
     def __call__(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit numbers."""
-        if not self.plain or self.ODD.search(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return np.array(ids, "<u4").tobytes()
-        known = self.by_word.get
-        folded = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return b"".join([known(w) or self._word(w) for w in folded.split()])
+        if not self.plain or any(c in text for c in self.SEPARATORS) or any(t in text for t in self.special):
+            return self._by_library(text)
+        if len(self.known) > CACHE:
+            self.before, self.known = self.known, {}
+        words = text.split()
+        ids = [*map(self.known.get, words)]
+        if None in ids:
+            self._learn({w for w, found in zip(words, ids, strict=True) if found is None})
+            ids = [*map(self.known.get, words)]
+        return self._by_library(text) if None in ids else b"".join(ids)
+
+    def _by_library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def encoder(path: str) -> WordIds:
+    """The worker's encoder. A Python worker serves many tasks, and the words of one are known to the next."""
+    held = sys.modules.setdefault("_word_ids_of_this_worker", ModuleType("_word_ids_of_this_worker"))
+    if path not in vars(held):
+        vars(held)[path] = WordIds(path)
+    return vars(held)[path]
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +202,7 @@ def pieces(
     """``key, piece, start, length, ids_crc32, lot`` and, if asked, the ``ids``, for each piece of each document."""
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, task, number = WordIds(tokenizer), TaskContext.get().partitionId(), 0
+        encode, task, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             for at in range(0, len(batch), 500):
