@@ -56,15 +56,28 @@ def plain_join(rows):
     return {k: (len(s), forest.find(k)) for k, s in sets.items()}
 
 
+def plain_links(rows):
+    """For each key the number of other rows that it links with, copies included."""
+    sets = [(r[0], plain_set(r[1])) for r in rows if r[0] is not None]
+    linked = Counter()
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                linked.update((a, b))
+    copies = Counter(k for k, _ in sets)
+    return {k: linked[k] // copies[k] for k in copies}
+
+
 def check_join(spark, rows, parts=4):
     found = jaccard.join(spark.createDataFrame(rows, DOCS).repartition(parts)).collect()
-    expected = plain_join(rows)
+    expected, links = plain_join(rows), plain_links(rows)
     assert Counter(r.key for r in found) == Counter(r[0] for r in rows)
     for r in found:
         if r.key is None:
-            assert r.component_id is None
+            assert r.component_id is None and r.n_links == 0
         else:
             assert (r.n_shingles, r.component_id) == expected[r.key]
+            assert r.n_links == links[r.key]
 
 
 def test_shingles_are_distinct_word_windows():
@@ -90,6 +103,16 @@ def test_join_of_odd_rows(spark):
     check_join(spark, corpus())
 
 
+def test_links_of_a_large_component_are_counted_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "SHINGLES", 900)
+    rng, base = random.Random(15), prose(700, 150, 5000)
+    rows = [(i, near(base, 7000 + i, rng.randint(0, 5)), "en", "a", 0, *"xk9rln") for i in range(50)]
+    rows += [(100 + i, rows[i % 4][1], "en", "a", 0, *"xk9rln") for i in range(9)]
+    rows += [(200 + i, prose(800 + i // 3, 40, 5000), "en", "a", 0, *"xk9rln") for i in range(12)]
+    check_join(spark, rows, 3)
+
+
 def test_join_of_copies_near_copies_and_shared_passages(spark):
     rng = random.Random(5)
     rows, base = [], prose(500, 260, 5000)

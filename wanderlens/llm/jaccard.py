@@ -15,6 +15,9 @@
    different components. Classes that such lists connect are compared in blocks, those outside the
    largest component with all others, by products of 0/1 matrices: blocks return links, not pairs.
    So thousands of near copies cost one pair each, and no link between components is missed.
+5. All links lie within components. There every class is compared with every other in blocks of
+   at most ``BLOCK`` classes, again by matrices: a block returns for each class how many documents it links
+   with, not the pairs. Components of one block share tasks, larger ones are spread over their pairs of blocks.
 
 Hashes have 64 bits. Nothing that grows with the documents is broadcast or collected but the keys of
 documents that pass the filter, if there are at most ``SENT`` of them; else they are joined.
@@ -48,6 +51,8 @@ SALT = 8
 #: Classes in a block of comparisons, and columns of its matrices.
 BLOCK = 512
 COLUMNS = 8192
+#: Shingles in a block or task that counts links, about.
+SHINGLES = 1 << 21
 
 
 def _press(numbers: np.ndarray) -> bytes:
@@ -190,29 +195,38 @@ def _labels(ids: DataFrame, links: DataFrame) -> DataFrame:
         "id", F.coalesce("label", "id").alias("label"))
 
 
-def _linked(minor: list, others: list) -> list[tuple[int, int]]:
-    """Links between classes of different labels, one for each of ``minor`` and label of the others.
+def _links(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which sets of the one list link with which of the other.
 
-    Both hold (id, n, label, shingles). Overlaps are products of 0/1 matrices over shared shingles.
+    Overlaps are products of 0/1 matrices over the shingles that both lists hold.
     """
-    vocabulary = np.intersect1d(np.concatenate([x[3] for x in minor]), np.concatenate([x[3] for x in others]))
-    both = np.zeros((len(minor), len(others)), np.float32)
+    vocabulary = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    both = np.zeros((len(left), len(right)), np.float32)
     for at in range(0, len(vocabulary), COLUMNS):
         part = vocabulary[at : at + COLUMNS]
 
-        def matrix(rows: list) -> np.ndarray:
-            found = np.zeros((len(rows), len(part)), np.float32)
-            for i, row in enumerate(rows):
-                place = np.minimum(np.searchsorted(part, row[3]), len(part) - 1)
-                found[i, place[part[place] == row[3]]] = 1
+        def matrix(sets: list[np.ndarray]) -> np.ndarray:
+            found = np.zeros((len(sets), len(part)), np.float32)
+            for i, own in enumerate(sets):
+                place = np.minimum(np.searchsorted(part, own), len(part) - 1)
+                found[i, place[part[place] == own]] = 1
             return found
 
-        both += matrix(minor) @ matrix(others).T
+        both += matrix(left) @ matrix(right).T
     overlap = both.astype(np.int64)
-    union = np.array([x[1] for x in minor])[:, None] + np.array([x[1] for x in others])[None, :] - overlap
+    union = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :] - overlap
+    return 100 * overlap >= 75 * union
+
+
+def _linked(minor: list, others: list) -> list[tuple[int, int]]:
+    """Links between classes of different labels, one for each of ``minor`` and label of the others.
+
+    Both hold (id, n, label, shingles).
+    """
+    found = _links([x[3] for x in minor], [x[3] for x in others])
     apart = np.array([x[2] for x in minor])[:, None] != np.array([x[2] for x in others])[None, :]
     links = {}
-    for i, j in zip(*np.nonzero((100 * overlap >= 75 * union) & apart), strict=True):
+    for i, j in zip(*np.nonzero(found & apart), strict=True):
         links.setdefault((minor[i][0], others[j][2]), (minor[i][0], others[j][0]))
     return list(links.values())
 
@@ -280,27 +294,72 @@ def link_classes(sets: DataFrame) -> DataFrame:
     return _labels(ids, links.unionByName(more))
 
 
-def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, n_shingles, component_id`` of every document; the key is a whole number."""
+def _count_links(block: pd.DataFrame) -> pd.DataFrame:
+    """For each class the number of documents in classes that it links with, in this pair of blocks."""
+    found = []
+    for _, rows in block.groupby("label"):
+        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        alone = not len(right)  # a block with itself
+        right = left if alone else right
+        if not len(left) or (alone and len(left) < 2):
+            continue
+        links = _links(list(map(np.asarray, left["shingles"])), list(map(np.asarray, right["shingles"])))
+        if alone:
+            np.fill_diagonal(links, False)
+        found.append(pd.DataFrame({"id": left["id"].to_numpy(), "linked": links @ right["m"].to_numpy()}))
+        if not alone:
+            found.append(pd.DataFrame({"id": right["id"].to_numpy(), "linked": links.T @ left["m"].to_numpy()}))
+    return pd.concat(found) if found else pd.DataFrame({"id": [], "linked": []}, dtype="int64")
+
+
+def link_counts(sets: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``id, linked`` of classes that link with others: how many documents (``m`` of a class) those hold."""
+    named = labels.join(classes.select("id", "m"), "id").join(sets.select("id", "n"), "id")
+    sizes = named.groupBy("label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("all")).where("k > 1")
+    blocks = F.ceil(F.greatest(F.col("k") / BLOCK, F.col("all") / SHINGLES)).cast("int")
+    members = stored(named.join(sizes, "label").withColumn("blocks", blocks), "linked")
+    tasks = F.lit(max(1, (members.agg(F.sum("n")).first()[0] or 0) // SHINGLES))
+    own = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+    # A block meets itself and those after it as the left side, those before it as the right one.
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(
+        F.least("own", other).alias("x"), F.greatest("own", other).alias("y"), (other < F.col("own")).cast("int").alias("side")))
+    placed = members.withColumn("own", own).join(sets.select("id", "shingles"), "id").select(
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), tasks)).otherwise(F.col("label")).alias("task"),
+        "blocks", "label", "id", "m", "shingles", F.inline(meets))
+    found = placed.groupBy("task", "blocks", "x", "y").applyInPandas(_count_links, "id long, linked long")
+    return found.groupBy("id").agg(F.sum("linked").alias("linked"))
+
+
+def join(docs: DataFrame, text: str = "text", key: str = "doc_id", count: bool = True) -> DataFrame:
+    """``key, n_shingles, component_id, n_links`` of every document; the key is a whole number.
+
+    ``n_links`` counts the rows that the document links with, copies of it included; it is left out
+    if ``count`` is false.
+    """
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
     prints = stored(fingerprints(rows), "prints")
     can = prints.where((F.col("n") > 0) & F.col("key").isNotNull() & (4 * F.col("shared") >= 3 * F.col("n")))
-    classes = stored(can.groupBy("same").agg(F.min("key").alias("id")), "classes")
+    classes = stored(can.groupBy("same").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("m")), "classes")
     sets = stored(_sets(rows, classes.select("id"), classes.count()), "sets")
-    labels = link_classes(sets).withColumnRenamed("id", "_id")
-    named = classes.join(labels, F.col("id") == F.col("_id"), "left").select(
+    labels = link_classes(sets)
+    counts = link_counts(sets, classes, labels) if count else labels.select("id", F.lit(0).alias("linked"))
+    counts = counts.withColumnRenamed("id", "_linked")
+    named = classes.join(labels.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").join(
+        counts, F.col("id") == F.col("_linked"), "left").select(
         F.col("same").alias("of"), F.coalesce("label", "id").alias("label"),
+        (F.coalesce("linked", F.lit(0)) + F.col("m") - 1).alias("links"),
         F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part"))
     asked = prints.withColumns({
         "set": F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.col("same")),
         "salt": F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int")})
     return asked.join(named, (F.col("set") == F.col("of")) & (F.col("salt") == F.col("part")), "left").select(
-        "key", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "key").alias("component_id"))
+        "key", F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "key").alias("component_id"),
+        *[F.coalesce("links", F.lit(0)).alias("n_links")] * count)
 
 
 def one_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents with their columns, one of each component: that of its name."""
-    joined, name = join(docs, text, key), unused(docs, "_key")
+    joined, name = join(docs, text, key, count=False), unused(docs, "_key")
     gone = joined.where("key <> component_id").select(F.col("key").alias(name)).distinct()
     kept = docs.join(gone, docs[key] == F.col(name), "left_anti")
     linked = (F.col("n_shingles") > 0) & F.col("key").isNotNull()
