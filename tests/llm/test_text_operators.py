@@ -1,6 +1,7 @@
 """Mixing, line dedup, secrets and quality rules against plain versions, on odd and on ordinary rows."""
 
 import random
+import time
 import re
 from collections import Counter
 
@@ -318,3 +319,18 @@ def test_rare_languages_and_small_tables_are_judged(spark):
     small = [(i, prose(i, 150), "en", "a", 0, *"xk9rln") for i in range(12)] + [(200, noise(), "en", "a", 0, *"xk9rln")]
     found = {r.key: r for r in perplexity.judge(spark.createDataFrame(small, DOCS)).collect()}
     assert not found[200].kept and not found[200].base_failed and sum(found[i].kept for i in range(12)) >= 11
+
+
+def test_secrets_of_texts_with_very_many_finds_and_very_long_runs(spark):
+    """Time that grows with the square of a text's finds or of a run's length would not end here."""
+    rng = random.Random(31)
+    hashes = [f"{rng.getrandbits(128):032x}" for _ in range(60_000)]
+    tokens = [f"token={rng.getrandbits(60):015x}" for _ in range(20_000)]
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(1_000_000))
+    frame = spark.createDataFrame([(1, " ".join(hashes)), (2, "é " + "\n".join(tokens)), (3, run)], "doc_id long, text string")
+    start = time.time()
+    got = {r.row.doc_id: r.spans for r in secret_scan.scan(frame.repartition(3, "doc_id"), [0.1] * len(secret_scan.ALPHABET) ** 2, margin=0.05).collect()}
+    assert time.time() - start < 120
+    assert [(s.start, s.end) for s in got[1]] == [(33 * i, 33 * i + 32) for i in range(60_000)]
+    assert [(s.start, s.end) for s in got[2]] == [(2 + 22 * i, 2 + 22 * i + 21) for i in range(20_000)]
+    assert [(s.kind, s.start, s.end) for s in got[3]] == [(3, 0, 1_000_000)]

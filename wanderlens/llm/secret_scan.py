@@ -11,7 +11,8 @@ pair of characters. Scanning is one pass of built-in expressions without a shuff
 
 Defined cases: a null text is an empty one; the order of rows and repeated rows do not matter to a
 row's spans; an empty table, or one without finds to train on, adds no spans; other columns are
-carried along in ``row``. The positions of n finds in one text cost about n * n / 2 copies.
+carried along in ``row``. The positions of a text's finds are running sums, computed in parts of ``PART``; of a
+candidate that begins with a base match only what follows that is looked at.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 SHORTEST = 16
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+ANY_BASE = "|".join(f"(?:{p})" for p in (ASSIGN, ACCESS, HEX))
+#: The third group is a candidate that starts in no match of a base pattern.
+ANY_OR_CANDIDATE = f"{ANY_BASE}|({CANDIDATE})"
+PART = 256
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_-]{7,}"
 SAMPLE = 2000
 PRIOR = 5.0
@@ -40,24 +45,45 @@ MARGIN = 0.5
 SEED = 7
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(numbers: Column) -> Column:
+    """Running sums of an array, ``PART`` numbers at a time.
+
+    Appending to an array copies it, so the sums of a part and the sums before the parts are kept apart:
+    n numbers cost n * PART / 2 + (n / PART) ** 2 / 2 copies.
+    """
+    def sums(start: Column, part: Column) -> Column:
+        state = F.struct(start.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        return F.aggregate(part, state, lambda s, x: F.struct(
+            (s["at"] + x).alias("at"), F.array_append(s["out"], s["at"] + x).alias("out")))["out"]
+
+    def of_parts(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda s, x: s + x))
+        before = _let(sums(F.lit(0), totals), lambda t: F.transform(parts, lambda p, i: F.when(i == 0, 0).otherwise(F.get(t, i - 1))))
+        return _let(before, lambda starts: F.flatten(F.transform(parts, lambda p, i: sums(F.get(starts, i), p))))
+
+    cut = lambda all_: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / PART).cast("int")), lambda i: F.slice(all_, i * PART + 1, F.lit(PART)))
+    return _let(numbers, lambda all_: F.when(F.size(all_) > 0, _let(cut(all_), of_parts)).otherwise(F.expr("cast(array() as array<int>)")))
+
+
 def _matches(text: Column, pattern: str, kind: int, extra: Column | None = None) -> Column:
     """(start, kind, end, match, value) of the leftmost matches that do not overlap, in code points."""
-    pieces = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = extra if extra is not None else whole
     empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,match:string,value:string>>)")
 
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.element_at(pieces, i))
-        found = F.element_at(whole, i)
-        end = start + F.length(found)
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"),
-                       found.alias("match"), F.element_at(value, i).alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(one)).alias("found"))
+    def spans(m: Column) -> Column:
+        widths = F.transform(m["whole"], lambda w, i: F.length(F.get(m["pieces"], i)) + F.length(w))
+        return _let(_running(widths), lambda ends: F.transform(m["whole"], lambda w, i: F.struct(
+            (F.get(ends, i) - F.length(w)).alias("start"), F.lit(kind).alias("kind"), F.get(ends, i).alias("end"),
+            w.alias("match"), F.get(m["value"], i).alias("value"))))
 
-    state = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    steps = F.aggregate(F.sequence(F.lit(1), F.size(whole)), state, step)["found"]
-    return F.when(text.rlike(pattern), steps).otherwise(empty)
+    found = F.struct(F.split(text, pattern, -1).alias("pieces"), whole.alias("whole"), (extra if extra is not None else whole).alias("value"))
+    return F.when(text.rlike(pattern), _let(found, spans)).otherwise(empty)
 
 
 def base_spans(text: Column) -> tuple[Column, Column, Column]:
@@ -93,7 +119,7 @@ def _looks_random(word: Column) -> Column:
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> list[float] | None:
     """Log ratio of the two chains for each pair of characters; None without labelled secrets."""
     plain = docs.select(F.coalesce(docs[text], F.lit("")).alias("t"), seeded_order(docs[key], SEED).alias("o"))
-    any_base = "|".join(f"(?:{p})" for p in (ASSIGN, ACCESS, HEX))
+    any_base = ANY_BASE
     secret = first_rows(plain, plain.where(F.col("t").rlike(any_base)), "o", "t", sample)
     values = secret.select(F.explode(F.concat(*base_spans(F.col("t")))).alias("m")).select(F.col("m.value").alias("s"))
     random = _pair_counts(values)
@@ -109,11 +135,11 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int
 
 def likelihood_ratio(string: Column, ratios: list[float]) -> Column:
     """Mean log-likelihood ratio of the transitions of a string over the alphabet."""
-    table = F.lit(ratios)
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(string, i, F.lit(1)))
-    steps = F.aggregate(
-        F.sequence(F.lit(1), F.length(string) - 1), F.lit(0.0),
-        lambda s, i: s + F.element_at(table, (code(i) - 1) * len(ALPHABET) + code(i + 1)))
+    table, width = F.lit(ratios), len(ALPHABET)
+    codes = F.transform(F.split(string, "", -1), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    # The split ends with an empty string, which is no transition.
+    steps = _let(codes, lambda of: F.aggregate(
+        F.sequence(F.lit(1), F.length(string) - 1), F.lit(0.0), lambda s, i: s + F.get(table, F.get(of, i - 1) * width + F.get(of, i))))
     return steps / (F.length(string) - 1)
 
 
@@ -126,8 +152,10 @@ def scan(docs: DataFrame, ratios: list[float] | None, text: str = "text", margin
     if ratios is None:
         return rows.withColumnRenamed("base", "spans")
     free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    added = F.filter(_matches(body, CANDIDATE, 3), lambda c: (
-        _looks_random(c["match"]) & free(c)
+    # What a base pattern matches is passed over, so that of a list of hashes nothing is left to compare with the finds.
+    runs = _matches(body, ANY_OR_CANDIDATE, 3, F.regexp_extract_all(body, F.lit(ANY_OR_CANDIDATE), F.lit(3)))
+    added = F.filter(runs, lambda c: (
+        _looks_random(c["value"]) & free(c)
         & (likelihood_ratio(c["match"], ratios) > margin)))
     return rows.select("row", F.array_sort(F.concat("base", added)).alias("spans"))
 
