@@ -1,6 +1,7 @@
 """The similarity join, components and packing against plain versions."""
 
 import bisect
+import pathlib
 import random
 import zlib
 from collections import Counter
@@ -206,6 +207,29 @@ def test_ids_equal_the_tokenizer():
         assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_every_token_is_made_by_its_own_merge():
+    """What ``word_merger`` relies on: of each token the tokens before it leave the two parts of its merge."""
+    import json
+
+    spec = json.loads(pathlib.Path(VOCABULARY).read_text())["model"]
+    ranks = spec["vocab"]
+    ids = []
+    for merge in spec["merges"]:
+        first, second = merge.split(" ") if isinstance(merge, str) else merge
+        ids.append(ranks[first + second])
+        whole = first + second
+        body, end = (whole[:-4], "</w>") if whole.endswith("</w>") else (whole, "")
+        parts = [*body[:-1], body[-1] + end]
+        while True:
+            found = [(r, i) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1], ids[-1])) < ids[-1]]
+            if not found:
+                break
+            _, i = min(found)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert parts == [first, second]
+    assert ids == sorted(set(ids)) and ids[0] == 512
+
+
 def test_ids_of_every_character_equal_the_tokenizer(monkeypatch):
     monkeypatch.setattr(packing, "CACHE", 5000)  # words are forgotten and met again
     encode, plain = packing.WordIds(VOCABULARY), Tokenizer.from_file(VOCABULARY)

@@ -22,7 +22,7 @@ import unicodedata
 import zlib
 from array import array
 from bisect import bisect_right, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from types import ModuleType
 
 import numpy as np
@@ -40,12 +40,34 @@ GROUP = 1 << 15
 CACHE = 400_000
 
 
+#: Marks the end of a word; no UTF-8 text holds this byte.
+END_OF_WORD = b"\xff"
+
+
+def word_merger(tokenizer, letters: dict[int, int], special: list[str]) -> Callable[[bytes], list[int]]:
+    """From the bytes of a word and ``END_OF_WORD`` to its ids, by the vocabulary's merges.
+
+    Ids are in the order of the merges, so the pair with the smallest id is merged first, as in the library. Pairs
+    are known by the token they make. That is the same as by their two parts if every token, merged by
+    itself with the tokens before it, ends as the two parts of its own merge; tests check each of them.
+    """
+    import tiktoken
+
+    of_letter = {chr(letter): byte for byte, letter in letters.items()}
+    ranks = {END_OF_WORD: 1 << 30}
+    for token, rank in tokenizer.get_vocab().items():
+        if token not in special:
+            body, end = (token[:-4], END_OF_WORD) if token.endswith("</w>") else (token, b"")
+            ranks[bytes(of_letter.get(c, ord(c)) for c in body) + end] = rank
+    return tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
+
 class WordIds:
     """Ids of whole texts, put together from the ids of their words.
 
     For vocabularies that fold case and drop white space: no token crosses white space there, so a
     text's ids are those of its words. Unseen words are cut into the pieces that the library cuts them
-    into, and its model merges those. Texts with special tokens, with characters that are not
+    into, and those are merged. Texts with special tokens, with characters that are not
     assigned or may count as white space, or for a tokenizer of another make, go to the library as they are.
     Words that were not met for ``CACHE`` others are forgotten.
     """
@@ -64,25 +86,20 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.plain = "NFC" in str(self.tokenizer.normalizer) and "Lowercase" in str(self.tokenizer.normalizer)
+        self.merge = word_merger(self.tokenizer, self.LETTERS, self.special) if self.plain else None
 
     def _pieces(self, word: str) -> list[str]:
-        if word.isalpha():
-            return [word]
         if word[-1] in ".,;:!?" and word[:-1].isalpha():
             return [word[:-1], word[-1]]
         return self.SPLIT.findall(word)
 
     def _piece(self, piece: str) -> bytes:
         found = self.known.get(piece) or self.before.get(piece)
-        if found is None:
-            letters = piece.encode().decode("latin-1").translate(self.LETTERS)
-            found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        return found
+        return array("I", self.merge(piece.encode() + END_OF_WORD)).tobytes() if found is None else found
 
     def _learn(self, words: set[str]) -> None:
         """Remember the ids of words that are not known; those that only the library can judge are left out."""
@@ -96,10 +113,13 @@ class WordIds:
                     folded = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
                 else:
                     continue
-                parts = self._pieces(folded)
-                found = known[parts[0]] = self._piece(parts[0])  # mostly the word without its mark
-                if len(parts) > 1:
-                    found = b"".join([found, *map(self._piece, parts[1:])])
+                if folded.isalpha():
+                    found = self._piece(folded)
+                else:
+                    parts = self._pieces(folded)
+                    found = known[parts[0]] = self._piece(parts[0])  # mostly the word without its mark
+                    if len(parts) > 1:
+                        found = b"".join([found, *map(self._piece, parts[1:])])
             known[word] = found
 
     def __call__(self, text: str) -> bytes:
