@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from wanderlens.operators import spatial
 from wanderlens.operators.spatial import nearest_distance, within_radius
 
 
@@ -54,3 +55,19 @@ def test_nearest_over_several_positions_of_one_key(spark):
     c = spark.createDataFrame([(1, 110.0, 20.0), (1, 112.0, 20.0)], "k int, lng double, lat double")
     p = spark.createDataFrame([(112.0, 20.1), (109.0, 20.0), (None, 20.0)], "lng double, lat double")
     assert nearest_distance(c, p, "k").first()["km"] == pytest.approx(11.1195, abs=1e-3)
+
+
+def test_a_crowded_cube_is_dealt_in_bounded_parts(spark, monkeypatch):
+    """All points in one small place, many of them at one position: no task gets more than a part of them."""
+    monkeypatch.setattr(spatial, "CROWD", 300)
+    rng = random.Random(4)
+    points = [(i, 110 + rng.random() * 1e-3, 20 + rng.random() * 1e-3) for i in range(6000)] + [(i, 110.0, 20.0) for i in range(6000, 9000)]
+    p = spark.createDataFrame(points, "pid int, lng double, lat double")
+    centres = [(1, 110.0, 20.0, 0.08), (2, 110.0005, 20.0005, 2.0), (3, 111.0, 20.0, 1.0)]
+    c = spark.createDataFrame(centres, "cid int, lng double, lat double, radius_km double")
+    dealt, crowded = spatial._dealt(spatial._point_cubes(p).filter("level < 2"))
+    per_part = [r["count"] for r in dealt.groupBy(*spatial.CUBE, "part").count().collect()]
+    assert crowded.count() >= 2 and sum(per_part) == 2 * len(points) and max(per_part) < 2 * 300
+    expected = {(i, j) for i, *a, r in centres for j, *b in points if km(a, b) <= r}
+    found = [(r["cid"], r["pid"]) for r in within_radius(c, p).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected and len(expected) > 12000

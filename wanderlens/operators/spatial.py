@@ -18,6 +18,7 @@ STEP = 4.0  # each level's cubes are this much wider than those of the level bel
 FINEST_KM = 0.25
 LEVELS = list(range(10))  # 0.25 km to 65536 km, which covers the earth
 CUBE = ["level", "ix", "iy", "iz"]
+CROWD = 10_000
 
 
 def _axes(lng: Column, lat: Column) -> dict[str, Column]:
@@ -61,6 +62,19 @@ def _slack(radius: Column) -> Column:
     return radius * (1 + 1e-9) + 1e-6
 
 
+def _dealt(located: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points with a ``part`` of their cube, and the cubes of more than ``CROWD`` points with their number of parts.
+
+    Points are counted per cube on the map side first, so the list of crowded cubes is short: at most one for
+    each ``CROWD`` points and level.
+    """
+    crowded = located.groupBy(*CUBE).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select(
+        *CUBE, F.ceil(F.col("n") / CROWD).cast("int").alias("parts"))
+    columns = [c for c in located.columns if c not in CUBE]
+    part = F.pmod(F.xxhash64(*columns), F.coalesce("parts", F.lit(1))).cast("int")
+    return located.join(crowded, CUBE, "left").withColumn("part", part).drop("parts"), crowded
+
+
 def within_radius(centres: DataFrame, points: DataFrame) -> DataFrame:
     """Pairs of a centre (``lng``, ``lat``, ``radius_km``) and a point within its radius.
 
@@ -73,11 +87,15 @@ def within_radius(centres: DataFrame, points: DataFrame) -> DataFrame:
     # Points are shuffled only at the levels that some centre looks at, at most ten.
     levels = F.broadcast(balls.select("level").distinct())
     located = _point_cubes(points.filter("lng is not null and lat is not null")).join(levels, "level", "left_semi")
+    # A cube that holds many points is dealt in parts of bounded size, each of which meets the balls that touch it.
+    located, crowded = _dealt(located)
+    balls = balls.join(crowded, CUBE, "left").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     located = located.withColumnsRenamed({"lng": "point_lng", "lat": "point_lat"})
     km = distance_km(F.col("lng"), F.col("lat"), F.col("point_lng"), F.col("point_lat"))
     return (
-        balls.join(located, CUBE).withColumn("km", km).filter(F.col("km") <= F.col("radius_km"))
-        .drop(*CUBE, "point_lng", "point_lat")
+        balls.join(located, [*CUBE, "part"]).withColumn("km", km).filter(F.col("km") <= F.col("radius_km"))
+        .drop(*CUBE, "part", "point_lng", "point_lat")
     )
 
 
