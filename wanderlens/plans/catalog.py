@@ -20,7 +20,10 @@ from wanderlens.sources.stored import stored
 
 
 class Catalog:
-    """Shared intermediate tables and the queries over them; everything is lazy."""
+    """Shared intermediate tables and the queries over them.
+
+    Tables are lazy, but a query that uses one several times writes it when the query is asked for.
+    """
 
     def __init__(self, inputs, month: str, whole=None):
         self.inputs, self.month, self.whole = inputs, month, whole or inputs

@@ -8,6 +8,7 @@ that the cluster names in ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,11 +37,29 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> int:
-    """Delete the tables that this process has stored, by their exact paths; for jobs whose results are written."""
+def drop_stored(spark: SparkSession, since: int = 0) -> int:
+    """Delete the tables that this process has stored (after the first ``since``), by their exact paths."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     dropped = 0
-    while _made:
+    while len(_made) > since:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
         dropped += path.getFileSystem(hadoop).delete(path, True)
     return dropped
+
+
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str, since: int | None = None) -> DataFrame:
+    """``make()`` stored, and what was stored on the way to it (or after the first ``since`` tables) deleted.
+
+    The result is read from its own files, so nothing needs the others once it is written.
+    """
+    mark = len(_made) if since is None else since
+    found = stored(make(), name)
+    own = _made.pop()
+    drop_stored(spark, mark)
+    _made.append(own)
+    return found
+
+
+def n_stored() -> int:
+    """How many tables this process has stored and not deleted."""
+    return len(_made)
