@@ -6,11 +6,13 @@ last return documents with their columns; the last returns the placed pieces.
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from wanderlens.llm import jaccard, line_dedup, mixture, packing, perplexity
-from wanderlens.sources.stored import stored
+from wanderlens.sources.stored import n_stored, stored_alone
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces. Of what the stages store only the last documents and the pieces' own table stay."""
+    docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet"), n_stored()
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "stage")
+        docs = stored_alone(spark, partial(stage, spark, docs, sf_dir), "stage", start)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -16,6 +16,7 @@ import corpus_pipeline
 from oracle.compare import connect, differences
 from wanderlens.llm import topk, toxicity, url_filter, warc
 from wanderlens.llm.queries import ORACLE, QUERIES
+from wanderlens.sources.stored import n_stored, stored
 
 FOLDER = "/root/testdata/sf0.01"
 PAGES = "page_id long, url string, html string, key string, host string, row string"
@@ -241,7 +242,7 @@ def test_pipeline_keeps_documents_until_it_packs_them(spark, docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, frame, FOLDER)
         assert kept.dtypes == frame.dtypes
-        frame = corpus_pipeline.stored(kept)
+        frame = stored(kept)
     placed = corpus_pipeline.STAGES[-1][1](spark, frame, FOLDER)
     assert Counter(r.doc_id for r in placed.where("piece = 0").collect()) == Counter(r.doc_id for r in frame.collect())
 
@@ -253,15 +254,21 @@ def test_pipeline_carries_columns_with_clashing_names(spark, docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, frame, FOLDER)
         assert kept.dtypes == frame.dtypes
-        frame = corpus_pipeline.stored(kept)
+        frame = stored(kept)
         assert frame.count() > 0 and frame.where(" or ".join(f"`{c}` <> 'x {c}'" for c in names)).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, frame, FOLDER).count() >= frame.count()
 
 
+def test_pipeline_leaves_two_tables_behind(spark):
+    before = n_stored()
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert n_stored() == before + 2
+
+
 def test_pipeline_of_nothing(spark, no_docs):
     frame = no_docs.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
-        frame = corpus_pipeline.stored(stage(spark, frame, FOLDER))
+        frame = stored(stage(spark, frame, FOLDER))
         assert frame.count() == 0
 
 

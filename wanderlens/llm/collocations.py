@@ -49,7 +49,7 @@ SPREAD = 256
 MOST_BITS = 1 << 28
 PER_TASK = 4
 FLUSH = 2_000_000
-VOCABULARY = 400_000
+VOCABULARY = 200_000
 SLICE = 1 << 22
 
 #: The stripes of a bucket: their prefixes, and of all their entries the stripe's number, next word and
