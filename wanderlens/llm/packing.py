@@ -7,8 +7,8 @@ the longest piece that still fits; then its smallest piece gives way to two unpa
 fit the widened gap more tightly, where there are such. A group leaves one or two sequences
 partly filled, out of thousands.
 
-Texts are read once, in place, and never shuffled: each Python worker keeps the ids of the words it
-has met lately, in this task or an earlier one, about twice ``CACHE`` of them, which saves most of the merging work and changes no id.
+Texts are read once, in place, and never shuffled: each task keeps the ids of the words it has met
+lately, about twice ``CACHE`` of them, which saves most of the merging work and changes no id.
 
 Defined cases: a null text is an empty one, a sequence of the end token alone; repeated rows are
 packed each; control characters and special tokens in a text are what the library makes of them; ties
@@ -17,13 +17,11 @@ between equal lengths fall as they come; an empty table gives an empty result; o
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 import zlib
 from array import array
 from bisect import bisect_right, insort
 from collections.abc import Callable, Iterable, Iterator
-from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -37,7 +35,7 @@ from wanderlens.sources.stored import stored
 CAPACITY = 4096
 END = 1
 GROUP = 1 << 15
-CACHE = 400_000
+CACHE = 200_000
 
 
 #: Marks the end of a word; no UTF-8 text holds this byte.
@@ -139,14 +137,6 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def encoder(path: str) -> WordIds:
-    """The worker's encoder. A Python worker serves many tasks, and the words of one are known to the next."""
-    held = sys.modules.setdefault("_word_ids_of_this_worker", ModuleType("_word_ids_of_this_worker"))
-    if path not in vars(held):
-        vars(held)[path] = WordIds(path)
-    return vars(held)[path]
-
-
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """The sequence of each piece and its place there.
 
@@ -222,7 +212,7 @@ def pieces(
     """``key, piece, start, length, ids_crc32, lot`` and, if asked, the ``ids``, for each piece of each document."""
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, task, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, task, number = WordIds(tokenizer), TaskContext.get().partitionId(), 0
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             for at in range(0, len(batch), 500):
