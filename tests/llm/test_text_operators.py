@@ -11,6 +11,7 @@ from llm_rows import DOCS, corpus, docs, no_docs, prose, words  # noqa: F401
 from pyspark.sql import functions as F
 
 from wanderlens.llm import line_dedup, mixture, perplexity, secret_scan
+from wanderlens.sources.stored import n_stored
 
 
 # --- mixing ---
@@ -258,6 +259,22 @@ def test_model_equals_modified_kneser_ney(spark):
     assert all(np.all(np.diff(keys.astype(object)) > 0) for keys, _, _ in model.orders.values())
 
 
+def test_model_takes_few_statements(spark):
+    """Each statement takes memory of the driver; a step for each order and part of its formula were 18 tables."""
+    texts = [("en", "the cat sat on the mat."), (None, "the cat sat"), ("*", "a dog"), ("-", "zz")]
+    before = n_stored()
+    found = perplexity.train(spark.createDataFrame(texts, "lang string, text string")).toPandas()
+    assert n_stored() - before <= 6
+    # The null language, languages named like the marks inside, and all together are different models.
+    own = {(None if row.lang != row.lang else row.lang, row.pooled) for row in found.itertuples()}
+    assert own == {("en", False), (None, False), ("*", False), ("-", False), (None, True)}
+    p = plain_probability([t for _, t in texts])
+    model = perplexity.Model.of(found[found.pooled])
+    s = perplexity.classes("the mat")
+    want = [np.log(p(tuple(s[i - 3 : i + 1].tolist()))) for i in range(3, len(s))]
+    assert model.log_probability(perplexity.grams(s, perplexity.ORDER)) == pytest.approx(want, abs=1e-4)
+
+
 def test_quality_keeps_prose_and_rejects_noise(spark):
     rows = [(i, prose(i, 150), "en", "a", 0, *"xk9rln") for i in range(120)]
     rng = random.Random(3)

@@ -34,7 +34,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wanderlens.llm.text import unused
@@ -176,16 +176,41 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def _with_discounts(table: DataFrame) -> DataFrame:
-    """``lang, code, n`` with ``cut``, what modified Kneser-Ney takes off a count, by counts of counts."""
+def _of_all_orders(counted: DataFrame) -> DataFrame:
+    """``lang, ord, code, n`` of each language, ``marked``, and of all together, ``POOLED``, from counts of the top order.
+
+    Below the top, ``n`` is the number of distinct characters before an n-gram, which are bits of a long, as there
+    are no more than 64 classes. So one shuffle, combined on the map side, counts all orders.
+    """
+    marked = F.coalesce(F.concat(F.lit(MARK), "lang"), F.lit(UNNAMED))
+    suffixes = F.array(*[F.named_struct(
+        F.lit("ord"), F.lit(k), F.lit("code"), F.col("code") % CLASSES**k,
+        F.lit("before"), (F.expr(f"code div {CLASSES**k}") % CLASSES).cast("int")) for k in range(1, ORDER + 1)])
+    rows = counted.select(F.explode(F.array(marked, F.lit(POOLED))).alias("lang"), "n", suffixes.alias("suffixes")).select(
+        "lang", "n", F.inline("suffixes"))
+    found = rows.groupBy("lang", "ord", "code").agg(F.sum("n").alias("_n"), F.bit_or(F.expr("shiftleft(1L, before)")).alias("_before"))
+    return found.select("lang", "ord", "code", F.when(F.col("ord") == ORDER, F.col("_n")).otherwise(F.bit_count("_before")).alias("n"))
+
+
+def _shares(counts: DataFrame) -> DataFrame:
+    """``lang, ord, code, context, share, weight``: the discounted share of an n-gram in its context, and what that leaves.
+
+    What modified Kneser-Ney takes off a count follows from the counts of counts of the language and order.
+    A context has ``CLASSES`` n-grams at most, so the windows are small.
+    """
     few = lambda k: F.sum(F.when(F.col("n") == k, 1).otherwise(0))
-    of = table.groupBy(F.col("lang").alias("_lang")).agg(*[few(k).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    of = counts.groupBy("lang", "ord").agg(*[few(k).alias(f"n{k}") for k in (1, 2, 3, 4)])
     y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1))
     cuts = [F.greatest(F.lit(0.0), F.least(F.lit(k - 0.05), F.when(F.col(f"n{k}") > 0, k - (k + 1) * y * F.col(
         f"n{k + 1}") / F.greatest(F.col(f"n{k}"), F.lit(1))).otherwise(0.5))) for k in (1, 2, 3)]
-    of = of.select("_lang", *[c.alias(f"d{k + 1}") for k, c in enumerate(cuts)])
+    of = of.select("lang", "ord", *[c.alias(f"d{k + 1}") for k, c in enumerate(cuts)])
     cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    return table.join(of, F.col("lang").eqNullSafe(F.col("_lang"))).select("lang", "code", "n", cut.alias("cut"))
+    rows = counts.join(of, ["lang", "ord"]).select(
+        "lang", "ord", "code", F.expr(f"code div {CLASSES}").alias("context"), "n", cut.alias("cut"))
+    beside = Window.partitionBy("lang", "ord", "context")
+    rows = rows.withColumns({"_total": F.sum("n").over(beside), "_free": F.sum("cut").over(beside)})
+    return rows.select("lang", "ord", "code", "context", ((F.col("n") - F.col("cut")) / F.col("_total")).alias("share"),
+                       (F.col("_free") / F.col("_total")).alias("weight"))
 
 
 def train(docs: DataFrame) -> DataFrame:
@@ -195,45 +220,35 @@ def train(docs: DataFrame) -> DataFrame:
     interpolated probability of an n-gram is its discounted share plus the back-off of its context
     times the probability of the n-gram without its first character. One more model, ``pooled``, is
     that of all languages together; inside, a language is named behind a mark to tell it from that.
+
+    All orders share their steps but the last, as each statement takes memory of the driver.
     """
-    counted = stored(count_grams(docs), "grams")
-    everyone = counted.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "code", "n")
-    marked = counted.withColumn("lang", F.concat(F.lit("="), "lang")).unionByName(everyone)
-    tables = {ORDER: stored(marked, "grams")}
-    for order in range(ORDER - 1, 0, -1):
-        shorter = F.col("code") % CLASSES**order
-        tables[order] = stored(tables[order + 1].groupBy("lang", shorter.alias("code")).agg(F.count(F.lit(1)).alias("n")), "grams")
-    lower, done = None, None
+    shares = stored(_shares(stored(_of_all_orders(stored(count_grams(docs), "grams")), "counts")), "shares")
+    # The weight of a context is kept with the context, as an entry of the order below.
+    entries = shares.select("lang", (F.col("ord") - 1).alias("ord"), F.col("context").alias("code"),
+                            F.lit(None).cast("double").alias("logp"), F.log("weight").alias("backoff"))
+    lower = None
     for order in range(1, ORDER + 1):
-        context = F.floor(F.col("code") / CLASSES).cast("long")
-        # Every step is stored: plans stay small, and none is computed again for the next order.
-        cut = stored(_with_discounts(tables[order]).withColumn("context", context), "cut")
-        sums = stored(cut.groupBy(F.col("lang").alias("_l"), F.col("context").alias("_c")).agg(
-            F.sum("n").alias("_total"), F.sum("cut").alias("_free")), "sums")
-        joined = cut.join(sums, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("context") == F.col("_c")))
-        share, weight = (F.col("n") - F.col("cut")) / F.col("_total"), F.col("_free") / F.col("_total")
-        if lower is None:
-            below = F.lit(1.0 / CLASSES)
-        else:
+        here, below = shares.where(F.col("ord") == order), F.lit(1.0 / CLASSES)
+        if lower is not None:
             under = lower.select(F.col("lang").alias("_u"), F.col("code").alias("_k"), F.col("p").alias("_p"))
-            joined = joined.join(under, F.col("lang").eqNullSafe(F.col("_u")) & (
-                F.col("code") % CLASSES ** (order - 1) == F.col("_k")))
+            here = here.join(under, (F.col("lang") == F.col("_u")) & (F.col("code") % CLASSES ** (order - 1) == F.col("_k")))
             below = F.col("_p")
-        probable = joined.select("lang", "code", (share + weight * below).alias("p"))
-        lower = stored(probable, "probable")
-        # The weight of a context is kept with the context, as an entry of the order below.
-        free = sums.select(F.col("_l").alias("lang"), F.lit(order - 1).alias("ord"), F.col("_c").alias("code"),
-                           F.lit(None).cast("double").alias("logp"), F.log(F.col("_free") / F.col("_total")).alias("backoff"))
-        entries = lower.select("lang", F.lit(order).alias("ord"), "code", F.log("p").alias("logp"),
-                               F.lit(None).cast("double").alias("backoff"))
-        done = entries.unionByName(free) if done is None else done.unionByName(entries).unionByName(free)
-    entries = done.groupBy("lang", "ord", "code").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
+        lower = here.select("lang", "code", (F.col("share") + F.col("weight") * below).alias("p"))
+        if 1 < order < ORDER:
+            lower = stored(lower, "probable")
+        entries = entries.unionByName(lower.select(
+            "lang", F.lit(order).alias("ord"), "code", F.log("p").alias("logp"), F.lit(None).cast("double").alias("backoff")))
+    entries = entries.groupBy("lang", "ord", "code").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
     arrays = entries.groupBy("lang", "ord").applyInPandas(_sorted_arrays, MODEL_SCHEMA)
-    pooled = F.coalesce(F.col("lang") == POOLED, F.lit(False))
+    named = F.when(F.col("lang").startswith(MARK), F.expr(f"substring(lang, {len(MARK) + 1})"))
     return stored(arrays.select(
-        F.when(~pooled, F.expr("substring(lang, 2)")).alias("lang"), pooled.alias("pooled"), "ord", "n", "hashes", "logp", "backoff"), "model")
+        named.alias("lang"), (F.col("lang") == POOLED).alias("pooled"), "ord", "n", "hashes", "logp", "backoff"), "model")
 
 
+#: Names inside a model: languages stand behind a mark, the null language has none.
+MARK = "="
+UNNAMED = "-"
 POOLED = "*"
 MODEL_SCHEMA = "lang string, ord int, n long, hashes binary, logp binary, backoff binary"
 
