@@ -195,7 +195,8 @@ def _of_all_orders(counted: DataFrame) -> DataFrame:
 def _shares(counts: DataFrame) -> DataFrame:
     """``lang, ord, code, context, share, weight``: the discounted share of an n-gram in its context, and what that leaves.
 
-    What modified Kneser-Ney takes off a count follows from the counts of counts of the language and order.
+    What modified Kneser-Ney takes off a count follows from the counts of counts of the language and order, which
+    are a row for each and go to every task; the driver has the languages anyway, to deal them into turns.
     A context has ``CLASSES`` n-grams at most, so the windows are small.
     """
     few = lambda k: F.sum(F.when(F.col("n") == k, 1).otherwise(0))
@@ -205,7 +206,8 @@ def _shares(counts: DataFrame) -> DataFrame:
         f"n{k + 1}") / F.greatest(F.col(f"n{k}"), F.lit(1))).otherwise(0.5))) for k in (1, 2, 3)]
     of = of.select("lang", "ord", *[c.alias(f"d{k + 1}") for k, c in enumerate(cuts)])
     cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = counts.join(of, ["lang", "ord"]).select(
+    # Not shuffled by language and order: the windows would then stay with those few keys.
+    rows = counts.join(F.broadcast(of), ["lang", "ord"]).select(
         "lang", "ord", "code", F.expr(f"code div {CLASSES}").alias("context"), "n", cut.alias("cut"))
     beside = Window.partitionBy("lang", "ord", "context")
     rows = rows.withColumns({"_total": F.sum("n").over(beside), "_free": F.sum("cut").over(beside)})
